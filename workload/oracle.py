@@ -137,7 +137,7 @@ VIEWS["mp"] = "SELECT 'FOFCL' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS f
 VIEWS["itm"] = "SELECT it.*, mp.oc FROM it JOIN mp ON it.order_id = mp.fid"
 ITEM_COLUMNS = ("num_ops, num_processes, num_legs, num_transfers, num_operators, total_span_hours, "
                 "picking_window_hours, total_process_time_mins, complexity_score, span_ratio, has_crossdocking, complex_route")
-VIEWS["full"] = f"SELECT sp.*, {ITEM_COLUMNS} FROM sp LEFT JOIN itm ON sp.order_id = itm.oc"
+VIEWS["fullset"] = f"SELECT sp.*, {ITEM_COLUMNS} FROM sp LEFT JOIN itm ON sp.order_id = itm.oc"
 
 VIEWS["ev"] = """
 SELECT event_id, CAST(user_id AS VARCHAR) AS order_id, ts, CASE event_type WHEN 'signup' THEN 'order_creation'
@@ -261,7 +261,7 @@ sql("s10_reference_stats", reference_stats(stacked(
     "fr", CAL + [("tasa_fallo_carrier", "t_carrier"), ("tasa_fallo_region", "t_region"),
                  ("tasa_fallo_carrier_region", "t_pair")], "split = 'train'")))
 sql("d3_raw_feature_stats", reference_stats(stacked(
-    "full", [(c, c) for c in ("num_ops", "num_transfers", "total_span_hours", "complexity_score")], "split = 'train'")))
+    "fullset", [(c, c) for c in ("num_ops", "num_transfers", "total_span_hours", "complexity_score")], "split = 'train'")))
 sql("s11_metrics_store", " UNION ALL ".join(f"""
 SELECT 'run1' AS run, 'test' AS part, name AS threshold_name, '{m}' AS metric, {r(c)} AS value FROM cm"""
     for m, c in [("threshold", "threshold"), ("tp", "tp"), ("fp", "fp"), ("tn", "tn"), ("fn", "fn"),
@@ -427,7 +427,7 @@ sql_histogram("a13_span_ratio_histogram", "SELECT least(span_ratio, 15) AS x FRO
 _COMPARED = ["num_ops", "num_processes", "num_legs", "num_transfers", "total_span_hours", "picking_window_hours",
              "complexity_score", "span_ratio"]
 sql_histogram("a23_class_histograms", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, y AS target_incumplimiento, CAST({c} AS DOUBLE) AS x FROM full WHERE {c} IS NOT NULL"
+    f"SELECT '{c}' AS feature, y AS target_incumplimiento, CAST({c} AS DOUBLE) AS x FROM fullset WHERE {c} IS NOT NULL"
     for c in _COMPARED), 30, "feature, target_incumplimiento")
 sql("a14_score_histogram", f"""SELECT {big('i')} AS bin, lo AS low, hi AS high,
   count(x) AS n, {r('count(x) * 100.0 / (SELECT count(*) FROM it)')} AS pct
@@ -573,9 +573,9 @@ sql("u4_concatenate", f"SELECT split, count(*) AS n, {big('sum(y)')} AS late FRO
 _M1 = [("mes", "mm"), ("num_ops", "num_ops"), ("picking_window_hours", "picking_window_hours"), ("span_ratio", "span_ratio")]
 sql("m1_scaled_numbers", "SELECT package_id, " + ", ".join(
     r(f"(coalesce({x}, md_{n}) - av_{n}) / CASE WHEN sd_{n} > 0 THEN sd_{n} ELSE 1 END") + f" AS {n}" for n, x in _M1)
-    + " FROM full, (SELECT " + ", ".join(f"any_value(m_{n}) AS md_{n}, avg(coalesce({x}, m_{n})) AS av_{n}, stddev_pop(coalesce({x}, m_{n})) AS sd_{n}" for n, x in _M1)
-    + " FROM full, (SELECT " + ", ".join(f"median(CAST({x} AS DOUBLE)) AS m_{n}" for n, x in _M1)
-    + " FROM full WHERE split = 'train') WHERE split = 'train') WHERE split <> 'train'")
+    + " FROM fullset, (SELECT " + ", ".join(f"any_value(m_{n}) AS md_{n}, avg(coalesce({x}, m_{n})) AS av_{n}, stddev_pop(coalesce({x}, m_{n})) AS sd_{n}" for n, x in _M1)
+    + " FROM fullset, (SELECT " + ", ".join(f"median(CAST({x} AS DOUBLE)) AS m_{n}" for n, x in _M1)
+    + " FROM fullset WHERE split = 'train') WHERE split = 'train') WHERE split <> 'train'")
 _CATS = ["carrier", "region", "comuna", "metodo_despacho", "tipo_transporte", "origen"]
 VIEWS["cl"] = " UNION ALL ".join(f"SELECT split, '{c}' AS f, coalesce({c}, 'unknown') AS v FROM sp" for c in _CATS)
 VIEWS["lv"] = """SELECT f, v, count(*) AS n, CASE WHEN count(*) >= 10 THEN v ELSE '__infrequent__' END AS level
@@ -584,7 +584,7 @@ sql("m2_category_levels", "SELECT f AS feature, v AS value, n, level FROM lv")
 sql("m2_encoded_rows", """SELECT cl.f AS feature, level, count(*) AS n FROM cl LEFT JOIN lv ON cl.f = lv.f AND cl.v = lv.v
 WHERE split = 'test' GROUP BY 1, 2""")
 sql("m3_boolean_fill", f"""SELECT package_id, {big('coalesce(CAST(has_crossdocking AS INTEGER), 0)')} AS has_crossdocking,
-  {big('coalesce(CAST(complex_route AS INTEGER), 0)')} AS complex_route FROM full""")
+  {big('coalesce(CAST(complex_route AS INTEGER), 0)')} AS complex_route FROM fullset""")
 sql("m6_class_weight", f"SELECT {r('(count(*) - sum(y)) / greatest(sum(y), 1)')} AS class_weight FROM sp WHERE split = 'train'")
 sql("m9_calibration", f"""SELECT {r('(SELECT s FROM fs ORDER BY f1 DESC, s LIMIT 1)')} AS threshold_f1,
   {r('(SELECT f1 FROM fs ORDER BY f1 DESC, s LIMIT 1)')} AS f1_at_threshold_f1,
