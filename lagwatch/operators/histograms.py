@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import pin
 from .order_stats import exact_quantiles, long_form
 
 
@@ -31,29 +32,26 @@ def equal_width_histogram(df: DataFrame, value: Column, bins: int,
     Groups must be few by nature (features, classes): their ranges are broadcast.
     """
     groups = list(group_cols)
-    values = df.select(*groups, value.cast("double").alias("_x")).where(
-        F.col("_x").isNotNull() & ~F.isnan("_x"))
-    ranges = values.groupBy(*groups).agg(
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n"))
-    if groups:
-        same = F.lit(True)
-        for g in groups:
-            same = same & F.col(f"v.{g}").eqNullSafe(F.col(f"r.{g}"))
-        placed = values.alias("v").join(F.broadcast(ranges).alias("r"), same).select(
-            *[F.col(f"v.{g}") for g in groups], "_x", "_lo", "_hi")
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        placed = values
-        lo = ranges.select("_lo").scalar()
-        hi = ranges.select("_hi").scalar()
-    counts = placed.select(*groups, _bin_index(F.col("_x"), lo, hi, bins).alias("bin")) \
-        .groupBy(*groups, "bin").agg(F.count("*").alias("n"))
-    frame = ranges.where(F.col("_lo").isNotNull()).select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    match = F.col("f.bin") == F.col("c.bin")
-    for g in groups:
-        match = match & F.col(f"f.{g}").eqNullSafe(F.col(f"c.{g}"))
-    full = frame.alias("f").join(counts.alias("c"), match, "left")
+    keys = groups or ["_all"]
+    values = (df if groups else df.withColumn("_all", F.lit(0))).select(*keys, value.cast("double").alias("_x"))
+    values = values.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    # one row per group, read again for the frame: fixed once instead of computed twice
+    ranges = pin(values.groupBy(*keys).agg(
+        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.count("*").alias("_n")))
+
+    def same(left: str, right: str) -> Column:
+        test = F.lit(True)
+        for key in keys:
+            test = test & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
+        return test
+
+    placed = values.alias("v").join(F.broadcast(ranges).alias("r"), same("v", "r")).select(
+        *[F.col(f"v.{key}") for key in keys],
+        _bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
+    counts = placed.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    frame = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    full = frame.alias("f").join(
+        counts.alias("c"), same("f", "c") & (F.col("f.bin") == F.col("c.bin")), "left")
     low_, high_ = _range(F.col("f._lo"), F.col("f._hi"))
     width = (high_ - low_) / F.lit(float(bins))
     n = F.coalesce(F.col("c.n"), F.lit(0))

@@ -35,10 +35,10 @@ def running_totals(df: DataFrame, order_cols: Sequence[Column], measures: Sequen
     number is pinned in the shared folder, because two evaluations of a range
     partitioning may draw different borders.
     """
-    spark = df.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = list(group_cols)
-    ranged = pin(df.repartitionByRange(parts, *[F.col(g) for g in groups], *order_cols)
+    # without a number of its own the step takes the session's, and the adaptive
+    # planner merges neighbouring ranges that are small; their order stays
+    ranged = pin(df.repartitionByRange(*[F.col(g) for g in groups], *order_cols)
                  .withColumn(_RANGE, F.spark_partition_id()))
 
     # one row per (range, group): at most ranges + groups rows, as ranges follow groups

@@ -28,6 +28,7 @@ from lagwatch.sources import readers, stores
 from lagwatch.streaming import jobs
 
 from . import views as V
+from .stage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,18 +74,50 @@ def labelled(s: SparkSession, d: str) -> DataFrame:
     return ds.build_dataset(V.packages(s, d))[0]
 
 
-def split_rows(s: SparkSession, d: str) -> DataFrame:
+def split_live(s: SparkSession, d: str) -> DataFrame:
     return ts.temporal_split(labelled(s, d))
 
 
-def split_data(s: SparkSession, d: str) -> ds.SplitData:
-    return ds.split_with_rates(labelled(s, d))
+def split_rows(s: SparkSession, d: str) -> DataFrame:
+    return staged(s, d, "split", split_live)
 
 
-def features(s: SparkSession, d: str) -> DataFrame:
+def parse_features(s: SparkSession, d: str) -> DataFrame:
     return it.itinerary_features(V.itineraries(s, d))
 
 
+def features(s: SparkSession, d: str) -> DataFrame:
+    """The feature table: parsing is the costly step, so its result is stored once."""
+    return staged(s, d, "features", parse_features)
+
+
+def joined(s: SparkSession, d: str) -> DataFrame:
+    """The labelled dataset with itinerary features."""
+    return staged(s, d, "joined", lambda s, d: ds.build_dataset(
+        V.packages(s, d), features(s, d), V.order_mapping(s, d))[0])
+
+
+def joined_split(s: SparkSession, d: str) -> DataFrame:
+    return staged(s, d, "joined_split", lambda s, d: ts.temporal_split(joined(s, d)))
+
+
+_SPLIT: dict[tuple[str, str], ds.SplitData] = {}
+
+
+def split_live_data(s: SparkSession, d: str) -> ds.SplitData:
+    return ds.split_with_rates(labelled(s, d))
+
+
+def split_data(s: SparkSession, d: str) -> ds.SplitData:
+    """The split dataset with its rates, learnt once per session and folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _SPLIT:
+        data = split_live_data(s, d)
+        rows = staged(s, d, "rated", lambda s, d: data.rows)
+        _SPLIT[key] = ds.SplitData(rows, data.cuts, data.rates)
+    return _SPLIT[key]
+
+
 def ordered_events(s: SparkSession, d: str) -> DataFrame:
     return ds.with_events(V.order_headers(s, d), V.event_log(s, d), at(V.EVENTS_AS_OF))
 
@@ -122,7 +155,7 @@ def _(s, d):
 
 @query("s2_itinerary_filter")
 def _(s, d):
-    return readers.load_itineraries(V.itineraries(s, d, junk=True)).select(
+    return readers.load_itineraries(V.with_junk(V.itineraries(s, d))).select(
         "order_id", F.get_json_object("promised_raw", "$.timeRange").alias("time_range"))
 
 
@@ -157,7 +190,7 @@ def _(s, d):
 
 @query("s8_feature_export")
 def _(s, d):
-    return it.export_features(features(s, d))
+    return it.export_features(parse_features(s, d))
 
 
 @query("s9_rate_table_store")
@@ -210,7 +243,7 @@ _parsed("n13_picking_window", "picking_window_hours")
 def _derived(name: str, *columns: str) -> None:
     @query(name)
     def _(s, d):
-        return features(s, d).select("order_id", *columns)
+        return parse_features(s, d).select("order_id", *columns)
 
 
 _derived("p1_complexity_score", "complexity_score")
@@ -349,7 +382,7 @@ def _(s, d):
 
 @query("j3_rate_lookup")
 def _(s, d):
-    return split_data(s, d).rows.select("package_id", "split", "tasa_fallo_carrier", "tasa_fallo_region")
+    return split_live_data(s, d).rows.select("package_id", "split", "tasa_fallo_carrier", "tasa_fallo_region")
 
 
 @query("j4_pair_rate_lookup")
@@ -530,8 +563,7 @@ def _(s, d):
 
 @query("a23_class_histograms")
 def _(s, d):
-    full, _ = ds.build_dataset(V.packages(s, d), features(s, d), V.order_mapping(s, d))
-    return ex.class_histograms(full)
+    return ex.class_histograms(joined(s, d))
 
 
 @query("a24_events_by_type")
@@ -645,7 +677,7 @@ def _(s, d):
 # --- windows, order, top ---------------------------------------------------------------------
 @query("w1_temporal_split")
 def _(s, d):
-    return split_rows(s, d).select("package_id", "split")
+    return split_live(s, d).select("package_id", "split")
 
 
 @query("w2_row_order_split")
@@ -749,8 +781,7 @@ PREPARED = C.CATEGORICAL_FEATURES + C.CALENDAR_FEATURES + C.RATE_FEATURES + ["es
 
 @query("m1_scaled_numbers")
 def _(s, d):
-    full, _ = ds.build_dataset(V.packages(s, d), features(s, d), V.order_mapping(s, d))
-    rows = ts.temporal_split(full)
+    rows = joined_split(s, d)
     columns = ["mes", "num_ops", "picking_window_hours", "span_ratio"]
     stats = {r["feature"]: (r["median"], r["mean"], r["std"]) for r in prep.numeric_stats(
         rows.where(F.col("split") == "train"), columns).collect()}
@@ -776,8 +807,7 @@ def _(s, d):
 
 @query("m3_boolean_fill")
 def _(s, d):
-    full, _ = ds.build_dataset(V.packages(s, d), features(s, d), V.order_mapping(s, d))
-    return full.select("package_id", *[
+    return joined(s, d).select("package_id", *[
         F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in ("has_crossdocking", "complex_route")])
 
 
@@ -896,8 +926,7 @@ def _(s, d):
 
 @query("d3_raw_feature_stats")
 def _(s, d):
-    full, _ = ds.build_dataset(V.packages(s, d), features(s, d), V.order_mapping(s, d))
-    train = ts.temporal_split(full).where(F.col("split") == "train")
+    train = joined_split(s, d).where(F.col("split") == "train")
     stats = drift.reference_stats(train, ["num_ops", "num_transfers", "total_span_hours", "complexity_score"])
     return stats.select("feature", "n", "mean", "std", "min", "max",
                         F.posexplode("percentiles").alias("pos", "percentile"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NOW = "2001-08-01 00:00:00"      # after every order date of the tables
+from .stage import staged
+
 EVENTS_AS_OF = "2024-03-01 00:00:00"
 
 
@@ -21,12 +22,19 @@ def _hours(n: Column) -> Column:
     return F.make_dt_interval(F.lit(0), n.cast("int"))
 
 
+def _spread(lines: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores (one small file) is spread before the costly
+    steps; a large table already has more splits and is left as it is."""
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores) if lines.rdd.getNumPartitions() < cores else lines
+
+
 def _base(spark: SparkSession, d: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Line items with order, customer geography, supplier name and part brand.
 
     No join is hinted: the optimizer broadcasts a side only below its size limit.
     """
-    lines = table(spark, d, "lineitem") if lineitem is None else lineitem
+    lines = _spread(table(spark, d, "lineitem")) if lineitem is None else lineitem
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     supplier, part = table(spark, d, "supplier"), table(spark, d, "part")
@@ -39,7 +47,11 @@ def _base(spark: SparkSession, d: str, lineitem: DataFrame | None = None) -> Dat
             .join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")))
 
 
-def packages(spark: SparkSession, d: str, lineitem: DataFrame | None = None) -> DataFrame:
+def packages(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, d, "packages", derive_packages)
+
+
+def derive_packages(spark: SparkSession, d: str, lineitem: DataFrame | None = None) -> DataFrame:
     """One row per line item as a package with its delivery state."""
     o, p, n, s = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"))
     u = (o * 7919 + p * 104729 + n.cast("bigint") * 1299709 + s * 15485863) % 1000
@@ -84,7 +96,17 @@ def source_packages(spark: SparkSession, d: str) -> DataFrame:
         F.col("origen").alias("origen_despacho"))
 
 
-def itineraries(spark: SparkSession, d: str, junk: bool = False) -> DataFrame:
+def itineraries(spark: SparkSession, d: str) -> DataFrame:
+    return staged(spark, d, "itineraries", derive_itineraries)
+
+
+def with_junk(docs: DataFrame) -> DataFrame:
+    """Documents as a workbook holds them: some rows do not carry a genuine id."""
+    junk = F.substring("order_id", 6, 12).cast("bigint") % 101 == 0
+    return docs.withColumn("order_id", F.when(junk, F.concat(F.lit("XX"), "order_id")).otherwise(F.col("order_id")))
+
+
+def derive_itineraries(spark: SparkSession, d: str) -> DataFrame:
     """One itinerary document pair per order, as JSON text.
 
     The lines of an order become its operations. A document is one row by nature;
@@ -125,9 +147,8 @@ def itineraries(spark: SparkSession, d: str, junk: bool = False) -> DataFrame:
         F.when(o % 5 != 0, "08:00").alias("timeRangeFrom"), F.when(o % 5 != 0, "13:00").alias("timeRangeTo"))
     docs = lines.groupBy("l_orderkey").agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["op"])).alias("ops_raw"))
-    prefix = F.when(o % 101 == 0, "XX").otherwise("FOFCL") if junk else F.lit("FOFCL")
     return docs.select(
-        F.concat(prefix, F.lpad(o.cast("string"), 12, "0")).alias("order_id"),
+        F.concat(F.lit("FOFCL"), F.lpad(o.cast("string"), 12, "0")).alias("order_id"),
         F.to_json(promised).alias("promised_raw"), "ops_raw")
 
 
@@ -172,7 +193,7 @@ def order_headers(spark: SparkSession, d: str) -> DataFrame:
 
 def prediction_log(spark: SparkSession, d: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Packages as logged predictions; the outcome is open while pending."""
-    p = packages(spark, d, lineitem)
+    p = packages(spark, d) if lineitem is None else derive_packages(spark, d, lineitem)
     state = F.col("estado_entrega")
     outcome = F.when(state == "Entregada atrasada", 1).when(state.isNotNull(), 0)
     ts = F.col("fecha_creacion")
