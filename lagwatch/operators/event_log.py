@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.dates import hours_between
 from ..functions.numeric import cap, floor_at, ratio
 from .frequency import value_counts
-from .order_stats import exact_quantiles
+from .order_stats import exact_quantiles, previous_values
 
 _TIE = ["event_id"]
 
@@ -70,18 +70,18 @@ def recency_features(as_of: Column) -> dict[str, Column]:
 
 def event_gaps(events: DataFrame, silence_hours: float = 72.0) -> DataFrame:
     """Per order: events, silences longer than the limit, and events whose time runs
-    backwards in arrival order. Needs ``event_id`` as arrival order.
-
-    Orders are split by a window; events of one order are streamed, not collected.
-    """
-    arrival = Window.partitionBy("order_id").orderBy("event_id")
-    in_time = Window.partitionBy("order_id").orderBy("event_timestamp", "event_id")
-    gap = hours_between(F.lag("event_timestamp").over(in_time), F.col("event_timestamp"))
-    back = F.col("event_timestamp") < F.lag("event_timestamp").over(arrival)
-    return (events.select("order_id", gap.alias("gap"), back.alias("back"))
-            .groupBy("order_id").agg(
-                F.count("*").alias("events"), F.count_if(F.col("gap") > silence_hours).alias("silences"),
-                F.max("gap").alias("longest_gap_hours"), F.count_if("back").alias("out_of_order")))
+    backwards in arrival order. Needs ``event_id`` as arrival order."""
+    at = F.col("event_timestamp")
+    narrow = events.select("order_id", "event_id", "event_timestamp")
+    in_time = previous_values(narrow, ["event_timestamp", "event_id"], ["event_timestamp"], ["order_id"])
+    arrival = previous_values(narrow, ["event_id"], ["event_timestamp"], ["order_id"])
+    gaps = in_time.select("order_id", hours_between(F.col("event_timestamp_prev"), at).alias("gap"))
+    silent = gaps.groupBy("order_id").agg(
+        F.count("*").alias("events"), F.count_if(F.col("gap") > silence_hours).alias("silences"),
+        F.max("gap").alias("longest_gap_hours"))
+    back = arrival.groupBy("order_id").agg(F.count_if(at < F.col("event_timestamp_prev")).alias("out_of_order"))
+    return silent.alias("s").join(back.alias("b"), F.col("s.order_id").eqNullSafe(F.col("b.order_id"))).select(
+        "s.*", "b.out_of_order")
 
 
 def profile_by_type(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import pin
+from .joins import BROADCAST_ROWS
 from .order_stats import exact_quantiles, long_form
 
 
@@ -29,7 +30,7 @@ def equal_width_histogram(df: DataFrame, value: Column, bins: int,
                           group_cols: Sequence[str] = ()) -> DataFrame:
     """All bins of every group, empty ones too: ``bin, low, high, n, density``.
 
-    Groups must be few by nature (features, classes): their ranges are broadcast.
+    The ranges are one row per group and broadcast only when counted as few.
     """
     groups = list(group_cols)
     keys = groups or ["_all"]
@@ -45,7 +46,8 @@ def equal_width_histogram(df: DataFrame, value: Column, bins: int,
             test = test & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
         return test
 
-    placed = values.alias("v").join(F.broadcast(ranges).alias("r"), same("v", "r")).select(
+    small = F.broadcast(ranges) if ranges.count() <= BROADCAST_ROWS else ranges
+    placed = values.alias("v").join(small.alias("r"), same("v", "r")).select(
         *[F.col(f"v.{key}") for key in keys],
         _bin_index(F.col("_x"), F.col("_lo"), F.col("_hi"), bins).alias("bin"))
     counts = placed.groupBy(*keys, "bin").agg(F.count("*").alias("n"))

@@ -65,6 +65,29 @@ def running_totals(df: DataFrame, order_cols: Sequence[Column], measures: Sequen
     )
 
 
+def previous_values(df: DataFrame, order_cols: Sequence[str], values: Sequence[str],
+                    group_cols: Sequence[str] = ()) -> DataFrame:
+    """Add ``{v}_prev``: the value of the row before, in the order within the group.
+
+    Like a lag, but a group of any size is spread over ranges: each range looks back
+    on its own, and its first row takes the last row of the range before.
+    ``order_cols`` must order the rows of a group strictly.
+    """
+    groups = list(group_cols)
+    ranged = pin(df.repartitionByRange(*[F.col(c) for c in [*groups, *order_cols]])
+                 .withColumn(_RANGE, F.spark_partition_id()))
+    row = F.struct(*values)
+    lasts = ranged.groupBy(_RANGE, *groups).agg(F.max_by(row, F.struct(*order_cols)).alias("_last"))
+    carried = lasts.select(_RANGE, *groups, F.lag("_last").over(
+        Window.partitionBy(*groups).orderBy(_RANGE)).alias("_carry"))
+    local = F.lag(row).over(Window.partitionBy(_RANGE, *groups).orderBy(*order_cols))
+    joined = (ranged.withColumn("_local", local).alias("r")
+              .join(carried.alias("c"), _same("r", "c", [_RANGE, *groups])))
+    before = F.coalesce(F.col("r._local"), F.col("c._carry"))
+    return joined.select(*[F.col(f"r.{name}") for name in df.columns],
+                         *[before[v].alias(f"{v}_prev") for v in values])
+
+
 def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float],
                     group_cols: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles: one row per group and probability, with

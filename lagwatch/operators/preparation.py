@@ -16,9 +16,9 @@ from .joins import lookup
 from .order_stats import exact_medians, long_form
 
 INFREQUENT = "__infrequent__"
-# a tree learner keeps one entry per vector slot and row, so the width has to stay
-# far below this; beyond it the fit stops with advice instead of dropping categories
-MAX_SLOTS = 2_000_000
+# the slot names pass through the driver and a learner keeps statistics per slot;
+# beyond this the fit stops with advice instead of dropping categories
+MAX_SLOTS = 200_000
 
 
 def numeric_stats(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -83,8 +83,19 @@ class Preparer:
     def raw_features(self) -> list[str]:
         return [*self.numeric, *self.categorical, *self.boolean]
 
-    def transform(self, df: DataFrame, output: str = "features", salt_by: str | None = None) -> DataFrame:
-        """Add the feature vector. A category not seen in training is all zeros."""
+    @property
+    def max_categories(self) -> int:
+        """Categories of the widest column, unseen included."""
+        return max((len(slots) + 1 for slots in self.categorical.values()), default=0)
+
+    def transform(self, df: DataFrame, output: str = "features", salt_by: str | None = None,
+                  one_hot: bool = True) -> DataFrame:
+        """Add the feature vector. A category not seen in training is all zeros.
+
+        ``one_hot=False`` keeps each category as one nominal slot number (unseen has its
+        own). Spark's trees split those by sets of categories, so they lose nothing and
+        hold some twenty entries per row instead of one per category.
+        """
         out = df
         encoded = []
         for column, slots in self.categorical.items():
@@ -102,12 +113,13 @@ class Preparer:
             **{f"_n_{c}": scaled(F.col(c), *stats) for c, stats in self.numeric.items()},
             **{f"_b_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.boolean},
         })
-        if encoded:
+        if encoded and one_hot:
             encoder = OneHotEncoder(
                 inputCols=[f"_s_{c}" for c in encoded], outputCols=[f"_o_{c}" for c in encoded],
                 dropLast=True)
             out = encoder.fit(out).transform(out)
-        inputs = ([f"_n_{c}" for c in self.numeric] + [f"_o_{c}" for c in encoded]
+        kind = "_o_" if one_hot else "_s_"
+        inputs = ([f"_n_{c}" for c in self.numeric] + [f"{kind}{c}" for c in encoded]
                   + [f"_b_{c}" for c in self.boolean])
         vector = VectorAssembler(inputCols=inputs, outputCol=output).transform(out)
         return vector.select(*df.columns, output)

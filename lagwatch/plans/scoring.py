@@ -92,9 +92,21 @@ def batch_summary(predictions: DataFrame) -> DataFrame:
         F.count_if(F.col("predicted_outcome") == "fail").alias("high_risk_count"))
 
 
-def prediction_log(predictions: DataFrame, rows: DataFrame) -> DataFrame:
-    """Log rows for monitoring: prediction, room for the outcome, raw features."""
-    return predictions.alias("p").join(rows.alias("r"), F.col("p.order_id") == F.col("r.order_id")).select(
-        "p.order_id", "p.timestamp", "p.risk_score", "p.predicted_outcome",
+def prediction_log(rows: DataFrame, model: RiskModel, as_of: Column,
+                   threshold: Column | None = None) -> DataFrame:
+    """Log rows for later monitoring: the prediction, room for the outcome, and the raw
+    features it was made from, in one pass over the feature rows."""
+    judged = judge(model.predict(rows), F.lit(C.ACTIVE_THRESHOLD) if threshold is None else threshold)
+    return judged.select(
+        "order_id", "package_id", as_of.alias("timestamp"), "risk_score", "predicted_outcome",
         F.lit(None).cast("int").alias("actual_outcome"),
-        *[F.col(f"r.{c}") for c in rows.columns if c in FEATURE_TYPES])
+        *[c for c in rows.columns if c in FEATURE_TYPES])
+
+
+def fill_outcomes(log: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Complete the log with outcomes known by now (``package_id``, ``outcome``, unique)."""
+    known = outcomes.select("package_id", F.col("outcome").cast("int").alias("_outcome"))
+    joined = log.alias("l").join(known.alias("o"), F.col("l.package_id") == F.col("o.package_id"), "left")
+    return joined.select(*[
+        F.coalesce("o._outcome", "l.actual_outcome").alias(c) if c == "actual_outcome" else F.col(f"l.{c}")
+        for c in log.columns])

@@ -29,21 +29,25 @@ def class_weight(train: DataFrame) -> float:
     return (row["n"] - late) / max(late, 1)
 
 
-def booster(params: dict | None = None) -> GBTClassifier:
+def booster(params: dict | None = None, max_categories: int = 0) -> GBTClassifier:
     """Spark's boosted trees in the role of the booster: same size and rates, but a
-    first-order loss and columns drawn per node, so scores differ from other boosters."""
+    first-order loss and columns drawn per node, so scores differ from other boosters.
+    A nominal feature needs as many bins as it has categories."""
     p = {**C.BOOSTER, **(params or {})}
     return GBTClassifier(
         featuresCol="features", labelCol=C.TARGET, weightCol="weight", maxIter=p["trees"],
         maxDepth=p["depth"], stepSize=p["step"], subsamplingRate=p["rows"],
-        featureSubsetStrategy=str(p["columns"]), seed=p["seed"])
+        featureSubsetStrategy=str(p["columns"]), seed=p["seed"], maxBins=max(32, max_categories))
 
 
-def fit_booster(prepared: DataFrame, weight: float, params: dict | None = None) -> GBTClassificationModel:
+def fit_booster(preparer: Preparer, train: DataFrame, params: dict | None = None) -> GBTClassificationModel:
+    """Fit on prepared training rows, positives weighted by the class weight."""
+    weight = class_weight(train)
+    prepared = preparer.transform(train, one_hot=False)
     weighted = prepared.select(
         "features", F.col(C.TARGET).cast("double").alias(C.TARGET),
         F.when(F.col(C.TARGET) == 1, F.lit(float(weight))).otherwise(1.0).alias("weight"))
-    return booster(params).fit(weighted)
+    return booster(params, preparer.max_categories).fit(weighted)
 
 
 def with_scores(model: GBTClassificationModel, prepared: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ class RiskModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Raw feature rows to rows with ``risk_score`` and ``margin``."""
-        return with_scores(self.booster, self.preparer.transform(rows))
+        return with_scores(self.booster, self.preparer.transform(rows, one_hot=False))
 
     def save(self, path: str) -> None:
         self.booster.write().save(f"{path}/booster")
@@ -104,15 +108,16 @@ def cross_validate(train: DataFrame, features: Sequence[str], ts: str = "fecha_c
     """Expanding time-series folds: one row of metrics per fold.
 
     Each fold learns its preparation on its own past. Passing a fitted
-    ``preparer`` reuses it for all folds, which lets later rows shape earlier folds.
+    ``preparer`` reuses it for all folds, which lets later rows shape earlier folds;
+    rate features in ``train`` were learnt on all of it and do the same.
     """
     blocks = assign_block(train, fold_cuts(train, ts, key), ts, key)
     scored = None
     for fold in range(C.CV_FOLDS):
         past = blocks.where(F.col("block") < fold)
         prep = preparer or fit_preparer(past, features)
-        model = fit_booster(prep.transform(past), class_weight(past), params)
-        tested = with_scores(model, prep.transform(blocks.where(F.col("block") == fold)))
+        model = fit_booster(prep, past, params)
+        tested = with_scores(model, prep.transform(blocks.where(F.col("block") == fold), one_hot=False))
         part = tested.select(F.lit(fold).alias("fold"), "risk_score", C.TARGET)
         scored = part if scored is None else scored.unionByName(part)
     areas = area_metrics(score_curve(scored, "risk_score", C.TARGET, ["fold"]), ["fold"])
@@ -130,5 +135,5 @@ def train_model(data: SplitData, features: Sequence[str], params: dict | None =
     """Prepare on train and fit the final model. Call with the rate features listed."""
     train = data.part("train")
     preparer = fit_preparer(train, features)
-    model = fit_booster(preparer.transform(train), class_weight(train), params)
+    model = fit_booster(preparer, train, params)
     return RiskModel(model, preparer, data.rates, version)
