@@ -19,6 +19,9 @@ INFREQUENT = "__infrequent__"
 # the slot names pass through the driver and a learner keeps statistics per slot;
 # beyond this the fit stops with advice instead of dropping categories
 MAX_SLOTS = 200_000
+# a tree node orders the categories of a nominal feature, at a cost that grows with the
+# square of their number; columns with more levels enter as their training late rate
+NOMINAL_SLOTS = 256
 
 
 def numeric_stats(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -49,6 +52,21 @@ def scaled(x: Column, median: float, mean: float, std: float) -> Column:
     return (F.coalesce(value, F.lit(median)) - F.lit(mean)) / F.lit(std if std > 0 else 1.0)
 
 
+def level_rates(levels: DataFrame, train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Levels with the late rate of each level: the order in which a tree would try to
+    cut the categories of a binary outcome."""
+    values = long_form(train, columns, keep=[C.TARGET], kind="string")
+    late = values.groupBy("feature", F.coalesce("value", F.lit(C.UNKNOWN)).alias("value")).agg(
+        F.sum(C.TARGET).alias("late"))
+    counted = levels.alias("l").join(
+        late.alias("t"), (F.col("l.feature") == F.col("t.feature")) & (F.col("l.value") == F.col("t.value"))
+    ).select("l.*", "t.late")
+    pooled = counted.groupBy("feature", "level").agg((F.sum("late") / F.sum("n")).alias("rate"))
+    return levels.alias("l").join(
+        pooled.alias("p"), (F.col("l.feature") == F.col("p.feature")) & (F.col("l.level") == F.col("p.level"))
+    ).select("l.*", "p.rate")
+
+
 def category_levels(train: DataFrame, columns: Sequence[str],
                     min_count: int = C.MIN_CATEGORY_COUNT) -> DataFrame:
     """Train categories: ``feature, value, n, level``.
@@ -64,13 +82,17 @@ def category_levels(train: DataFrame, columns: Sequence[str],
 
 @dataclass(frozen=True)
 class Preparer:
-    """Learnt preparation. ``levels`` has ``feature, value, slot``."""
+    """Learnt preparation. ``levels`` has ``feature, value, slot, rate``."""
 
     numeric: dict[str, tuple[float, float, float]]
     categorical: dict[str, list[str]]
     boolean: list[str]
     levels: DataFrame
     known_rows: dict[str, int]
+    late_rate: float = C.DEFAULT_GLOBAL_RATE
+
+    def is_wide(self, column: str) -> bool:
+        return len(self.categorical[column]) > NOMINAL_SLOTS
 
     @property
     def feature_names(self) -> list[str]:
@@ -85,22 +107,25 @@ class Preparer:
 
     @property
     def max_categories(self) -> int:
-        """Categories of the widest column, unseen included."""
-        return max((len(slots) + 1 for slots in self.categorical.values()), default=0)
+        """Categories of the widest nominal column, unseen included."""
+        return max((len(slots) + 1 for column, slots in self.categorical.items()
+                    if not self.is_wide(column)), default=0)
 
     def transform(self, df: DataFrame, output: str = "features", salt_by: str | None = None,
                   one_hot: bool = True) -> DataFrame:
         """Add the feature vector. A category not seen in training is all zeros.
 
         ``one_hot=False`` keeps each category as one nominal slot number (unseen has its
-        own). Spark's trees split those by sets of categories, so they lose nothing and
-        hold some twenty entries per row instead of one per category.
+        own). Spark's trees split those by sets of categories, and hold some twenty
+        entries per row instead of one per category. A column of very many levels enters
+        as the late rate of its level instead.
         """
         out = df
         encoded = []
         for column, slots in self.categorical.items():
             part = (self.levels.where(F.col("feature") == column)
-                    .select(F.col("value").alias(f"_v_{column}"), F.col("slot").alias(f"_s_{column}")))
+                    .select(F.col("value").alias(f"_v_{column}"), F.col("slot").alias(f"_s_{column}"),
+                            F.col("rate").alias(f"_r_{column}")))
             out = lookup(
                 out.withColumn(f"_v_{column}", F.coalesce(F.col(column).cast("string"), F.lit(C.UNKNOWN))),
                 part, [f"_v_{column}"], self.known_rows.get(column, 0), salt_by).drop(f"_v_{column}")
@@ -108,6 +133,7 @@ class Preparer:
             attribute = {"ml_attr": {"type": "nominal", "num_vals": len(slots) + 1}}
             slot = F.coalesce(F.col(f"_s_{column}"), F.lit(len(slots))).cast("double")
             out = out.withColumn(f"_s_{column}", slot.alias(f"_s_{column}", metadata=attribute))
+            out = out.withColumn(f"_r_{column}", F.coalesce(F.col(f"_r_{column}"), F.lit(self.late_rate)))
             encoded.append(column)
         out = out.withColumns({
             **{f"_n_{c}": scaled(F.col(c), *stats) for c, stats in self.numeric.items()},
@@ -118,8 +144,8 @@ class Preparer:
                 inputCols=[f"_s_{c}" for c in encoded], outputCols=[f"_o_{c}" for c in encoded],
                 dropLast=True)
             out = encoder.fit(out).transform(out)
-        kind = "_o_" if one_hot else "_s_"
-        inputs = ([f"_n_{c}" for c in self.numeric] + [f"{kind}{c}" for c in encoded]
+        kind = {c: "_o_" if one_hot else "_r_" if self.is_wide(c) else "_s_" for c in encoded}
+        inputs = ([f"_n_{c}" for c in self.numeric] + [f"{kind[c]}{c}" for c in encoded]
                   + [f"_b_{c}" for c in self.boolean])
         vector = VectorAssembler(inputCols=inputs, outputCol=output).transform(out)
         return vector.select(*df.columns, output)
@@ -128,7 +154,7 @@ class Preparer:
         spark = self.levels.sparkSession
         self.levels.write.mode("errorifexists").parquet(f"{path}/levels")
         params = {"numeric": self.numeric, "categorical": self.categorical, "boolean": self.boolean,
-                  "known_rows": self.known_rows}
+                  "known_rows": self.known_rows, "late_rate": self.late_rate}
         spark.createDataFrame([(json.dumps(params),)], "params string").coalesce(1) \
             .write.mode("errorifexists").text(f"{path}/params")
 
@@ -136,7 +162,8 @@ class Preparer:
 def load_preparer(spark: SparkSession, path: str) -> Preparer:
     params = json.loads(spark.read.text(f"{path}/params").first()[0])
     return Preparer({k: tuple(v) for k, v in params["numeric"].items()}, params["categorical"],
-                    params["boolean"], spark.read.parquet(f"{path}/levels"), params["known_rows"])
+                    params["boolean"], spark.read.parquet(f"{path}/levels"), params["known_rows"],
+                    params["late_rate"])
 
 
 def fit_preparer(train: DataFrame, features: Sequence[str],
@@ -159,9 +186,10 @@ def fit_preparer(train: DataFrame, features: Sequence[str],
 
     spark = train.sparkSession
     if not categorical_columns:
-        none = spark.createDataFrame([], "feature string, value string, slot int")
+        none = spark.createDataFrame([], "feature string, value string, slot int, rate double")
         return Preparer(numeric, {}, boolean, none, {})
-    levels = pin(category_levels(train, categorical_columns, min_count))
+    levels = pin(level_rates(
+        category_levels(train, categorical_columns, min_count), train, categorical_columns))
     sizes = {r["feature"]: (r["known"], r["frequent"], r["rare"]) for r in levels.groupBy("feature").agg(
         F.count("*").alias("known"), F.count_if(F.col("level") != INFREQUENT).alias("frequent"),
         F.count_if(F.col("level") == INFREQUENT).alias("rare")).collect()}
@@ -181,8 +209,10 @@ def fit_preparer(train: DataFrame, features: Sequence[str],
     slotted = levels.alias("l").join(
         numbered.alias("s"),
         (F.col("l.feature") == F.col("s.feature")) & (F.col("l.value") == F.col("s.value")), "left",
-    ).select("l.feature", "l.value", F.coalesce("s.slot", rare_slot).alias("slot"))
+    ).select("l.feature", "l.value", F.coalesce("s.slot", rare_slot).alias("slot"), "l.rate")
+    average = train.agg(F.avg(C.TARGET)).first()[0]
     categorical = {c: values + ([INFREQUENT] if sizes.get(c, (0, 0, 0))[2] else [])
                    for c, values in slots.items()}
     return Preparer(numeric, categorical, boolean, pin(slotted),
-                    {c: known for c, (known, _, _) in sizes.items()})
+                    {c: known for c, (known, _, _) in sizes.items()},
+                    C.DEFAULT_GLOBAL_RATE if average is None else average)
