@@ -16,9 +16,9 @@ from .joins import lookup
 from .order_stats import exact_medians, long_form
 
 INFREQUENT = "__infrequent__"
-# the slot names pass through the driver and a learner keeps statistics per slot;
-# beyond this the fit stops with advice instead of dropping categories
-MAX_SLOTS = 200_000
+# slot names pass through the driver; a column with more frequent levels than this gets
+# no one-hot slots, and reaches the tree learner as the late rate of its level
+MAX_SLOTS = 50_000
 # a tree node orders the categories of a nominal feature, at a cost that grows with the
 # square of their number; columns with more levels enter as their training late rate
 NOMINAL_SLOTS = 256
@@ -90,9 +90,10 @@ class Preparer:
     levels: DataFrame
     known_rows: dict[str, int]
     late_rate: float = C.DEFAULT_GLOBAL_RATE
+    unlisted: tuple[str, ...] = ()
 
     def is_wide(self, column: str) -> bool:
-        return len(self.categorical[column]) > NOMINAL_SLOTS
+        return column in self.unlisted or len(self.categorical[column]) > NOMINAL_SLOTS
 
     @property
     def feature_names(self) -> list[str]:
@@ -120,6 +121,8 @@ class Preparer:
         entries per row instead of one per category. A column of very many levels enters
         as the late rate of its level instead.
         """
+        if one_hot and self.unlisted:
+            raise ValueError(f"too many levels for one-hot slots: {', '.join(self.unlisted)}")
         out = df
         encoded = []
         for column, slots in self.categorical.items():
@@ -154,7 +157,7 @@ class Preparer:
         spark = self.levels.sparkSession
         self.levels.write.mode("errorifexists").parquet(f"{path}/levels")
         params = {"numeric": self.numeric, "categorical": self.categorical, "boolean": self.boolean,
-                  "known_rows": self.known_rows, "late_rate": self.late_rate}
+                  "known_rows": self.known_rows, "late_rate": self.late_rate, "unlisted": self.unlisted}
         spark.createDataFrame([(json.dumps(params),)], "params string").coalesce(1) \
             .write.mode("errorifexists").text(f"{path}/params")
 
@@ -163,7 +166,7 @@ def load_preparer(spark: SparkSession, path: str) -> Preparer:
     params = json.loads(spark.read.text(f"{path}/params").first()[0])
     return Preparer({k: tuple(v) for k, v in params["numeric"].items()}, params["categorical"],
                     params["boolean"], spark.read.parquet(f"{path}/levels"), params["known_rows"],
-                    params["late_rate"])
+                    params["late_rate"], tuple(params["unlisted"]))
 
 
 def fit_preparer(train: DataFrame, features: Sequence[str],
@@ -193,10 +196,9 @@ def fit_preparer(train: DataFrame, features: Sequence[str],
     sizes = {r["feature"]: (r["known"], r["frequent"], r["rare"]) for r in levels.groupBy("feature").agg(
         F.count("*").alias("known"), F.count_if(F.col("level") != INFREQUENT).alias("frequent"),
         F.count_if(F.col("level") == INFREQUENT).alias("rare")).collect()}
-    width = sum(frequent + 1 for _, frequent, _ in sizes.values())
-    if width > MAX_SLOTS:
-        raise ValueError(f"{width} one-hot slots; raise min_count or clean the category names")
-    frequent = levels.where(F.col("level") != INFREQUENT).select("feature", "value").collect()
+    unlisted = tuple(c for c in categorical_columns if sizes.get(c, (0, 0, 0))[1] > MAX_SLOTS)
+    listed = ~F.col("feature").isin(list(unlisted)) if unlisted else F.lit(True)
+    frequent = levels.where((F.col("level") != INFREQUENT) & listed).select("feature", "value").collect()
     slots: dict[str, list[str]] = {c: [] for c in categorical_columns}
     for row in sorted(frequent, key=lambda r: (r["feature"], r["value"])):
         slots[row["feature"]].append(row["value"])
@@ -215,4 +217,4 @@ def fit_preparer(train: DataFrame, features: Sequence[str],
                    for c, values in slots.items()}
     return Preparer(numeric, categorical, boolean, pin(slotted),
                     {c: known for c, (known, _, _) in sizes.items()},
-                    C.DEFAULT_GLOBAL_RATE if average is None else average)
+                    C.DEFAULT_GLOBAL_RATE if average is None else average, unlisted)

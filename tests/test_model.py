@@ -79,6 +79,29 @@ def test_wide_category_enters_as_late_rate(spark, model, monkeypatch):
     assert fitted.preparer.is_wide("comuna") and narrow.size == len(fitted.preparer.raw_features)
 
 
+def test_column_beyond_the_slot_limit_still_trains(spark, monkeypatch):
+    monkeypatch.setattr("lagwatch.operators.preparation.MAX_SLOTS", 1)
+    train = spark.createDataFrame([("a", 1)] * 12 + [("b", 0)] * 12 + [("c", 1), ("d", 0)],
+                                  f"carrier string, {C.TARGET} int")
+    fitted = prep.fit_preparer(train, ["carrier"])
+    assert fitted.unlisted == ("carrier",)
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "carrier string")
+    got = {r["carrier"]: r["features"][0] for r in fitted.transform(rows, one_hot=False).collect()}
+    assert got == {"a": 1.0, "b": 0.0, "c": 0.5, "z": 0.5}
+    with pytest.raises(ValueError):
+        fitted.transform(rows)
+
+
+def test_leave_one_out_takes_the_row_out_of_its_rate(spark):
+    train = spark.createDataFrame([("a", "r", 1), ("a", "r", 0), ("b", "s", 1)],
+                                  f"carrier string, region string, {C.TARGET} int")
+    rows = fit_rates(train).apply(train, target=C.TARGET).collect()
+    got = {(r["carrier"], r[C.TARGET]): r["tasa_fallo_carrier"] for r in rows}
+    assert got == {("a", 1): 0.0, ("a", 0): 1.0, ("b", 1): pytest.approx(2 / 3)}
+    few = fit_rates(train, min_count=2)
+    assert few.sizes == {"carrier": 1, "region": 1, "carrier_region": 1, "global": 1}
+
+
 def test_registry_round_trip_and_latest(spark, model):
     data, fitted, _ = model
     registry = ModelRegistry(spark, scratch_path(spark, "models"))
