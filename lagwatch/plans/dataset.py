@@ -12,7 +12,7 @@ from ..functions.dates import calendar
 from ..operators.event_log import events_per_order, recency_features
 from ..operators.joins import join_events, join_itineraries
 from ..operators.rates import Rates, fit_rates
-from ..operators.temporal_split import Cuts, assign_split, split_cuts
+from ..operators.temporal_split import Cuts, assign_split, only_split, split_cuts
 from ..schemas import model_features
 
 
@@ -53,9 +53,10 @@ class SplitData:
     rows: DataFrame
     cuts: Cuts
     rates: Rates
+    ts: str = "fecha_creacion"
 
     def part(self, name: str) -> DataFrame:
-        return self.rows.where(F.col("split") == name)
+        return only_split(self.rows, self.cuts, name, self.ts)
 
 
 def split_with_rates(dataset: DataFrame, ts: str = "fecha_creacion", key: str = "package_id",
@@ -63,9 +64,9 @@ def split_with_rates(dataset: DataFrame, ts: str = "fecha_creacion", key: str =
     """Split by time, learn the late rates on train, and add them to every row."""
     cuts = split_cuts(dataset, ts, key)
     labelled = assign_split(dataset, cuts, ts, key)
-    rates = fit_rates(labelled.where(F.col("split") == "train"), min_count)
+    rates = fit_rates(only_split(labelled, cuts, "train", ts), min_count)
     rows = rates.apply(labelled, salt_by=key)
     if leave_one_out:
         train = rates.apply(labelled.where(F.col("split") == "train"), target=C.TARGET, salt_by=key)
         rows = train.unionByName(rows.where(F.col("split") != "train"))
-    return SplitData(rows, cuts, rates)
+    return SplitData(rows, cuts, rates, ts)

@@ -107,6 +107,10 @@ def test_split_at_exact_rows_with_one_hot_instant(spark):
     expected = ["train"] * (n * 67 // 100) + ["val"] * (n * 84 // 100 - n * 67 // 100)
     expected += ["test"] * (n - len(expected))
     assert [got[k] for k in order] == expected
+    cuts = ts.split_cuts(df)
+    split = ts.assign_split(df, cuts)
+    for name in ("train", "val", "test"):
+        assert ts.only_split(split, cuts, name).count() == expected.count(name)
     blocks = ts.assign_block(df, ts.fold_cuts(df)).groupBy("block").count().collect()
     assert {r["block"]: r["count"] for r in blocks} == {b: 250 for b in (-1, 0, 1, 2, 3, 4)}
 
@@ -114,6 +118,16 @@ def test_split_at_exact_rows_with_one_hot_instant(spark):
 def test_empty_input_splits_to_nothing(spark):
     df = spark.createDataFrame([], "fecha_creacion timestamp_ntz, package_id string")
     assert ts.temporal_split(df).count() == 0
+    cuts = ts.split_cuts(df)
+    assert all(ts.only_split(ts.assign_split(df, cuts), cuts, name).count() == 0 for name in ("train", "val", "test"))
+
+
+def test_cut_among_rows_without_a_date(spark):
+    df = spark.range(100).select(F.lit(None).cast("timestamp_ntz").alias("fecha_creacion"),
+                                 F.format_string("k%03d", "id").alias("package_id"))
+    cuts = ts.split_cuts(df)
+    split = ts.assign_split(df, cuts)
+    assert [ts.only_split(split, cuts, name).count() for name in ("train", "val", "test")] == [67, 17, 16]
 
 
 def test_ks_distance_equals_brute_force(spark):
