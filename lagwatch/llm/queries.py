@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwatch.llm import lines, packing
+from lagwatch.llm import language, lines, packing, quality
 from lagwatch.llm.common import documents
 from lagwatch.llm.token_store import TokenStore
 
@@ -33,8 +33,23 @@ def line_dedup(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    return quality.clean_lines(docs, with_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"), 5, 0)))
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": quality_rules,
     "op3_token_output": token_output,
     "op4_best_fit": best_fit,
     "op7_line_dedup": line_dedup,
+    "op8_language_id": language_id,
 }
