@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwatch.llm import language, lines, packing, quality
+from lagwatch.llm import language, lines, packing, quality, toxicity
 from lagwatch.llm.common import documents
 from lagwatch.llm.token_store import TokenStore
 
@@ -46,10 +46,20 @@ def language_id(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def toxic_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    train = labels.where(~language.held_out(F.col("doc_id"), 5, 0))
+    model = toxicity.fit(docs.join(train, "doc_id"))
+    return toxicity.score(docs, model).select(
+        "doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules,
     "op3_token_output": token_output,
     "op4_best_fit": best_fit,
+    "op5_toxicity": toxic_scores,
     "op7_line_dedup": line_dedup,
     "op8_language_id": language_id,
 }
