@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwatch.llm import language, lines, packing, quality, toxicity
+from lagwatch.llm import language, lattice, lines, packing, quality, toxicity
 from lagwatch.llm.common import documents
 from lagwatch.llm.token_store import TokenStore
 
@@ -55,6 +55,15 @@ def toxic_scores(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+def lattice_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d).select("doc_id", "text")
+    held = language.held_out(F.col("doc_id"), 7, 2)
+    model, words = lattice.fit(docs.where(~held), tokenizer("piece_bpe_32k.model"))
+    return lattice.score(docs, model, words).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules,
     "op3_token_output": token_output,
@@ -62,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxic_scores,
     "op7_line_dedup": line_dedup,
     "op8_language_id": language_id,
+    "op10_lattice_scores": lattice_scores,
 }
