@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwatch.llm import language, lattice, lines, packing, quality, toxicity
+from lagwatch.llm import decontamination, language, lattice, lines, packing, quality, toxicity
 from lagwatch.llm.common import documents
 from lagwatch.llm.token_store import TokenStore
 
@@ -64,6 +64,11 @@ def lattice_scores(spark: SparkSession, d: str) -> DataFrame:
         "base_score", "score")
 
 
+def benchmark_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document and item found in it; documents without a match give none."""
+    return decontamination.matches(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules,
     "op3_token_output": token_output,
@@ -71,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxic_scores,
     "op7_line_dedup": line_dedup,
     "op8_language_id": language_id,
+    "op9_benchmark_leaks": benchmark_leaks,
     "op10_lattice_scores": lattice_scores,
 }
