@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwatch.llm import decontamination, language, lattice, lines, packing, quality, toxicity
+from lagwatch.llm import decontamination, jaccard, language, lattice, lines, packing, quality, toxicity
 from lagwatch.llm.common import documents
 from lagwatch.llm.token_store import TokenStore
 
@@ -69,7 +69,12 @@ def benchmark_leaks(spark: SparkSession, d: str) -> DataFrame:
     return decontamination.matches(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
+def jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.with_components(documents(spark, d), jaccard.Rule(n=4, num=85, den=100))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": jaccard_join,
     "op2_quality_rules": quality_rules,
     "op3_token_output": token_output,
     "op4_best_fit": best_fit,
