@@ -22,7 +22,7 @@ class WordEncoder:
     is full, the pieces not seen since the last time go. That costs time and changes no id.
     """
 
-    def __init__(self, path: str, remember: int = 400_000, longest: int = 64) -> None:
+    def __init__(self, path: str, remember: int = 600_000, longest: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of an executor share its cores already
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,28 +45,46 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch(pieces[start:start + 10_000], add_special_tokens=False):
                 yield np.array(e.ids, self.kind).tobytes()
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.kind)
-        pieces = self.pieces(text)
-        missing = set(pieces).difference(self.recent)
-        once: dict[str, bytes] = {}
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Remember the ids of the missing pieces; return those of pieces too long to keep."""
+        if len(self.recent) + len(missing) > self.remember:
+            self.older, self.recent = self.recent, {}
+        once, new = {}, []
+        for piece in missing:
+            if piece in self.older:
+                self.recent[piece] = self.older[piece]
+            else:
+                new.append(piece)
+        for piece, ids in zip(new, self._ids(new), strict=True):
+            (self.recent if len(piece) <= self.longest else once)[piece] = ids
+        return once
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; the unknown pieces of all of them are encoded together."""
+        pieces = [self.pieces(t) if t else [] for t in texts]
+        found = [list(map(self.recent.get, p)) for p in pieces]
+        gaps = [_gaps(f) for f in found]
+        missing = {p[i] for p, g in zip(pieces, gaps, strict=True) for i in g}
         if missing:
-            if len(self.recent) + len(missing) > self.remember:
-                self.older, self.recent = self.recent, {}
-                missing = set(pieces)
-            new = []
-            for piece in missing:
-                if piece in self.older:
-                    self.recent[piece] = self.older[piece]
-                else:
-                    new.append(piece)
-            for piece, ids in zip(new, self._ids(new), strict=True):
-                (self.recent if len(piece) <= self.longest else once)[piece] = ids
-        known = self.recent
-        if once:
-            return np.frombuffer(b"".join([once[p] if p in once else known[p] for p in pieces]), self.kind)
-        return np.frombuffer(b"".join([known[p] for p in pieces]), self.kind)
+            once = self._learn(missing)
+            for p, f, g in zip(pieces, found, gaps, strict=True):
+                for i in g:
+                    ids = self.recent.get(p[i])
+                    f[i] = once[p[i]] if ids is None else ids
+        return [np.frombuffer(b"".join(f), self.kind) for f in found]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+
+def _gaps(found: list[bytes | None]) -> list[int]:
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -79,8 +97,21 @@ def encoder(path: str) -> WordEncoder:
 def encoded(path: str, texts: Iterable[str | None], end_id: int) -> Iterator[np.ndarray]:
     """Ids of each text as unsigned 32-bit integers, with the end id."""
     use = encoder(path)
+    for group in _groups(texts):
+        for ids in use.encode_many(group):
+            out = np.empty(len(ids) + 1, "<u4")
+            out[:-1], out[-1] = ids, end_id
+            yield out
+
+
+def _groups(texts: Iterable[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
+    """Texts in order, some ``chars`` characters together."""
+    group, size = [], 0
     for text in texts:
-        ids = use.encode(text)
-        out = np.empty(len(ids) + 1, "<u4")
-        out[:-1], out[-1] = ids, end_id
-        yield out
+        group.append(text)
+        size += len(text or "") + 100
+        if size >= chars:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
