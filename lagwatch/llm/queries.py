@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwatch.llm import decontamination, jaccard, language, lattice, lines, packing, quality, toxicity
+from lagwatch.llm import decontamination, jaccard, language, lattice, lines, packing, quality, repeats, toxicity
 from lagwatch.llm.common import documents
 from lagwatch.llm.token_store import TokenStore
 
@@ -73,12 +73,22 @@ def jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard.with_components(documents(spark, d), jaccard.Rule(n=4, num=85, den=100))
 
 
+def suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    cut = repeats.remove_repeats(documents(spark, d).select("doc_id", "text"), length=400)
+    removed = F.aggregate(F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int>>")), F.lit(0).cast("long"),
+                          lambda total, s: total + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                      F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join,
     "op2_quality_rules": quality_rules,
     "op3_token_output": token_output,
     "op4_best_fit": best_fit,
     "op5_toxicity": toxic_scores,
+    "op6_suffix_dedup": suffix_dedup,
     "op7_line_dedup": line_dedup,
     "op8_language_id": language_id,
     "op9_benchmark_leaks": benchmark_leaks,
