@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwatch.llm.common import id_and_text, staged
+from lagwatch.llm.common import id_and_text, staged, with_row_key
 from lagwatch.llm.components import components
 from lagwatch.llm.decontamination import shingle_hashes
 
@@ -141,33 +141,33 @@ def _signature(sorted_set: np.ndarray) -> tuple[int, int]:
 
 
 def _classes(docs: DataFrame, rule: Rule, cells: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, size, high, low) per document, and per class its id, smallest document, size,
+    """(doc_id, __h, size, high, low) per document, and per class its id, smallest document, size,
     prefix, list salts and parts."""
     sent = docs.sparkSession.sparkContext.broadcast(cells)
-    schema = "doc_id long, size int, high long, low long, prefix binary, salts binary, parts binary"
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    names = ["doc_id", "size", "high", "low", "prefix", "salts", "parts"]
+    schema = "doc_id long, __h long, size int, high long, low long, prefix binary, salts binary, parts binary"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["doc_id", "__h", "size", "high", "low", "prefix", "salts", "parts"]
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, top = sent.value, np.uint64(64 - CELL_BITS)
         for batch in batches:
             out = []
-            for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for key, row, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "__h", "text")), strict=True):
                 grams = np.unique(occurrences(text, rule.n))
                 if not len(grams):
-                    out.append((key, 0, 0, 0, b"", b"", b""))
+                    out.append((key, row, 0, 0, 0, b"", b"", b""))
                     continue
                 rank = counts[(grams >> top).astype(np.int64)]
                 first = np.argsort(rank, kind="stable")[:rule.prefix(len(grams))]  # ties by hash
                 salts = np.ceil(np.exp2(np.minimum(rank[first] / 256.0, 60)) / LIST_ROWS)
                 parts = np.minimum(np.bincount((grams & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 65535)
-                out.append((key, len(grams), *_signature(grams), grams[first].tobytes(),
+                out.append((key, row, len(grams), *_signature(grams), grams[first].tobytes(),
                             np.minimum(salts, 1 << 20).astype("<u4").tobytes(), parts.astype("<u2").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else
                                              [pa.array([], t) for t in types], names=names)
 
     described_ = staged(docs.mapInArrow(described, schema), "sets")
-    members = described_.select("doc_id", "size", "high", "low")
+    members = described_.select("doc_id", "__h", "size", "high", "low")
     classes = (described_.where("size > 0").groupBy("high", "low")
                .agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
                     F.first("salts").alias("salts"), F.first("parts").alias("parts"))
@@ -387,7 +387,7 @@ class Joined:
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
-    docs = id_and_text(docs)
+    docs = with_row_key(id_and_text(docs)).drop("__i")
     members, classes = _classes(docs, rule, _cells(docs, rule.n))
     lists = staged(_lists(_postings(classes), rule), "lists")
     pairs = lists.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
@@ -400,16 +400,22 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
     return Joined(members, classes, links)
 
 
-def with_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """doc_id, n_shingles and component_id of each document."""
+def grouped(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, __h (the row key of its text), size, group and component_id of each document. The
+    group is any number that the documents of a component share, and null for empty sets."""
     found = join(docs, rule)
     linked = components(found.links)
     ids = found.classes.select("cid", "high", "low", "doc_id")
     named = (ids.join(linked, ids.cid == linked.id, "left")
-             .withColumn("component", F.coalesce("component", "cid")).select("high", "low", "doc_id", "component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.join(least, "component").select("high", "low", "component_id")
+             .withColumn("group", F.coalesce("component", "cid")).select("high", "low", "doc_id", "group"))
+    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    by_class = named.join(least, "group").select("high", "low", "group", "component_id")
     members = found.members
-    out = members.where("size > 0").join(by_class, ["high", "low"]).select("doc_id", "size", "component_id")
-    alone = members.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
+    out = members.where("size > 0").join(by_class, ["high", "low"]).select("doc_id", "__h", "size", "group", "component_id")
+    alone = members.where("size = 0").select("doc_id", "__h", "size", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id"))
+    return out.unionByName(alone)
+
+
+def with_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles and component_id of each document."""
+    return grouped(docs, rule).select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
