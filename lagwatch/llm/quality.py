@@ -81,7 +81,7 @@ def rule_columns(text: Column) -> dict[str, Column]:
         "lines": let(lines, lambda x: F.struct(
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             F.aggregate(x, F.lit(0).cast("long"), lambda total, y: total + F.char_length(y)).alias("line_chars"),
-            F.aggregate(F.filter(x, line_passes), F.lit(0).cast("long"),
+            F.aggregate(F.filter(x, lambda y: line_passes(y)), F.lit(0).cast("long"),
                         lambda total, y: total + F.char_length(y)).alias("kept_chars"))),
         "n_symbols": F.regexp_count(whole, F.lit(SYMBOLS)).cast("long"),
     }
@@ -101,6 +101,6 @@ def clean_lines(docs: DataFrame, min_words: int = 10, max_repeat_pct: int = 20,
         "base_failed": failed, "kept": ~failed & enough}
     names = [c for c in docs.columns if c not in results]
     if with_text:
-        results["text"] = F.array_join(F.filter(word_lines(F.coalesce("text", F.lit(""))), line_passes), "\n")
+        results["text"] = F.array_join(F.filter(word_lines(F.coalesce("text", F.lit(""))), lambda y: line_passes(y)), "\n")
         names = [c for c in names if c != "text"]
     return out.select(*names, *[c.alias(n) for n, c in results.items()])
