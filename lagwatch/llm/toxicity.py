@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagwatch.llm.common import id_and_text, staged
+
 # Letters of other scripts that look like Latin ones, and signs used for letters.
 HOMOGLYPHS = str.maketrans(
     "абвгдезикмнорстухьіјѕԁһӏαβγδεζηικμνοπρτυχωϲ",
@@ -144,19 +146,20 @@ def _curve(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1.0) ->
     return tuple(w)
 
 
-def fit(labelled: DataFrame, max_labelled: int = 40_000, lexicon_size: int = 20_000, exceptions_size: int = 20_000,
-        min_docs: int = 5, min_precision: float = 0.75) -> ToxicModel:
-    """Learn from rows of (doc_id, text, toxic) whose label is 0 or 1."""
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), (F.col("toxic") == 1).alias("toxic")).where("toxic IS NOT NULL")
-    counts = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_size: int = 20_000,
+        exceptions_size: int = 20_000, min_docs: int = 5, min_precision: float = 0.75) -> ToxicModel:
+    """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks with 0 or 1."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    counts = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     n_toxic, n_other = counts.get(True, 0), counts.get(False, 0)
     if not n_toxic or not n_other:
         share = (n_toxic + 1) / (n_toxic + n_other + 2)
         return ToxicModel({}, frozenset(), (math.log(share / (1 - share)),))
-    # each label is thinned to at most half of the bound, by a hash of the id
+    # each label is thinned to about half of the bound, by a hash of the id, before any text is read
     half = max_labelled // 2
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
-    rows = rows.where(place < F.when(F.col("toxic"), half / n_toxic).otherwise(half / n_other)).select("text", "toxic")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
+    chosen = labels.where(place < F.when(F.col("toxic"), half / n_toxic).otherwise(half / n_other))
+    rows = staged(id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
     n_toxic, n_other = min(n_toxic, half), min(n_other, half)
     odds = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("other") + 0.5) / (n_other + 1)))
     lexicon = (rows.mapInArrow(_count_entries, "entry string, toxic long, other long")
