@@ -24,8 +24,9 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,81 +44,124 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-@dataclass
 class Speller:
-    """Log weights of first and inner pieces; inner weights include the stop."""
-
-    first: dict[str, float]
-    inner: dict[str, float]
-    stop: float
-    longest: int
-
-    def _arcs(self, word: str) -> tuple[int, list[tuple[int, int, str, float, bool]]]:
-        """Arcs (from, to, piece, log weight, is first) in order of their start."""
-        n, out = len(word), []
-        first, inner, longest = self.first, self.inner, self.longest
-        for j in range(0, min(n, longest) + 1):
-            w = first.get(word[:j])
+    """Log weights of first and inner pieces; inner weights include the stop.
+
+    Both tables also hold every beginning of a piece, with None where it is no piece itself, so a
+    search for the pieces at a place of a word ends at the first string that begins none.
+    """
+
+    def __init__(self, first: dict[str, float], inner: dict[str, float], stop: float) -> None:
+        self.first, self.inner, self.stop = _with_beginnings(first), _with_beginnings(inner), stop
+        self.byte = [inner[f"<0x{b:02X}>"] for b in range(256)]
+
+    def _bytes(self, letter: str) -> float:
+        return sum(self.byte[b] for b in letter.encode("utf-8", "surrogatepass"))
+
+    def log_probability(self, word: str) -> float:
+        """Marginal over all segmentations, by the forward recursion in log space."""
+        n, none = len(word), -math.inf
+        alpha = [none] * (n + 1)
+        exp, log1p, first, inner = math.exp, math.log1p, self.first, self.inner
+        for j in range(n + 1):
+            w = first.get(word[:j], 0)
+            if w == 0:
+                break
             if w is not None:
-                out.append((0, j, word[:j], w, True))  # j = 0: the mark of a start alone
+                alpha[j] = w
         for i in range(n):
+            a = alpha[i]
+            if a == none:
+                continue
             single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                w = inner.get(word[i:j])
+            for j in range(i + 1, n + 1):
+                w = inner.get(word[i:j], 0)
+                if w == 0:
+                    break
                 if w is not None:
-                    out.append((i, j, word[i:j], w, False))
-                    single |= j == i + 1
+                    single = single or j == i + 1
+                    x, y = a + w, alpha[j]
+                    alpha[j] = x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
             if not single:
-                weight = sum(inner[f"<0x{b:02X}>"] for b in word[i].encode("utf-8", "surrogatepass"))
-                out.append((i, i + 1, word[i], weight, False))
-        return n, out
-
-    def log_probability(self, word: str) -> float:
-        """Marginal over all segmentations, by the forward recursion."""
-        n, arcs = self._arcs(word)
-        alpha = [-math.inf] * (n + 1)
-        exp, log1p = math.exp, math.log1p
-        for i, j, _, w, first in arcs:
-            x = w if first else alpha[i] + w
-            if x == -math.inf:
-                continue
-            a = alpha[j]
-            alpha[j] = x + log1p(exp(a - x)) if x > a else a + log1p(exp(x - a))
+                x, y = a + self._bytes(word[i]), alpha[i + 1]
+                alpha[i + 1] = x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
         return alpha[n] + self.stop
 
-    def expect(self, word: str, firsts: dict, inners: dict) -> None:
-        """Add the expected uses of each piece in one occurrence of the word."""
-        n, arcs = self._arcs(word)
-        top = max((w for *_, w, _ in arcs), default=0.0)
-        # plain numbers are enough here: a word is short, and weights are taken from their largest
+    def expect(self, word: str, firsts: dict[str, float], inners: dict[str, float]) -> None:
+        """Add the expected uses of each piece in one occurrence of the word, by the forward and the
+        backward recursion. Weights are lifted per letter, so that plain numbers reach; where they
+        do not, for long or odd words, by the word's own probability."""
+        if not self._expect(word, firsts, inners, 1.7):
+            self._expect(word, firsts, inners, -self.log_probability(word) / (len(word) + 1))
+
+    def _expect(self, word: str, firsts: dict[str, float], inners: dict[str, float], lift: float) -> bool:
+        n, exp = len(word), math.exp
         alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-        weights = [math.exp(w - top) for *_, w, _ in arcs]
-        for (i, j, _, _, first), w in zip(arcs, weights, strict=True):
-            alpha[j] += w if first else alpha[i] * w
-        beta[n] = 1.0
-        for (i, j, _, _, first), w in zip(reversed(arcs), reversed(weights), strict=True):
-            if not first:
-                beta[i] += w * beta[j]
-        if not alpha[n] > 0.0 or not math.isfinite(alpha[n]):
-            return
-        for (i, j, piece, _, first), w in zip(arcs, weights, strict=True):
-            share = (w if first else alpha[i] * w) * beta[j] / alpha[n]
-            if share > 1e-9:
-                if first:
-                    firsts[piece] = firsts.get(piece, 0.0) + share
-                elif piece in self.inner:
-                    inners[piece] = inners.get(piece, 0.0) + share
+        starts, arcs = [], []
+        for j in range(n + 1):
+            w = self.first.get(word[:j], 0)
+            if w == 0:
+                break
+            if w is not None:
+                x = exp(w + lift * j)
+                alpha[j] = x
+                starts.append((j, word[:j], x))
+        inner = self.inner
+        for i in range(n):
+            a = alpha[i]
+            if a == 0.0:
+                continue
+            single = False
+            for j in range(i + 1, n + 1):
+                piece = word[i:j]
+                w = inner.get(piece, 0)
+                if w == 0:
+                    break
+                if w is not None:
+                    single = single or j == i + 1
+                    x = exp(w + lift * (j - i))
+                    alpha[j] += a * x
+                    arcs.append((i, j, piece, x))
+            if not single:
+                x = exp(self._bytes(word[i]) + lift)
+                alpha[i + 1] += a * x
+                arcs.append((i, i + 1, None, x))
+        whole = alpha[n]
+        if not 1e-200 < whole < 1e200:
+            return False
+        beta[n] = 1.0 / whole
+        for i, j, piece, x in reversed(arcs):
+            y = x * beta[j]
+            if y:
+                beta[i] += y
+                y *= alpha[i]
+                if piece is not None:
+                    inners[piece] = inners.get(piece, 0.0) + y
                 else:
-                    for b in piece.encode("utf-8", "surrogatepass"):
-                        inners[f"<0x{b:02X}>"] = inners.get(f"<0x{b:02X}>", 0.0) + share
+                    for b in word[i].encode("utf-8", "surrogatepass"):
+                        name = f"<0x{b:02X}>"
+                        inners[name] = inners.get(name, 0.0) + y
+        for j, piece, x in starts:
+            y = x * beta[j]
+            if y:
+                firsts[piece] = firsts.get(piece, 0.0) + y
+        return True
+
+
+def _with_beginnings(weights: dict[str, float]) -> dict[str, float | None]:
+    # an inner byte piece is found by its byte, not by its name
+    out: dict[str, float | None] = {p: w for p, w in weights.items() if not p.startswith("<0x")}
+    for piece in list(out):
+        for n in range(1, len(piece)):
+            out.setdefault(piece[:n], None)
+    return out
 
 
 def speller(first: dict[str, float], inner: dict[str, float], stops: float) -> Speller:
     """Weights from counts, each distribution normalised."""
     total_first, total_inner = sum(first.values()), sum(inner.values()) + stops
-    longest = max([len(p) for p in first] + [len(p) for p in inner if not p.startswith("<0x")] + [1])
     return Speller({p: math.log(c / total_first) for p, c in first.items()},
-                   {p: math.log(c / total_inner) for p, c in inner.items()}, math.log(stops / total_inner), longest)
+                   {p: math.log(c / total_inner) for p, c in inner.items()}, math.log(stops / total_inner))
 
 
 def first_weights(model_file: str) -> tuple[dict[str, float], dict[str, float]]:
@@ -171,7 +215,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def train_speller(words: DataFrame, model_file: str, rounds: int = 2) -> Speller:
+def train_speller(words: DataFrame, model_file: str, rounds: int = 1) -> Speller:
     """Expectation steps over all distinct words, each weighing one; sums come back per piece."""
     base_first, base_inner = first_weights(model_file)
     current = speller(base_first, base_inner, sum(base_inner.values()) / 3)
@@ -209,14 +253,14 @@ def train_speller(words: DataFrame, model_file: str, rounds: int = 2) -> Speller
 
 @dataclass
 class TextModel:
-    """Totals of the training tokens, the speller, and the counts of frequent words."""
+    """Totals of the training tokens, the speller, and the scores of frequent words."""
 
     total: int
     distinct: int
     ends: int
     discount: float
     spell: Speller
-    frequent: dict[bytes, int]
+    frequent: dict[bytes, tuple[float, float]]  # base and own log10 probability
 
     def base(self, count: int) -> float:
         return math.log10((count + 1) / (self.total + self.distinct + 1))
@@ -237,7 +281,7 @@ class TextModel:
         return high + math.log10(1 + 10 ** (low - high))
 
 
-def fit(train: DataFrame, model_file: str, frequent_words: int = 200_000, rounds: int = 2) -> tuple[TextModel, DataFrame]:
+def fit(train: DataFrame, model_file: str, frequent_words: int = 300_000, rounds: int = 1) -> tuple[TextModel, DataFrame]:
     """The model, and the table of all counts."""
     words = staged(count_words(id_and_text(train)), "word-counts")
     is_word = F.col("word") != F.lit(END)
@@ -251,11 +295,21 @@ def fit(train: DataFrame, model_file: str, frequent_words: int = 200_000, rounds
         if reached > frequent_words:
             break
         least = r.step
-    frequent = {} if least is None else {bytes(r.word): r.n for r in words.where(is_word & (step >= least)).collect()}
     discount = total.once / (total.once + 2 * total.twice) if total.once else 0.5
     model = TextModel(total.total or 0, total.distinct, total.ends or 0, min(0.95, max(0.05, discount)),
-                      train_speller(words, model_file, rounds), frequent)
-    return model, words
+                      train_speller(words, model_file, rounds), {})
+    if least is None:
+        return model, words
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(w, n) for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["word"], pa.array([model.base(n) for _, n in pairs], pa.float64()),
+                                              pa.array([model.word(w, n) for w, n in pairs], pa.float64())], names=["word", "base", "own"])
+
+    found = words.where(is_word & (step >= least)).select("word", "n").mapInArrow(scored, "word binary, base double, own double").toArrow()
+    pairs = zip(found["base"].to_pylist(), found["own"].to_pylist(), strict=True)
+    return replace(model, frequent=dict(zip(found["word"].to_pylist(), pairs, strict=True))), words
 
 
 def score(docs: DataFrame, model: TextModel, words: DataFrame) -> DataFrame:
@@ -266,40 +320,54 @@ def score(docs: DataFrame, model: TextModel, words: DataFrame) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each text a row with the sums over its frequent words (word null), and a row for
         each other word."""
-        m, known = sent.value, {}
+        m = sent.value
+        known, base_end, own_end = m.frequent, m.base(m.ends), m.end()
         for batch in batches:
-            out: list[tuple] = []
+            texts: list[tuple] = []
+            rows: list[int] = []
+            keys: list[int | None] = []
+            others: list[bytes] = []
+            times: list[int] = []
             for row, key, text in zip(batch["__row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                n, base, own, rest = 0, m.base(m.ends), m.end(), []
+                n, base, own, before = 0, base_end, own_end, len(others)
                 for word, k in Counter(tokens(text)).items():
                     pair = known.get(word)
                     if pair is None:
-                        count = m.frequent.get(word)
-                        if count is None:
-                            rest.append((row, key, word, k, 0, 0, 0.0, 0.0))
-                            continue
-                        pair = known[word] = (m.base(count), m.word(word, count))
+                        others.append(word)
+                        times.append(k)
+                        continue
                     n += k
                     base += k * pair[0]
                     own += k * pair[1]
-                out.append((row, key, None, 0, n + 1, n + (m.ends > 0), base, own))
-                out.extend(rest)
-                if len(out) > 50_000:
-                    yield _rows(out)
-                    out = []
-            yield _rows(out)
+                texts.append((row, key, n + 1, n + (m.ends > 0), base, own))
+                rows.extend([row] * (len(others) - before))
+                keys.extend([key] * (len(others) - before))
+                if len(others) > 50_000:
+                    yield from _rows(texts, rows, keys, others, times)
+                    texts, rows, keys, others, times = [], [], [], [], []
+            yield from _rows(texts, rows, keys, others, times)
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows with a word, sorted by it, as sums like the others."""
-        m, last, pair, count = sent.value, None, (0.0, 0.0), 0
+        """Rows with a word, sorted by it, as sums like the others; a word is spelled once."""
+        m, last, pair = sent.value, None, (0.0, 0.0)
         for batch in batches:
-            out: list[tuple] = []
-            for row, key, word, k, n in zip(*(batch[c].to_pylist() for c in ("__row", "doc_id", "word", "k", "n")), strict=True):
-                if word != last:
-                    last, count = word, n or 0
-                    pair = m.base(count), m.word(word, count)
-                out.append((row, key, None, 0, k, k if count else 0, k * pair[0], k * pair[1]))
-            yield _rows(out)
+            words_ = batch["word"].to_pylist()
+            if not words_:
+                continue
+            new = [i for i in range(len(words_)) if i == 0 or words_[i] != words_[i - 1]]
+            counts = batch["n"].fill_null(0).to_numpy(zero_copy_only=False)
+            pairs = []
+            for i in new:
+                if words_[i] != last:
+                    last, count = words_[i], int(counts[i])
+                    pair = m.base(count), m.word(last, count)
+                pairs.append(pair)
+            each = np.repeat(np.array(pairs), np.diff([*new, len(words_)]), axis=0)
+            k = batch["k"].to_numpy().astype(np.int64)
+            zeros = pa.nulls(len(k), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [batch["__row"], batch["doc_id"], zeros, batch["k"], pa.array(k), pa.array(np.where(counts > 0, k, 0)),
+                 pa.array(k * each[:, 0]), pa.array(k * each[:, 1])], names=_PART_NAMES)
 
     split = staged(keyed.select("__row", "doc_id", "text").mapInArrow(parts, _PARTS), "word-parts")
     rare = (split.where("word IS NOT NULL").select("__row", "doc_id", "word", "k").join(words, "word", "left")
@@ -310,10 +378,17 @@ def score(docs: DataFrame, model: TextModel, words: DataFrame) -> DataFrame:
 
 
 _PARTS = "__row long, doc_id long, word binary, k int, n_tokens long, n_known long, base_score double, score double"
-_PART_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 _PART_NAMES = ["__row", "doc_id", "word", "k", "n_tokens", "n_known", "base_score", "score"]
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True)) if out else [[]] * len(_PART_TYPES)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _PART_TYPES, strict=True)], names=_PART_NAMES)
+def _rows(texts: list[tuple], rows: list[int], keys: list, words: list[bytes], times: list[int]) -> Iterator[pa.RecordBatch]:
+    if texts:
+        row, key, n, known, base, own = zip(*texts, strict=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row, pa.int64()), pa.array(key, pa.int64()), pa.nulls(len(row), pa.binary()), pa.array(np.zeros(len(row), np.int32)),
+             pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=_PART_NAMES)
+    if words:
+        zeros, nothing = pa.array(np.zeros(len(words), np.int64)), pa.array(np.zeros(len(words)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int32()),
+             zeros, zeros, nothing, nothing], names=_PART_NAMES)
