@@ -80,7 +80,6 @@ EVENT_STATES = [
     "order_creation", "confirmed", "picking", "packed", "dispatch",
     "in_transit", "out_for_delivery", "delivered", "cancelled", "returned",
 ]
-TERMINAL_STATES = ["delivered", "cancelled", "returned"]
 
 # --- fixed values: thresholds, split, targets, triggers ------------------------
 THRESHOLDS = {"low": 0.3, "default": 0.5, "high": 0.7}
@@ -97,6 +96,7 @@ MIN_LABELLED = 100
 MIN_KS_VALUES = 30
 REFERENCE_POINTS = 1000
 REFERENCE_PERCENTILES = 20
+EXACT_KS_VALUES = 10_000  # largest sample whose p-value is exact
 CRITICAL_DRIFT_FEATURES = [
     "complexity_score", "num_transfers", "total_span_hours",
     "tasa_fallo_carrier", "porcentaje_eta_consumido",
@@ -114,6 +114,12 @@ ACTION_DEFAULT = "MONITOREO_ACTIVO: Revisar en próximo ciclo y preparar conting
 ACTION_LOW = "ALERTA_PREVENTIVA: Marcar para seguimiento manual"
 ACTION_NONE = "SIN_ACCIÓN: Orden dentro de parámetros normales"
 
+# reasons of a retraining, filled with the figures
+REASON_PR_AUC = "PR-AUC cayó %.1f%% (> {limit}%%)"
+REASON_RECALL = "Recall %.3f < {limit}"
+REASON_DRIFT = "Drift en features: [%s]"
+REASON_CATEGORIES = "Nuevas categorías: {{%s}}"
+
 RAISES, LOWERS = "incrementa", "reduce"
 DIRECTION_RAISES, DIRECTION_LOWERS = "incrementa_riesgo", "reduce_riesgo"
 RISK_SUFFIX = "el riesgo"

@@ -8,42 +8,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import risk
-
-
-def typical_values(train: DataFrame, numeric: dict[str, float], categorical: Sequence[str],
-                   boolean: Sequence[str]) -> dict[str, object]:
-    """Median of numeric features, most frequent value of the others (one row read)."""
-    values: dict[str, object] = dict(numeric)
-    for column in [*categorical, *boolean]:
-        # counted per value first: the most frequent one costs one small sorted row
-        top = (train.where(F.col(column).isNotNull()).groupBy(column)
-               .agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).first())
-        values[column] = top[0] if top else None
+from .preparation import Preparer
+
+
+def typical_values(train: DataFrame, preparer: Preparer) -> dict[str, object]:
+    """Median of numeric features, most frequent value of the others; a missing category is not
+    typical. The categories were counted when the preparation was learnt."""
+    values: dict[str, object] = {c: stats[0] for c, stats in preparer.numeric.items()}
+    levels = preparer.levels.where(F.col("value") != C.UNKNOWN)
+    # of equally frequent values the first by name
+    tops = {r["feature"]: r["top"] for r in levels.groupBy("feature").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("top")).collect()}
+    values |= {c: tops.get(c) for c in preparer.slots}
+    if preparer.boolean:
+        counts = train.agg(*[F.count_if(F.col(c).cast("int") == v).alias(f"{c}.{v}") for c in preparer.boolean for v in (0, 1)]).first()
+        values |= {c: int(counts[f"{c}.1"] > counts[f"{c}.0"]) for c in preparer.boolean}
     return values
 
 
-def occlusion(rows: DataFrame, predict, key: str, typical: dict[str, object]) -> DataFrame:
+def occlusion(prepared: DataFrame, score, key: str, names: Sequence[str], typical: Sequence[float]) -> DataFrame:
     """Long form ``key, feature, contribution``.
 
-    ``predict`` adds a ``margin`` column to raw feature rows. Each row is repeated
-    once per feature, in place, so there is no shuffle.
+    ``prepared`` rows carry the encoded ``features``, one entry per name, and ``score`` adds a
+    ``margin`` to such rows. A row is encoded once; each variant swaps one entry for its typical
+    value, in place, so there is neither a shuffle nor a lookup on the repeated rows.
     """
-    scored = predict(rows).withColumnRenamed("margin", "_margin")
-    names = list(typical)
-    variants = scored.withColumn("_feature", F.explode(F.array(*[F.lit(n) for n in names])))
-
-    def replaced(name: str) -> Column:
-        kind = rows.schema[name].dataType
-        return F.when(F.col("_feature") == name, F.lit(typical[name]).cast(kind)).otherwise(F.col(name))
-
-    changed = variants.withColumns({name: replaced(name) for name in names})
-    return predict(changed).select(
-        key, F.col("_feature").alias("feature"), (F.col("_margin") - F.col("margin")).alias("contribution"))
+    scored = score(prepared.select(key, "features", vector_to_array("features").alias("_x"))).withColumnRenamed("margin", "_margin")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("feature"), F.lit(float(v)).alias("v"))
+                       for i, (n, v) in enumerate(zip(names, typical, strict=True))])
+    variants = scored.select(key, "_margin", "_x", F.explode(wanted).alias("_s"))
+    swapped = variants.withColumn("features", array_to_vector(F.transform(
+        "_x", lambda x, i: F.when(i == F.col("_s.i"), F.col("_s.v")).otherwise(x))))
+    return score(swapped).select(key, F.col("_s.feature").alias("feature"), (F.col("_margin") - F.col("margin")).alias("contribution"))
 
 
 def margin_of(raw_prediction: str = "rawPrediction") -> Column:

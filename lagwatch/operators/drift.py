@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,11 +123,50 @@ def ks_p_value(distance: Column, n: Column, m: Column) -> Column:
     return F.when(scaled < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(2.0 * terms, F.lit(0.0)), F.lit(1.0)))
 
 
+def exact_ks_p_value(distance: float, n: int, m: int) -> float:
+    """Probability that two samples of one continuous distribution are at least this far apart.
+
+    All orders of n and m values are equally likely; a path of n + m steps takes one value of either
+    sample at a time. The probability of having stayed nearer than the distance is carried from
+    one number of steps to the next, for all numbers of values of the first sample at once.
+    """
+    n, m = min(n, m), max(n, m)
+    unit = math.gcd(n, m)
+    a, b = m // unit, n // unit
+    limit = round(distance * a * n)  # the distance in steps of 1 / lcm(n, m)
+    if limit <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    inside = np.zeros(n + 1)
+    inside[0] = 1.0
+    for k in range(1, n + m + 1):
+        j = k - i
+        left = n + m - k + 1
+        from_first = np.concatenate([[0.0], inside[:-1] * (n - i[:-1])]) / left
+        from_second = inside * np.maximum(m - j + 1, 0) / left
+        inside = np.where((j >= 0) & (j <= m) & (np.abs(i * a - j * b) < limit), from_first + from_second, 0.0)
+    return float(min(1.0, max(0.0, 1.0 - inside[n])))
+
+
+def with_p_values(ks: DataFrame) -> DataFrame:
+    """Add ``p_value`` to the few rows of distances, one per feature: exact up to a sample size,
+    asymptotic beyond it, as the test the thresholds were set for."""
+    asymptotic = ks.withColumn("p_value", ks_p_value(F.col("ks_stat"), F.col("n_recent"), F.col("n_reference")))
+
+    def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            small = part[["n_recent", "n_reference"]].max(axis=1) <= C.EXACT_KS_VALUES
+            part.loc[small, "p_value"] = [exact_ks_p_value(d, int(n), int(m)) for d, n, m in
+                                          zip(part.ks_stat[small], part.n_recent[small], part.n_reference[small], strict=True)]
+            yield part
+
+    return asymptotic.mapInPandas(exact, asymptotic.schema)
+
+
 def feature_drift(recent: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:
     """Distance, p-value and drift flag per feature."""
-    ks = ks_statistics(recent, reference_sample(stats), features)
-    p = ks_p_value(F.col("ks_stat"), F.col("n_recent"), F.col("n_reference"))
-    return ks.withColumn("p_value", p).withColumns({
+    ks = with_p_values(ks_statistics(recent, reference_sample(stats), features))
+    return ks.withColumns({
         "drift": F.col("p_value") < C.KS_P_VALUE,
         "critical": F.col("feature").isin(C.CRITICAL_DRIFT_FEATURES)})
 
@@ -169,16 +211,11 @@ def retrain_decision(performance: DataFrame, drift: DataFrame, unseen: DataFrame
         "performance_trigger": F.col("pr_auc_trigger") | F.col("recall_trigger"),
         "category_trigger": F.col("new_values") > 0,
     })
-    pct = F.format_number(F.col("pr_auc_drop") * 100, 1)
     reasons = F.array_compact(F.array(
-        F.when(F.col("pr_auc_trigger"), F.concat(
-            F.lit("PR-AUC cayó "), pct, F.lit(f"% (> {C.PR_AUC_DROP * 100}%)"))),
-        F.when(F.col("recall_trigger"), F.concat(
-            F.lit("Recall "), F.format_number("recall", 3), F.lit(f" < {C.TRIGGER_RECALL}"))),
-        F.when(F.col("drift_trigger"), F.concat(
-            F.lit("Drift en features: ["), F.col("_names"), F.lit("]"))),
-        F.when(F.col("category_trigger"), F.concat(
-            F.lit("Nuevas categorías: {"), F.col("_listed"), F.lit("}")))))
+        F.when(F.col("pr_auc_trigger"), F.format_string(C.REASON_PR_AUC.format(limit=C.PR_AUC_DROP * 100), F.col("pr_auc_drop") * 100)),
+        F.when(F.col("recall_trigger"), F.format_string(C.REASON_RECALL.format(limit=C.TRIGGER_RECALL), "recall")),
+        F.when(F.col("drift_trigger"), F.format_string(C.REASON_DRIFT, "_names")),
+        F.when(F.col("category_trigger"), F.format_string(C.REASON_CATEGORIES.format(), "_listed"))))
     decided = flags.withColumn("should_retrain", F.col("performance_trigger")
                                | F.col("drift_trigger") | F.col("category_trigger"))
     return decided.select(
@@ -186,9 +223,3 @@ def retrain_decision(performance: DataFrame, drift: DataFrame, unseen: DataFrame
         F.col("drifted_features").cast("bigint").alias("drifted_features"),
         F.col("new_values").cast("bigint").alias("new_values"), "should_retrain",
         reasons.alias("reasons"))
-
-
-def log_features(columns: Sequence[str]) -> list[str]:
-    """Raw numeric features a prediction log carries."""
-    numeric = C.NUMERIC_FEATURES + C.EVENT_FEATURES + C.RATE_FEATURES
-    return [name for name in numeric if name in set(columns)]

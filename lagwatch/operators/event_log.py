@@ -20,8 +20,9 @@ def _latest(df: DataFrame) -> Column:
 
 
 def events_per_order(events: DataFrame) -> DataFrame:
-    """Event count, first and last time, and the type of the latest event per order."""
-    return events.groupBy("order_id").agg(
+    """Event count, first and last time, and the type of the latest event per order; events
+    without an order belong to none."""
+    return events.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
         F.count("event_type").alias("num_eventos"),
         F.min("event_timestamp").alias("primer_evento_ts"),
         F.max("event_timestamp").alias("ultimo_evento_ts"),
@@ -30,7 +31,7 @@ def events_per_order(events: DataFrame) -> DataFrame:
 
 def partial_per_order(events: DataFrame) -> DataFrame:
     """The same aggregate in a form that can be merged later."""
-    return events.groupBy("order_id").agg(
+    return events.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
         F.count("event_type").alias("num_eventos"),
         F.min("event_timestamp").alias("primer_evento_ts"),
         F.max("event_timestamp").alias("ultimo_evento_ts"),
@@ -72,16 +73,20 @@ def event_gaps(events: DataFrame, silence_hours: float = 72.0) -> DataFrame:
     """Per order: events, silences longer than the limit, and events whose time runs
     backwards in arrival order. Needs ``event_id`` as arrival order."""
     at = F.col("event_timestamp")
-    narrow = events.select("order_id", "event_id", "event_timestamp")
+    narrow = events.where(F.col("order_id").isNotNull()).select("order_id", "event_id", "event_timestamp")
     in_time = previous_values(narrow, ["event_timestamp", "event_id"], ["event_timestamp"], ["order_id"])
     arrival = previous_values(narrow, ["event_id"], ["event_timestamp"], ["order_id"])
-    gaps = in_time.select("order_id", hours_between(F.col("event_timestamp_prev"), at).alias("gap"))
-    silent = gaps.groupBy("order_id").agg(
-        F.count("*").alias("events"), F.count_if(F.col("gap") > silence_hours).alias("silences"),
-        F.max("gap").alias("longest_gap_hours"))
-    back = arrival.groupBy("order_id").agg(F.count_if(at < F.col("event_timestamp_prev")).alias("out_of_order"))
-    return silent.alias("s").join(back.alias("b"), F.col("s.order_id").eqNullSafe(F.col("b.order_id"))).select(
-        "s.*", "b.out_of_order")
+    # the two orders need a sort each, but meet as partial counts in one grouping
+    no, gap = F.lit(0).cast("bigint"), hours_between(F.col("event_timestamp_prev"), at)
+    silent = in_time.groupBy("order_id").agg(
+        F.count("*").alias("events"), F.count_if(gap > silence_hours).alias("silences"),
+        F.max(gap).alias("longest_gap_hours"), F.first(no).alias("out_of_order"))
+    back = arrival.groupBy("order_id").agg(
+        F.first(no).alias("events"), F.first(no).alias("silences"), F.max(F.lit(None).cast("double")).alias("longest_gap_hours"),
+        F.count_if(at < F.col("event_timestamp_prev")).alias("out_of_order"))
+    return silent.unionByName(back).groupBy("order_id").agg(
+        F.sum("events").alias("events"), F.sum("silences").alias("silences"),
+        F.max("longest_gap_hours").alias("longest_gap_hours"), F.sum("out_of_order").alias("out_of_order"))
 
 
 def profile_by_type(events: DataFrame) -> DataFrame:
@@ -97,7 +102,7 @@ def profile_range(events: DataFrame) -> DataFrame:
 
 def profile_per_order(events: DataFrame) -> DataFrame:
     """Distribution of events per order: count, mean, std, min, quartiles, max."""
-    sizes = events.groupBy("order_id").agg(F.count("*").alias("events"))
+    sizes = events.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count("*").alias("events"))
     moments = sizes.agg(
         F.count("*").cast("double").alias("count"), F.avg("events").alias("mean"),
         F.stddev_samp("events").alias("std"), F.min("events").cast("double").alias("min"),

@@ -64,7 +64,7 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def packages_per_order(df: DataFrame) -> DataFrame:
-    """Orders with 1, 2 and 3 or more packages."""
-    size = df.groupBy("order_id").agg(F.count("*").alias("packages"))
+    """Orders with 1, 2 and 3 or more packages; packages without an order id are no order."""
+    size = df.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(F.count("*").alias("packages"))
     label = F.when(F.col("packages") >= 3, "3+").otherwise(F.col("packages").cast("string"))
     return value_counts(size.select(label.alias("packages")), ["packages"]).withColumnRenamed("n", "orders")

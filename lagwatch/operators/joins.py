@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes up to which a measured lookup table is broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Rows up to which a table of a few numbers is broadcast; some 16 MB.
 BROADCAST_ROWS = 200_000
-SALTS = 32
+#: Part of the facts that one key may hold, where nothing better is known.
+HOTTEST_SHARE = 1 / 3
 
 
 def on_keys(keys: Sequence[str], left: str = "l", right: str = "r") -> Column:
@@ -18,28 +23,54 @@ def on_keys(keys: Sequence[str], left: str = "l", right: str = "r") -> Column:
     return test
 
 
-def lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str],
-           rows: int | None = None, salt_by: str | None = None) -> DataFrame:
+def row_bytes(columns: Sequence[tuple[str, str]]) -> Column:
+    """About what a row of these (name, type) columns takes when it is broadcast."""
+    total = F.lit(32 + 8 * len(columns)).cast("bigint")
+    for name, kind in columns:
+        if kind == "string":
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+    return total
+
+
+def table_bytes(table: DataFrame) -> int:
+    """Measured size of a lookup table, from one aggregate."""
+    return table.agg(F.sum(row_bytes(table.dtypes))).first()[0] or 0
+
+
+def salts(facts: DataFrame, share: float) -> int:
+    """Tasks over which the rows of one key are dealt, so that a key with ``share`` of the facts
+    gives a task no more than an even deal would."""
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(min(1.0, max(0.0, share)) * parts))
+
+
+def lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], size: int | None = None,
+           salt_by: str | None = None, share: float = HOTTEST_SHARE) -> DataFrame:
     """Left join of facts to a lookup table that is unique on ``keys``.
 
-    ``rows`` is the counted size of the table. Up to ``BROADCAST_ROWS`` it is
-    broadcast. A larger table is joined by shuffle: with ``salt_by`` the facts of
-    one key are spread over ``SALTS`` tasks and the table is repeated for each,
-    so a key that holds a third of the facts does not land in one task. Without a
-    count the choice stays with the optimizer's own size estimate.
+    ``size`` is the table's measured size in bytes; without it the table is measured here, but for
+    keys that few facts share (``share`` 0). Up to ``BROADCAST_BYTES`` it is broadcast. A larger table is joined by shuffle: facts without a
+    key, which match nothing, stay where they are; the others of one key are spread over as many
+    tasks as the ``share`` of the hottest key asks for, by ``salt_by`` or by all their columns, and
+    the table is repeated for each.
     """
     extra = [name for name in table.columns if name not in keys]
-    if rows is not None and rows > BROADCAST_ROWS and salt_by is not None:
-        salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_by)), F.lit(SALTS)))
-        salted_table = table.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        joined = salted_facts.alias("l").join(
-            salted_table.alias("r"), on_keys([*keys, "_salt"]), "left")
-    else:
-        small = F.broadcast(table) if rows is not None and rows <= BROADCAST_ROWS else table
-        joined = facts.alias("l").join(small.alias("r"), on_keys(keys), "left")
-    return joined.select(*[F.col(f"l.{name}") for name in facts.columns],
-                         *[F.col(f"r.{name}") for name in extra])
+    if size is None and share > 0:
+        size = table_bytes(table)
+    wanted = [*[F.col(f"l.{name}") for name in facts.columns], *[F.col(f"r.{name}") for name in extra]]
+    if size is not None and size <= BROADCAST_BYTES:
+        return facts.alias("l").join(F.broadcast(table).alias("r"), on_keys(keys), "left").select(*wanted)
+    n = salts(facts, share)
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    spread = F.xxhash64(*([salt_by] if salt_by else facts.columns))
+    salted_facts = facts.where(~missing).withColumn("_salt", F.pmod(spread, F.lit(n)))
+    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    joined = salted_facts.alias("l").join(salted_table.alias("r"), on_keys([*keys, "_salt"]), "left").select(*wanted)
+    types = dict(table.dtypes)
+    return joined.unionByName(facts.where(missing).select(
+        *facts.columns, *[F.lit(None).cast(types[name]).alias(name) for name in extra]))
 
 
 def duplicate_keys(table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,21 +79,32 @@ def duplicate_keys(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def join_events(packages: DataFrame, per_order: DataFrame) -> DataFrame:
-    """Packages with the event aggregates of their order; ids compared as text."""
+    """Packages with the event aggregates of their order; ids compared as text.
+
+    An order has few packages, so its key is not salted; packages without an order id match
+    nothing and stay where they are.
+    """
     left = packages.withColumn("order_id", F.col("order_id").cast("string"))
-    right = per_order.withColumn("order_id", F.col("order_id").cast("string"))
-    return lookup(left, right, ["order_id"])
+    right = per_order.withColumn("order_id", F.col("order_id").cast("string")).where(F.col("order_id").isNotNull())
+    return lookup(left, right, ["order_id"], share=0.0)
 
 
 def join_itineraries(packages: DataFrame, features: DataFrame, mapping: DataFrame) -> DataFrame:
     """Packages with the itinerary features of their order, through the id mapping.
 
-    ``mapping`` has ``order_id`` (itinerary id) and ``order_compra`` (package order id).
+    ``mapping`` has ``order_id`` (itinerary id) and ``order_compra`` (package order id). A package
+    must not be multiplied: of several itineraries of one order the one with the smallest id
+    counts, and of several feature rows of one itinerary the first by all their columns.
     """
-    mapped = lookup(features, mapping, ["order_id"]).drop("order_id")
-    right = mapped.withColumn("order_id", F.col("order_compra").cast("string")).drop("order_compra")
+    pairs = (mapping.select(F.col("order_id").alias("_itinerary"), F.col("order_compra").cast("string").alias("_order"))
+             .where(F.col("_itinerary").isNotNull() & F.col("_order").isNotNull()))
+    names = [c for c in features.columns if c != "order_id"]
+    mapped = (features.where(F.col("order_id").isNotNull())
+              .join(pairs, F.col("order_id") == F.col("_itinerary"))
+              .groupBy(F.col("_order").alias("order_id")).agg(F.min(F.struct("_itinerary", *names)).alias("_f"))
+              .select("order_id", *[F.col(f"_f.{c}").alias(c) for c in names]))
     left = packages.withColumn("order_id", F.col("order_id").cast("string"))
-    return lookup(left, right.where(F.col("order_id").isNotNull()), ["order_id"])
+    return lookup(left, mapped, ["order_id"], share=0.0)
 
 
 def known_to(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,51 +13,53 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import pin
+from ..session import written
 
-_RANGE = "_range"
+_RANGE, _GROUP = "_range", "_group"
 
 
-def _same(left: str, right: str, keys: Sequence[str]) -> Column:
-    """Null-safe equality of the key columns of two aliased frames."""
-    test = F.lit(True)
-    for key in keys:
-        test = test & F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
-    return test
+def _ranged(df: DataFrame, groups: Sequence[str], order_cols: Sequence[Column], ranges: int | None) -> DataFrame:
+    """Rows with their range number and their group as one struct, stored as Parquet: two
+    evaluations of a range partitioning may draw different borders, so it is evaluated once.
+
+    Range number and group are joined and windowed on together by plain equality, so the
+    exchange is the same for both; a struct of NULLs equals another, as groups need.
+    """
+    keys = [*[F.col(g) for g in groups], *order_cols]
+    dealt = df.repartitionByRange(ranges, *keys) if ranges else df.repartitionByRange(*keys)
+    group = F.struct(*groups) if groups else F.struct(F.lit(0).alias("all"))
+    return written(dealt.withColumns({_RANGE: F.spark_partition_id(), _GROUP: group}), "ranges")
 
 
 def running_totals(df: DataFrame, order_cols: Sequence[Column], measures: Sequence[str],
-                   group_cols: Sequence[str] = ()) -> DataFrame:
+                   group_cols: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Add, for each measure ``m``, ``m_before`` (sum over the rows of the group that
     sort earlier) and ``m_total`` (sum over the group).
 
-    ``order_cols`` must order the rows of a group strictly. The range partition
-    number is pinned in the shared folder, because two evaluations of a range
-    partitioning may draw different borders.
+    ``order_cols`` must order the rows of a group strictly. ``ranges`` sets how many ranges the
+    rows are dealt over; without it the session's number of shuffle partitions holds, which the
+    adaptive planner may merge where ranges are small.
     """
     groups = list(group_cols)
-    # without a number of its own the step takes the session's, and the adaptive
-    # planner merges neighbouring ranges that are small; their order stays
-    ranged = pin(df.repartitionByRange(*[F.col(g) for g in groups], *order_cols)
-                 .withColumn(_RANGE, F.spark_partition_id()))
+    ranged = _ranged(df, groups, order_cols, ranges)
 
     # one row per (range, group): at most ranges + groups rows, as ranges follow groups
-    sums = ranged.groupBy(_RANGE, *groups).agg(*[F.sum(m).alias(m) for m in measures])
-    in_group = Window.partitionBy(*groups)
+    sums = ranged.groupBy(_RANGE, _GROUP).agg(*[F.sum(m).alias(m) for m in measures])
+    in_group = Window.partitionBy(_GROUP)
     earlier = in_group.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        _RANGE, *groups,
+        _RANGE, _GROUP,
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_offset") for m in measures],
         *[F.sum(m).over(in_group).alias(f"_{m}_total") for m in measures],
     )
     if not groups:
         offsets = F.broadcast(offsets)  # one row per range: bounded by the partition count
 
-    local = (Window.partitionBy(_RANGE, *groups).orderBy(*order_cols)
+    local = (Window.partitionBy(_RANGE, _GROUP).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, -1))
     with_local = ranged.withColumns(
         {f"_{m}_local": F.coalesce(F.sum(m).over(local), F.lit(0)) for m in measures})
-    joined = with_local.alias("r").join(offsets.alias("o"), _same("r", "o", [_RANGE, *groups]))
+    joined = with_local.alias("r").join(offsets.alias("o"), _same_range())
     return joined.select(
         *[F.col(f"r.{name}") for name in df.columns],
         *[(F.col(f"o._{m}_offset") + F.col(f"r._{m}_local")).alias(f"{m}_before") for m in measures],
@@ -65,8 +67,12 @@ def running_totals(df: DataFrame, order_cols: Sequence[Column], measures: Sequen
     )
 
 
+def _same_range() -> Column:
+    return (F.col(f"r.{_RANGE}") == F.col(f"o.{_RANGE}")) & (F.col(f"r.{_GROUP}") == F.col(f"o.{_GROUP}"))
+
+
 def previous_values(df: DataFrame, order_cols: Sequence[str], values: Sequence[str],
-                    group_cols: Sequence[str] = ()) -> DataFrame:
+                    group_cols: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Add ``{v}_prev``: the value of the row before, in the order within the group.
 
     Like a lag, but a group of any size is spread over ranges: each range looks back
@@ -74,16 +80,14 @@ def previous_values(df: DataFrame, order_cols: Sequence[str], values: Sequence[s
     ``order_cols`` must order the rows of a group strictly.
     """
     groups = list(group_cols)
-    ranged = pin(df.repartitionByRange(*[F.col(c) for c in [*groups, *order_cols]])
-                 .withColumn(_RANGE, F.spark_partition_id()))
+    ranged = _ranged(df, groups, [F.col(c) for c in order_cols], ranges)
     row = F.struct(*values)
-    lasts = ranged.groupBy(_RANGE, *groups).agg(F.max_by(row, F.struct(*order_cols)).alias("_last"))
-    carried = lasts.select(_RANGE, *groups, F.lag("_last").over(
-        Window.partitionBy(*groups).orderBy(_RANGE)).alias("_carry"))
-    local = F.lag(row).over(Window.partitionBy(_RANGE, *groups).orderBy(*order_cols))
-    joined = (ranged.withColumn("_local", local).alias("r")
-              .join(carried.alias("c"), _same("r", "c", [_RANGE, *groups])))
-    before = F.coalesce(F.col("r._local"), F.col("c._carry"))
+    lasts = ranged.groupBy(_RANGE, _GROUP).agg(F.max_by(row, F.struct(*order_cols)).alias("_last"))
+    carried = lasts.select(_RANGE, _GROUP, F.lag("_last").over(
+        Window.partitionBy(_GROUP).orderBy(_RANGE)).alias("_carry"))
+    local = F.lag(row).over(Window.partitionBy(_RANGE, _GROUP).orderBy(*order_cols))
+    joined = ranged.withColumn("_local", local).alias("r").join(carried.alias("o"), _same_range())
+    before = F.coalesce(F.col("r._local"), F.col("o._carry"))
     return joined.select(*[F.col(f"r.{name}") for name in df.columns],
                          *[before[v].alias(f"{v}_prev") for v in values])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..session import pin
-from .joins import lookup
+from .joins import HOTTEST_SHARE, lookup, row_bytes
 
 # level name -> key columns -> feature name
 LEVELS = {
@@ -48,11 +48,14 @@ def rate_table(train: DataFrame, min_count: int = 0) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rates:
-    """A learnt rate table with its counted size and global rate."""
+    """A learnt rate table with its rows, measured bytes and hottest share per level, and the
+    global rate."""
 
     table: DataFrame
     sizes: dict[str, int]
     global_rate: float | None
+    bytes: dict[str, int]
+    shares: dict[str, float]
 
     def apply(self, df: DataFrame, target: str | None = None, salt_by: str | None = None) -> DataFrame:
         """Add the three rate features; unseen or missing keys get the global rate.
@@ -66,7 +69,8 @@ class Rates:
             part = (self.table.where(F.col("level") == level)
                     .select(*keys, F.col("late").alias("_late"), F.col("n").alias("_n"),
                             F.col("rate").alias("_rate")))
-            joined = lookup(out, part, keys, self.sizes.get(level, 0), salt_by)
+            joined = lookup(out, part, keys, self.bytes.get(level, 0), salt_by,
+                            max(HOTTEST_SHARE, self.shares.get(level, 0.0)))
             rate: Column = F.col("_rate")
             if target is not None:
                 rate = F.try_divide(F.col("_late") - F.col(target), F.nullif(F.col("_n") - 1, F.lit(0)))
@@ -88,12 +92,14 @@ def load_rates(spark: SparkSession, path: str) -> Rates:
 
 def _measured(table: DataFrame) -> Rates:
     rows = table.groupBy("level").agg(
-        F.count("*").alias("rows"),
+        F.count("*").alias("rows"), F.sum(row_bytes(table.dtypes)).alias("bytes"),
+        (F.max("n") / F.greatest(F.sum("n"), F.lit(1))).alias("share"),
         F.max(F.when(F.col("level") == "global", F.col("rate"))).alias("rate")).collect()
     by_level = {row["level"]: row for row in rows}
     whole = by_level.get("global")
-    return Rates(table, {level: row["rows"] for level, row in by_level.items()},
-                 whole["rate"] if whole else None)
+    return Rates(table, {level: row["rows"] for level, row in by_level.items()}, whole["rate"] if whole else None,
+                 {level: row["bytes"] for level, row in by_level.items()},
+                 {level: row["share"] or 0.0 for level, row in by_level.items()})
 
 
 def empty_to_null(df: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import risk
 from ..functions.dates import calendar, iso_timestamp
-from ..operators.contributions import occlusion, top_factors
+from ..operators.contributions import top_factors
 from ..operators.rates import Rates, empty_to_null
 from ..schemas import FEATURE_TYPES, SCORING_QUERY, conform
-from ..session import pin
+from ..session import written
 from .training import RiskModel
 
 PREDICTION = ["order_id", "risk_score", "predicted_outcome", "confidence", "disruption_type",
@@ -55,19 +55,18 @@ def score_queries(queries: DataFrame, model: RiskModel, as_of: Column,
 
     Rows without an order id cannot be scored: they become ``error`` predictions and
     the rest of the batch goes on. With ``typical`` values each prediction carries its
-    three strongest factors; the rows are then numbered and pinned first, so that the
-    two uses of a row meet under the same number.
+    three strongest factors; the rows are then encoded, numbered and stored first, so that
+    the two uses of a row meet under the same number.
     """
     threshold = F.lit(C.ACTIVE_THRESHOLD) if threshold is None else threshold
-    keyed = (pin(queries.withColumn("_row", F.monotonically_increasing_id()))
-             if typical else queries)
-    valid = keyed.where(F.col("order_id").isNotNull() & (F.col("order_id") != ""))
-    broken = queries.where(F.col("order_id").isNull() | (F.col("order_id") == ""))
-
-    rows = query_features(valid, model.rates)
-    judged = judge(model.predict(rows), threshold)
+    usable = F.col("order_id").isNotNull() & (F.col("order_id") != "")
+    rows = query_features(queries.where(usable), model.rates)
+    prepared = model.preparer.transform(rows, salt_by="package_id").withColumn("_row", F.monotonically_increasing_id())
+    if typical:
+        prepared = written(prepared, "prepared")  # rows are numbered and encoded once, for both uses
+    judged = judge(model.score(prepared).drop("features"), threshold)
     if typical:
-        factors = top_factors(occlusion(rows, model.predict, "_row", typical), "_row")
+        factors = top_factors(model.contributions(prepared, "_row", typical), "_row")
         judged = judged.alias("p").join(factors.alias("f"), F.col("p._row") == F.col("f._row"), "left") \
             .select("p.*", F.coalesce("f.contributing_factors", F.array().cast(_FACTORS)).alias("contributing_factors"))
     else:
@@ -76,15 +75,22 @@ def score_queries(queries: DataFrame, model: RiskModel, as_of: Column,
     good = judged.withColumns({
         "disruption_type": risk.disruption_type(top),
         "timestamp": as_of, "model_version": F.lit(model.version)})
-    bad = broken.select(
-        "order_id", F.lit(0.0).alias("risk_score"), F.lit("error").alias("predicted_outcome"),
-        F.lit("low").alias("confidence"), F.lit("processing_error").alias("disruption_type"),
-        F.array().cast(_FACTORS).alias("contributing_factors"),
-        F.lit("ERROR: order_id missing").alias("recommended_action"), as_of.alias("timestamp"),
-        F.lit(model.version).alias("model_version"), risk.effective_threshold(threshold).alias("threshold_used"))
+    # a row that cannot be scored is an error of its own, and the rest of the batch goes on
+    unscored = F.col("risk_score").isNull() | F.isnan("risk_score")
+    wrong = _error_columns("score missing")
+    good = good.withColumns({c: F.when(unscored, wrong[c]).otherwise(F.col(c)) for c in wrong})
+    bad = queries.where(~F.coalesce(usable, F.lit(False))).withColumns({
+        **_error_columns("order_id missing"), "timestamp": as_of, "model_version": F.lit(model.version),
+        "threshold_used": risk.effective_threshold(threshold)})
     return good.select(*PREDICTION).unionByName(bad.select(*PREDICTION))
 
 
+def _error_columns(reason: str) -> dict[str, Column]:
+    return {"risk_score": F.lit(0.0), "predicted_outcome": F.lit("error"), "confidence": F.lit("low"),
+            "disruption_type": F.lit("processing_error"), "contributing_factors": F.array().cast(_FACTORS),
+            "recommended_action": F.lit(f"ERROR: {reason}")}
+
+
 def batch_summary(predictions: DataFrame) -> DataFrame:
     """Totals of a scored batch."""
     return predictions.agg(

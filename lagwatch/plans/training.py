@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators.classification import (area_metrics, calibrate, fold_average, score_curve,
                                         targets_met, threshold_metrics)
-from ..operators.contributions import margin_of
+from ..operators.contributions import margin_of, occlusion
 from ..operators.preparation import Preparer, fit_preparer, load_preparer
 from ..operators.rates import Rates, load_rates
 from ..operators.temporal_split import assign_block, fold_cuts
+from ..session import scratch_path, written
 from .dataset import SplitData
 
 METRICS = ["pr_auc", "roc_auc", "precision", "recall", "f1"]
@@ -29,30 +30,30 @@ def class_weight(train: DataFrame) -> float:
     return (row["n"] - late) / max(late, 1)
 
 
-def booster(params: dict | None = None, max_categories: int = 0) -> GBTClassifier:
+def booster(params: dict | None = None) -> GBTClassifier:
     """Spark's boosted trees in the role of the booster: same size and rates, but a
-    first-order loss and columns drawn per node, so scores differ from other boosters.
-    A nominal feature needs as many bins as it has categories."""
+    first-order loss and columns drawn per node, so scores differ from other boosters."""
     p = {**C.BOOSTER, **(params or {})}
     return GBTClassifier(
         featuresCol="features", labelCol=C.TARGET, weightCol="weight", maxIter=p["trees"],
         maxDepth=p["depth"], stepSize=p["step"], subsamplingRate=p["rows"],
-        featureSubsetStrategy=str(p["columns"]), seed=p["seed"], maxBins=max(32, max_categories))
+        featureSubsetStrategy=str(p["columns"]), seed=p["seed"])
 
 
 def fit_booster(preparer: Preparer, train: DataFrame, params: dict | None = None) -> GBTClassificationModel:
     """Fit on prepared training rows, positives weighted by the class weight."""
     weight = class_weight(train)
-    prepared = preparer.transform(train, one_hot=False)
+    prepared = preparer.transform(train)
     weighted = prepared.select(
         "features", F.col(C.TARGET).cast("double").alias(C.TARGET),
         F.when(F.col(C.TARGET) == 1, F.lit(float(weight))).otherwise(1.0).alias("weight"))
-    return booster(params, preparer.max_categories).fit(weighted)
+    # every tree reads the rows again: they are prepared once
+    return booster(params).fit(written(weighted, "train"))
 
 
 def with_scores(model: GBTClassificationModel, prepared: DataFrame) -> DataFrame:
     """Add ``risk_score`` and ``margin``."""
-    kept = [c for c in prepared.columns if c not in ("risk_score", "margin", "features")]
+    kept = [c for c in prepared.columns if c not in ("risk_score", "margin")]
     return model.transform(prepared).select(
         *kept, vector_to_array("probability")[1].alias("risk_score"), margin_of().alias("margin"))
 
@@ -68,7 +69,21 @@ class RiskModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Raw feature rows to rows with ``risk_score`` and ``margin``."""
-        return with_scores(self.booster, self.preparer.transform(rows, one_hot=False))
+        return self.score(self.preparer.transform(rows)).drop("features")
+
+    def score(self, prepared: DataFrame) -> DataFrame:
+        """The same for rows that are prepared already; ``features`` stays."""
+        return with_scores(self.booster, prepared)
+
+    def contributions(self, prepared: DataFrame, key: str, typical: dict[str, object]) -> DataFrame:
+        """Occlusion contributions of prepared rows, one per raw feature."""
+        spark, names = prepared.sparkSession, self.preparer.raw_features
+        # one row: the typical values, encoded like any other
+        types = {c: "double" for c in self.preparer.numeric} | {c: "string" for c in self.preparer.slots} | {c: "int" for c in self.preparer.boolean}
+        row = spark.createDataFrame([tuple(None if typical[n] is None else float(typical[n]) if types[n] == "double" else typical[n]
+                                           for n in names)], ", ".join(f"{n} {types[n]}" for n in names))
+        encoded = self.preparer.transform(row).first()["features"].toArray().tolist()
+        return occlusion(prepared, self.score, key, names, encoded)
 
     def save(self, path: str) -> None:
         self.booster.write().save(f"{path}/booster")
@@ -83,6 +98,7 @@ def load_model(spark: SparkSession, path: str, version: str = "unknown") -> Risk
 
 def evaluate(scored: DataFrame) -> DataFrame:
     """Metrics at the three thresholds next to the two areas: three rows."""
+    scored = written(scored.select("risk_score", C.TARGET), "scored")  # the model runs once
     areas = area_metrics(score_curve(scored, "risk_score", C.TARGET))
     at = threshold_metrics(scored, "risk_score", C.TARGET)
     return at.select("*", areas.select("pr_auc").scalar().alias("pr_auc"),
@@ -91,6 +107,7 @@ def evaluate(scored: DataFrame) -> DataFrame:
 
 def validation_report(scored: DataFrame) -> DataFrame:
     """One row: metrics at the active threshold, calibrated thresholds, targets."""
+    scored = written(scored.select("risk_score", C.TARGET), "scored")
     curve = score_curve(scored, "risk_score", C.TARGET)
     best = calibrate(curve)
     at = threshold_metrics(scored, "risk_score", C.TARGET, {"default": C.ACTIVE_THRESHOLD})
@@ -111,15 +128,19 @@ def cross_validate(train: DataFrame, features: Sequence[str], ts: str = "fecha_c
     ``preparer`` reuses it for all folds, which lets later rows shape earlier folds;
     rate features in ``train`` were learnt on all of it and do the same.
     """
-    blocks = assign_block(train, fold_cuts(train, ts, key), ts, key)
+    # every fold reads its past: stored once, a fold reads only the blocks it needs
+    path = scratch_path(train.sparkSession, "blocks")
+    assign_block(train, fold_cuts(train, ts, key), ts, key).write.partitionBy("block").parquet(path)
+    blocks = train.sparkSession.read.parquet(path)
     scored = None
     for fold in range(C.CV_FOLDS):
         past = blocks.where(F.col("block") < fold)
         prep = preparer or fit_preparer(past, features)
         model = fit_booster(prep, past, params)
-        tested = with_scores(model, prep.transform(blocks.where(F.col("block") == fold), one_hot=False))
+        tested = with_scores(model, prep.transform(blocks.where(F.col("block") == fold)))
         part = tested.select(F.lit(fold).alias("fold"), "risk_score", C.TARGET)
         scored = part if scored is None else scored.unionByName(part)
+    scored = written(scored, "fold-scores")  # read by the curve and by the thresholds
     areas = area_metrics(score_curve(scored, "risk_score", C.TARGET, ["fold"]), ["fold"])
     at = threshold_metrics(scored, "risk_score", C.TARGET, {"default": C.ACTIVE_THRESHOLD}, ["fold"])
     return areas.alias("a").join(at.alias("t"), F.col("a.fold") == F.col("t.fold")).select(

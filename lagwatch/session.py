@@ -46,8 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; never reused, so nothing is overwritten."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; never reused, so nothing is overwritten. All paths of
+    an application have one parent, so that one folder can be dropped when it has ended."""
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Store a result as Parquet in the shared folder and read it back: readers see the same rows,
+    read only the columns they need, and survive lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -55,3 +64,27 @@ def pin(df: DataFrame) -> DataFrame:
     and the same partition numbers even after executors were lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path and the path, as Spark itself reaches them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if another writer already has."""
+    fs, where = _hadoop(spark, path)
+    try:
+        return fs.createNewFile(where)
+    except Exception as error:  # some stores refuse instead of answering
+        if "AlreadyExists" in str(error):
+            return False
+        raise
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a finished folder, so that readers see all of it or nothing."""
+    fs, where = _hadoop(spark, source)
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"{source} cannot be renamed to {target}")

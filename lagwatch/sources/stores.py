@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.training import RiskModel, load_model
+from ..session import claim
 
 
 def write_dataset(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -23,10 +24,11 @@ def write_dataset(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.save(path)
 
 
-def append_rows(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Append to a table of results (metrics, importance, reports, prediction log)."""
-    writer = df.write.mode("append")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+def store_run(df: DataFrame, path: str, run: str, part: str) -> None:
+    """Add to a table of results (metrics, importance, reports, prediction log) under a run and a
+    part; a run that is repeated replaces its own rows."""
+    keyed = df.withColumns({"run": F.lit(run), "part": F.lit(part)})
+    (keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run", "part").parquet(path))
 
 
 def append_metrics(metrics: DataFrame, path: str, run: str, part: str) -> None:
@@ -35,10 +37,20 @@ def append_metrics(metrics: DataFrame, path: str, run: str, part: str) -> None:
              if f.dataType.typeName() in ("double", "float", "integer", "long", "short", "boolean")]
     pairs = ", ".join(f"'{n}', CAST(`{n}` AS DOUBLE)" for n in names)
     label = F.col("name") if "name" in metrics.columns else F.lit(None).cast("string")
-    rows = metrics.select(
-        F.lit(run).alias("run"), F.lit(part).alias("part"), label.alias("threshold_name"),
-        F.expr(f"stack({len(names)}, {pairs}) AS (metric, value)"))
-    append_rows(rows, path, by="run")
+    rows = metrics.select(label.alias("threshold_name"), F.expr(f"stack({len(names)}, {pairs}) AS (metric, value)"))
+    store_run(rows, path, run, part)
+
+
+def stored_metric(spark: SparkSession, path: str, part: str, metric: str) -> float | None:
+    """The value of a metric in the latest run that has it; None before the first run."""
+    try:
+        rows = spark.read.parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+    return rows.where((F.col("part") == part) & (F.col("metric") == metric)).agg(
+        F.max_by("value", F.col("run").cast("string"))).first()[0]
 
 
 class ModelRegistry:
@@ -66,11 +78,13 @@ class ModelRegistry:
     def save(self, model: RiskModel, on: date, version: str | None = None) -> str:
         """Save under ``v{n}_{date}`` unless a version is given; returns the version."""
         number = (self.versions().agg(F.max("number")).first()[0] or 0) + 1
+        while not claim(self.spark, f"{self.root}/claims/{number}"):  # two writers never share a number
+            number += 1
         version = version or f"v{number}_{on.isoformat()}"
         model.save(f"{self.root}/{version}")
-        row = (number, version, len(model.preparer.feature_names), on)
-        append_rows(self.spark.createDataFrame(
-            [row], "number int, version string, features int, saved_on date"), self._table)
+        row = (number, version, model.preparer.width, on)
+        self.spark.createDataFrame([row], "number int, version string, features int, saved_on date") \
+            .write.mode("append").parquet(self._table)
         return version
 
     def load(self, version: str | None = None) -> RiskModel:

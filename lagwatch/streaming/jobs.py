@@ -12,6 +12,7 @@ from ..operators.event_log import merge_per_order, partial_per_order
 from ..plans.scoring import score_queries
 from ..plans.training import RiskModel
 from ..schemas import SCORING_QUERY
+from ..session import move
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, kind: str = "parquet",
@@ -24,7 +25,13 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, kind: st
     return reader.format(kind).load(folder)
 
 
-def run_event_state(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def _started(stream: DataFrame, checkpoint: str, trigger: dict | None, write) -> StreamingQuery:
+    """Start a stream of micro-batches; without a trigger the present input is used up."""
+    return (stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start())
+
+
+def run_event_state(events: DataFrame, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Keep the per-order event aggregates of a stream as mergeable partial rows.
 
     Each micro-batch is reduced per order and written under its own batch number, so
@@ -34,23 +41,71 @@ def run_event_state(events: DataFrame, table: str, checkpoint: str) -> Streaming
     def write(batch: DataFrame, number: int) -> None:
         partial_per_order(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return (events.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(write).start())
+    return _started(events, checkpoint, trigger, write)
+
+
+def _parts(spark: SparkSession, table: str) -> DataFrame:
+    """The parts that count: the newest compaction, and the batches after those it holds.
+
+    A compaction names in ``upto`` the last batch it merged. Batches that it holds are left out
+    by number, so a reader sees each batch once, before, during and after a compaction.
+    """
+    rows = spark.read.option("mergeSchema", "true").parquet(table)
+    if "upto" not in rows.columns:
+        return rows
+    newest = rows.agg(F.max("upto")).first()[0]
+    return rows.where((F.col("upto") == newest) | (F.col("upto").isNull() & (F.col("batch") > newest)))
 
 
 def event_state(spark: SparkSession, table: str) -> DataFrame:
     """Per-order aggregates of everything a stream has written so far."""
-    return merge_per_order(spark.read.parquet(table))
+    return merge_per_order(_parts(spark, table))
+
 
+def compact_event_state(spark: SparkSession, table: str) -> None:
+    """Merge the closed batches in the table the stream goes on writing to.
 
-def compact_event_state(spark: SparkSession, table: str, target: str) -> None:
-    """Merge all parts into one table, to keep reads short on a long-lived stream."""
-    parts = spark.read.parquet(table)
+    The merged rows are one more part of the same table, under a negative batch number. They are
+    written aside and renamed when they are whole; the batches they hold are then left out by number.
+    """
+    parts = _parts(spark, table)
+    upto = parts.agg(F.max(F.col("batch"))).first()[0]
+    before = parts.agg(F.max("upto")).first()[0] if "upto" in parts.columns else None
+    if upto is None or upto < 0 or upto == before:
+        return
     parts.groupBy("order_id").agg(
         F.sum("num_eventos").cast("bigint").alias("num_eventos"),
         F.min("primer_evento_ts").alias("primer_evento_ts"),
         F.max("ultimo_evento_ts").alias("ultimo_evento_ts"),
-        F.max("latest").alias("latest")).write.mode("errorifexists").parquet(f"{target}/batch=0")
+        F.max("latest").alias("latest"),
+        F.lit(upto).cast("int").alias("upto")).write.mode("errorifexists").parquet(f"{table}/_compacting-{upto}")
+    move(spark, f"{table}/_compacting-{upto}", f"{table}/batch={-1 - upto}")
+
+
+def day_totals(log: DataFrame) -> DataFrame:
+    """Mergeable totals per day of a prediction log."""
+    flagged = F.col("risk_score") >= C.ACTIVE_THRESHOLD
+    late = F.col("actual_outcome") == 1
+    return log.groupBy(F.to_date("timestamp").alias("day")).agg(
+        F.count("*").alias("n"), F.count("actual_outcome").alias("labelled"),
+        F.count_if(late).alias("late"), F.count_if(late & flagged).alias("caught"))
+
+
+def run_day_totals(log: DataFrame, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep day totals of a prediction stream as mergeable parts, one per micro-batch. Late rows
+    count whenever they come, and no window has to wait for a watermark to be seen."""
+    def write(batch: DataFrame, number: int) -> None:
+        day_totals(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return _started(log, checkpoint, trigger, write)
+
+
+def sliding_state(spark: SparkSession, table: str, days: int = C.WINDOW_DAYS) -> DataFrame:
+    """All windows of ``days`` over the day totals written so far, the open ones included."""
+    names = ("n", "labelled", "late", "caught")
+    per_day = spark.read.parquet(table).groupBy("day").agg(*[F.sum(m).alias(m) for m in names])
+    windows = per_day.withColumn("window_start", F.explode(F.sequence(F.date_sub("day", days - 1), F.col("day"))))
+    return windows.groupBy("window_start").agg(*[F.sum(m).cast("bigint").alias(m) for m in names])
 
 
 def sliding_metrics(log: DataFrame, days: int = C.WINDOW_DAYS, late_by: str = "1 day") -> DataFrame:
@@ -70,15 +125,15 @@ def sliding_metrics(log: DataFrame, days: int = C.WINDOW_DAYS, late_by: str = "1
         .select(F.to_date("w.start").alias("window_start"), "n", "labelled", "late", "caught")
 
 
-def run_to_table(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream to a file table until the present input is used up."""
-    return (stream.writeStream.outputMode("append").format("parquet")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(table))
+def run_to_table(stream: DataFrame, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to a file table."""
+    return (stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start(table))
 
 
 def run_scoring(spark: SparkSession, folder: str, table: str, checkpoint: str, model: RiskModel,
                 as_of: str, typical: dict[str, object] | None = None,
-                pattern: str | None = None) -> StreamingQuery:
+                pattern: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Score query files as they land; a repeated batch replaces its own output."""
     queries = file_stream(spark, folder, SCORING_QUERY, "json", pattern)
     at = F.lit(as_of).cast("timestamp_ntz")
@@ -87,5 +142,4 @@ def run_scoring(spark: SparkSession, folder: str, table: str, checkpoint: str, m
         score_queries(batch, model, at, typical=typical).write.mode("overwrite").parquet(
             f"{table}/batch={number}")
 
-    return (queries.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(write).start())
+    return _started(queries, checkpoint, trigger, write)

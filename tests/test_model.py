@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lagwatch import constants as C
 from lagwatch.operators import contributions as con
 from lagwatch.operators import preparation as prep
-from lagwatch.operators.joins import duplicate_keys, lookup
+from lagwatch.operators.joins import duplicate_keys, join_itineraries, lookup
 from lagwatch.operators.rates import fit_rates
 from lagwatch.plans import monitoring, scoring, training
 from lagwatch.session import scratch_path
@@ -48,8 +48,8 @@ def test_salted_lookup_equals_plain(spark, monkeypatch):
     facts = spark.range(500).select((F.col("id") % 7).alias("k"), "id")
     table = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     plain = sorted(map(tuple, lookup(facts, table, ["k"]).collect()), key=repr)
-    monkeypatch.setattr("lagwatch.operators.joins.BROADCAST_ROWS", 1)
-    salted = sorted(map(tuple, lookup(facts, table, ["k"], 5, "id").collect()), key=repr)
+    monkeypatch.setattr("lagwatch.operators.joins.BROADCAST_BYTES", 1)
+    salted = sorted(map(tuple, lookup(facts, table, ["k"], salt_by="id").collect()), key=repr)
     assert plain == salted and duplicate_keys(facts, ["k"]).count() == 7
 
 
@@ -57,9 +57,10 @@ def test_one_hot_of_rare_and_unseen(spark):
     train = spark.createDataFrame([("a", 1.0, 1)] * 12 + [("b", None, 0)] * 3,
                                   f"carrier string, mes double, {C.TARGET} int")
     fitted = prep.fit_preparer(train, ["carrier", "mes"])
-    assert fitted.feature_names == ["num__mes", "cat__carrier_a", f"cat__carrier_{prep.INFREQUENT}"]
+    names = [r["name"] for r in fitted.slot_names().orderBy("position").collect()]
+    assert names == ["num__mes", "cat__carrier_a", f"cat__carrier_{prep.INFREQUENT}"]
     rows = spark.createDataFrame([("a", None), ("b", 1.0), ("z", 2.0)], "carrier string, mes double")
-    got = {r["carrier"]: r["features"].toArray().tolist() for r in fitted.transform(rows).collect()}
+    got = {r["carrier"]: r["features"].toArray().tolist() for r in fitted.transform(rows, encoding="one_hot").collect()}
     assert got == {"a": [0.0, 1.0, 0.0], "b": [0.0, 0.0, 1.0], "z": [1.0, 0.0, 0.0]}
 
 
@@ -72,24 +73,35 @@ def test_planted_signal_is_learnt(spark, model):
     assert 0 <= low <= high <= 1
 
 
-def test_wide_category_enters_as_late_rate(spark, model, monkeypatch):
-    data, fitted, _ = model
-    monkeypatch.setattr("lagwatch.operators.preparation.NOMINAL_SLOTS", 3)
-    narrow = fitted.preparer.transform(data.part("val"), one_hot=False).select("features").first()[0]
-    assert fitted.preparer.is_wide("comuna") and narrow.size == len(fitted.preparer.raw_features)
+def test_encoding_does_not_depend_on_the_number_of_levels(spark):
+    few = [("a", 1)] * 12 + [("b", 0)] * 12 + [("c", 1), ("d", 0)]
+    schema = f"carrier string, {C.TARGET} int"
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "carrier string")
+    many = few + [(f"level{i:04d}", i % 2) for i in range(600) for _ in range(10)]
+    for data in (few, many):
+        fitted = prep.fit_preparer(spark.createDataFrame(data, schema), ["carrier"])
+        got = {r["carrier"]: r["features"].toArray().tolist() for r in fitted.transform(rows).collect()}
+        assert got == {"a": [1.0], "b": [0.0], "c": [0.5], "z": [0.5]}
+        hot = {r["carrier"]: r["features"].toArray().nonzero()[0].tolist() for r in fitted.transform(rows, encoding="one_hot").collect()}
+        assert hot == {"a": [0], "b": [1], "c": [fitted.slots["carrier"] - 1], "z": []}
+        assert fitted.slot_names().count() == fitted.width
 
 
-def test_column_beyond_the_slot_limit_still_trains(spark, monkeypatch):
-    monkeypatch.setattr("lagwatch.operators.preparation.MAX_SLOTS", 1)
-    train = spark.createDataFrame([("a", 1)] * 12 + [("b", 0)] * 12 + [("c", 1), ("d", 0)],
-                                  f"carrier string, {C.TARGET} int")
-    fitted = prep.fit_preparer(train, ["carrier"])
-    assert fitted.unlisted == ("carrier",)
-    rows = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "carrier string")
-    got = {r["carrier"]: r["features"][0] for r in fitted.transform(rows, one_hot=False).collect()}
-    assert got == {"a": 1.0, "b": 0.0, "c": 0.5, "z": 0.5}
-    with pytest.raises(ValueError):
-        fitted.transform(rows)
+def test_lookup_of_a_hot_and_a_missing_key(spark, monkeypatch):
+    facts = spark.range(600).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 3 = 0 THEN NULL ELSE concat('k', id % 7) END AS k")
+    table = spark.createDataFrame([("hot", 1), ("k1", 2), ("k3", 3)], "k string, v int")
+    plain = sorted(map(tuple, lookup(facts, table, ["k"]).collect()))
+    monkeypatch.setattr("lagwatch.operators.joins.BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, lookup(facts, table, ["k"], share=0.5).collect())) == plain
+    assert sorted(map(tuple, lookup(facts, table, ["k"], share=0.0).collect())) == plain
+
+
+def test_itinerary_join_keeps_packages_single(spark):
+    packages = spark.createDataFrame([("1", "p1"), ("2", "p2"), (None, "p3")], "order_id string, package_id string")
+    features = spark.createDataFrame([("F1", 4), ("F2", 5), ("F2", 6), (None, 9)], "order_id string, num_ops int")
+    mapping = spark.createDataFrame([("F1", "1"), ("F2", "1"), ("F1", "1"), ("F2", "2"), ("F2", None), (None, "2")], "order_id string, order_compra string")
+    got = {r["package_id"]: r["num_ops"] for r in join_itineraries(packages, features, mapping).collect()}
+    assert got == {"p1": 4, "p2": 5, "p3": None}
 
 
 def test_leave_one_out_takes_the_row_out_of_its_rate(spark):
@@ -145,5 +157,5 @@ def test_occlusion_of_a_typical_row_is_zero(spark, model):
     data, fitted, typical = model
     row = data.part("val").limit(1).withColumns({
         k: F.lit(v).cast(data.rows.schema[k].dataType) for k, v in typical.items()})
-    values = con.occlusion(row, fitted.predict, "package_id", typical).collect()
+    values = fitted.contributions(fitted.preparer.transform(row), "package_id", typical).collect()
     assert len(values) == len(typical) and all(abs(r["contribution"]) < 1e-9 for r in values)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lagwatch.operators import classification as cls
-from lagwatch.operators import drift
+from lagwatch.operators import drift, event_log, frequency
 from lagwatch.operators import order_stats as os_
 from lagwatch.operators import temporal_split as ts
 
@@ -145,3 +145,50 @@ def test_few_values_are_not_tested_for_drift(spark):
     few = spark.createDataFrame([(float(i),) for i in range(29)], "x double")
     stats = drift.reference_stats(few, ["x"])
     assert drift.feature_drift(few, stats, ["x"]).count() == 0
+
+
+@pytest.mark.parametrize(("n", "m", "d", "p"), [
+    # small cases counted by hand: all orders of the values are equally likely
+    (2, 2, 1.0, 1 / 3), (2, 2, 0.5, 1.0), (3, 3, 1.0, 0.1), (1, 3, 1.0, 0.5)])
+def test_exact_ks_p_value(n, m, d, p):
+    assert drift.exact_ks_p_value(d, n, m) == pytest.approx(p)
+
+
+def test_exact_ks_p_value_against_all_orders():
+    from itertools import combinations
+    for n, m in ((4, 5), (3, 6), (5, 5)):
+        orders = list(combinations(range(n + m), n))
+        found = []
+        for chosen in orders:
+            i = j = 0
+            far = 0.0
+            for k in range(n + m):
+                i, j = (i + 1, j) if k in chosen else (i, j + 1)
+                far = max(far, abs(i / n - j / m))
+            found.append(far)
+        for d in sorted(set(round(x, 12) for x in found)):
+            assert drift.exact_ks_p_value(d, n, m) == pytest.approx(sum(x >= d - 1e-9 for x in found) / len(found))
+
+
+def test_ks_p_value_near_the_limit(spark):
+    # published critical distances at 0.05: 1.358 * sqrt((n + m) / (n m))
+    rows = [(1.358 * ((n + m) / (n * m)) ** 0.5, n, m) for n, m in ((1000, 500), (1000, 4000), (1000, 20_000))]
+    got = drift.with_p_values(spark.createDataFrame(rows, "ks_stat double, n_recent long, n_reference long")).collect()
+    assert all(abs(r.p_value - 0.05) < 0.004 for r in got)
+
+
+def test_as_many_distinct_values_as_rows_and_null_groups(spark):
+    rows = spark.range(3000).selectExpr("CAST(id * 7919 % 3001 AS DOUBLE) AS x", "CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 3 AS STRING) END AS g")
+    got = {r["g"]: (r["median"], r["n"]) for r in os_.exact_medians(rows, F.col("x"), ["g"]).collect()}
+    for g in (None, "1", "2"):
+        mine = sorted(i * 7919 % 3001 for i in range(3000) if (None if i % 3 == 0 else str(i % 3)) == g)
+        assert got[g] == ((mine[499] + mine[500]) / 2, 1000)
+
+
+def test_events_without_an_order_belong_to_none(spark):
+    events = spark.createDataFrame([(1, None, "packed", "2024-01-01 00:00:00"), (2, "7", "packed", "2024-01-02 00:00:00")],
+                                   "event_id long, order_id string, event_type string, t string").selectExpr(
+        "event_id", "order_id", "event_type", "CAST(t AS TIMESTAMP_NTZ) AS event_timestamp")
+    assert [r["order_id"] for r in event_log.events_per_order(events).collect()] == ["7"]
+    assert [r["order_id"] for r in event_log.event_gaps(events).collect()] == ["7"]
+    assert frequency.packages_per_order(events.select("order_id")).first()["orders"] == 1

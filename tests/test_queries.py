@@ -10,7 +10,8 @@ SPREAD = ["s1_packages_load", "s6_lifecycle_items", "n5_logistic_processes", "n9
           "p2_span_ratio", "p12_promise_used", "j2_itinerary_join", "j4_pair_rate_lookup", "a4_rates_by_pair",
           "a11_span_boxes", "a13_picking_histogram", "a22_correlations", "a29_packages_per_order", "w3_cv_blocks",
           "w7_event_gaps", "u1_new_categories", "m1_scaled_numbers", "m2_encoded_rows", "m9_calibration",
-          "e2_pr_auc", "d2_feature_drift", "x4_factor_texts", "st2_prediction_stream"]
+          "m4_feature_vector", "m4_rate_vector", "m5_prepared_splits", "p17_slot_names", "j1_event_join",
+          "d5_retrain_decision", "s13_monitor_report", "e2_pr_auc", "d2_feature_drift", "x4_factor_texts", "st2_prediction_stream"]
 
 
 @pytest.fixture(scope="module")

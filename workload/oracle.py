@@ -149,7 +149,7 @@ SELECT order_id, count(kind) AS num_eventos, min(ts) AS first_ts, max(ts) AS las
 VIEWS["hd"] = """
 SELECT CAST(user_id AS VARCHAR) AS order_id, min(ts) - INTERVAL 12 HOUR AS created,
   TIMESTAMP '2024-01-20' + to_hours(CAST(user_id AS INTEGER)) AS eta FROM events GROUP BY user_id
-UNION ALL SELECT 'N' || c_custkey, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-09' FROM customer WHERE c_custkey % 50 = 0"""
+UNION ALL SELECT 'N' || c_custkey, TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-09' FROM customer"""
 VIEWS["he"] = "SELECT hd.*, num_eventos, first_ts, last_ts, ultimo_tipo FROM hd LEFT JOIN ea ON hd.order_id = ea.order_id"
 
 VIEWS["cv"] = """
@@ -470,7 +470,7 @@ _CORRS = " UNION ALL ".join(f"SELECT '{n}' AS feature, corr({x}, y) AS v FROM la
 sql("a22_correlations", f"SELECT feature, {r('v')} AS corr FROM ({_CORRS})")
 sql("a22_strongest_correlations", f"""SELECT feature, {r('v')} AS corr, sign FROM (
   SELECT *, CASE WHEN v > 0 THEN 'positive' ELSE 'negative' END AS sign,
-    row_number() OVER (PARTITION BY v > 0 ORDER BY abs(v) DESC, feature) AS k FROM ({_CORRS}) WHERE v <> 0) WHERE k <= 2""")
+    row_number() OVER (PARTITION BY v > 0 ORDER BY abs(v) DESC, feature) AS k FROM ({_CORRS}) WHERE v <> 0) WHERE k <= 5""")
 sql("a24_events_by_type", f"SELECT kind AS event_type, count(*) AS n, {r('count(*) * 100.0 / (SELECT count(*) FROM ev)')} AS pct FROM ev GROUP BY 1")
 sql("a24_event_range", f"""SELECT count(*) AS events, count(DISTINCT order_id) AS orders, {t('min(ts)')} AS first_event,
   {t('max(ts)')} AS last_event FROM ev""")
@@ -531,8 +531,7 @@ VIEWS["trend"] = """SELECT CAST(ts AS DATE) - CAST(k AS INTEGER) AS start, count
   count(*) FILTER (actual = 1) AS late, count(*) FILTER (actual = 1 AND risk_score >= 0.5) AS caught
 FROM pl, range(14) AS g(k) GROUP BY 1"""
 sql("w6_sliding_trend", "SELECT strftime(start, '%Y-%m-%d') AS window_start, n, labelled, late, caught FROM trend")
-sql("st2_prediction_stream", """SELECT strftime(start, '%Y-%m-%d') AS window_start, n, labelled, late, caught FROM trend
-WHERE start + 14 <= (SELECT max(ts) - INTERVAL 1 DAY FROM pl)""")
+sql("st2_prediction_stream", "SELECT strftime(start, '%Y-%m-%d') AS window_start, n, labelled, late, caught FROM trend")
 sql("w7_event_gaps", f"""SELECT order_id, count(*) AS events, count(*) FILTER (gap > 8) AS silences, {r('max(gap)')} AS longest_gap_hours,
   count(*) FILTER (back) AS out_of_order FROM (SELECT order_id,
     {hours('lag(ts) OVER (PARTITION BY order_id ORDER BY ts, event_id)', 'ts')} AS gap,
@@ -552,9 +551,9 @@ sql("w8_reference_sample", f"""SELECT f AS feature, {r('v')} AS value, count(*)
 sql("t1_top_carriers", "SELECT final_carrier, count(*) AS n FROM it WHERE final_carrier IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 8")
 sql("t1_top_origin_nodes", "SELECT origin_node_name, count(*) AS n FROM it WHERE origin_node_name IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 12")
 sql("t2_carriers_by_score", f"""SELECT final_carrier, {r('avg(complexity_score)')} AS mean_score FROM it WHERE final_carrier IS NOT NULL
-GROUP BY 1 ORDER BY avg(complexity_score), 1 LIMIT 3""")
+GROUP BY 1""")
 sql("t3_riskiest", "SELECT package_id, risk_score, actual AS actual_outcome FROM pl ORDER BY risk_score DESC, package_id LIMIT 10")
-sql("t4_top_importance", f"SELECT feature, {r('avg(abs(c))')} AS mean_abs FROM ct GROUP BY 1 ORDER BY avg(abs(c)) DESC LIMIT 3")
+sql("t4_top_importance", f"SELECT feature, {r('avg(abs(c))')} AS mean_abs FROM ct GROUP BY 1 ORDER BY avg(abs(c)) DESC, feature LIMIT 10")
 sql("x3_global_importance", f"SELECT feature, {r('avg(abs(c))')} AS mean_abs FROM ct GROUP BY 1")
 sql("x4_factor_texts", f"""SELECT package_id, {big('pos - 1')} AS pos, feature, round(c, 4) + 0.0 AS shap_value,
   CASE WHEN c > 0 THEN 'incrementa_riesgo' ELSE 'reduce_riesgo' END AS direction, {_FIRST} || {_VERB} AS description
@@ -575,7 +574,7 @@ sql("m1_scaled_numbers", "SELECT package_id, " + ", ".join(
     r(f"(coalesce({x}, md_{n}) - av_{n}) / CASE WHEN sd_{n} > 0 THEN sd_{n} ELSE 1 END") + f" AS {n}" for n, x in _M1)
     + " FROM fullset, (SELECT " + ", ".join(f"any_value(m_{n}) AS md_{n}, avg(coalesce({x}, m_{n})) AS av_{n}, stddev_pop(coalesce({x}, m_{n})) AS sd_{n}" for n, x in _M1)
     + " FROM fullset, (SELECT " + ", ".join(f"median(CAST({x} AS DOUBLE)) AS m_{n}" for n, x in _M1)
-    + " FROM fullset WHERE split = 'train') WHERE split = 'train') WHERE split <> 'train'")
+    + " FROM fullset WHERE split = 'train') WHERE split = 'train')")
 _CATS = ["carrier", "region", "comuna", "metodo_despacho", "tipo_transporte", "origen"]
 VIEWS["cl"] = " UNION ALL ".join(f"SELECT split, '{c}' AS f, coalesce({c}, 'unknown') AS v FROM sp" for c in _CATS)
 VIEWS["lv"] = """SELECT f, v, count(*) AS n, CASE WHEN count(*) >= 10 THEN v ELSE '__infrequent__' END AS level
@@ -583,6 +582,36 @@ FROM cl WHERE split = 'train' GROUP BY 1, 2"""
 sql("m2_category_levels", "SELECT f AS feature, v AS value, n, level FROM lv")
 sql("m2_encoded_rows", """SELECT cl.f AS feature, level, count(*) AS n FROM cl LEFT JOIN lv ON cl.f = lv.f AND cl.v = lv.v
 WHERE split = 'test' GROUP BY 1, 2""")
+VIEWS["slots"] = """SELECT f, level, row_number() OVER (PARTITION BY f ORDER BY level = '__infrequent__', level) - 1 AS slot,
+  count(*) OVER (PARTITION BY f) AS width FROM (SELECT DISTINCT f, level FROM lv)"""
+_NUM = CAL + [("tasa_fallo_carrier", "t_carrier"), ("tasa_fallo_region", "t_region"), ("tasa_fallo_carrier_region", "t_pair")]
+_FIRST_SLOT = " ".join(f"WHEN '{c}' THEN {len(_NUM)}" + "".join(f" + (SELECT any_value(width) FROM slots WHERE f = '{b}')" for b in _CATS[:i])
+                       for i, c in enumerate(_CATS))
+VIEWS["scaled"] = "SELECT package_id, split, we, " + ", ".join(
+    f"(coalesce({x}, md_{n}) - av_{n}) / CASE WHEN sd_{n} > 0 THEN sd_{n} ELSE 1 END AS z_{n}" for n, x in _NUM) \
+    + " FROM fr, (SELECT " + ", ".join(f"any_value(m_{n}) AS md_{n}, avg(coalesce({x}, m_{n})) AS av_{n}, stddev_pop(coalesce({x}, m_{n})) AS sd_{n}" for n, x in _NUM) \
+    + " FROM fr, (SELECT " + ", ".join(f"median(CAST({x} AS DOUBLE)) AS m_{n}" for n, x in _NUM) \
+    + " FROM fr WHERE split = 'train') WHERE split = 'train')"
+_ALL_CATS = " UNION ALL ".join(f"SELECT package_id, split, '{c}' AS f, coalesce({c}, 'unknown') AS v FROM sp" for c in _CATS)
+VIEWS["vec"] = " UNION ALL ".join(f"SELECT package_id, split, {i} AS slot, z_{n} AS value FROM scaled" for i, (n, _) in enumerate(_NUM)) + f"""
+UNION ALL SELECT package_id, split, CASE c.f {_FIRST_SLOT} END + slot, 1.0::DOUBLE FROM ({_ALL_CATS}) c JOIN lv ON c.f = lv.f AND c.v = lv.v
+  JOIN slots ON slots.f = lv.f AND slots.level = lv.level
+UNION ALL SELECT package_id, split, {len(_NUM)} + (SELECT sum(width) FROM (SELECT DISTINCT f, width FROM slots)), coalesce(we, 0)::DOUBLE FROM scaled"""
+sql("m4_feature_vector", f"SELECT package_id, {big('slot')} AS slot, {r('value')} AS value FROM vec WHERE value <> 0")
+VIEWS["late"] = "SELECT c.f, c.v, sum(y) AS late FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS f, coalesce({c}, 'unknown') AS v, y FROM sp WHERE split = 'train'" for c in _CATS) + ") c GROUP BY 1, 2"
+VIEWS["lr"] = """SELECT lv.f, lv.v, sum(late) OVER w / sum(n) OVER w AS rate FROM lv JOIN late ON lv.f = late.f AND lv.v = late.v
+WINDOW w AS (PARTITION BY lv.f, lv.level)"""
+sql("m4_rate_vector", "SELECT s.package_id, " + ", ".join(f"{r(f'z_{n}')} AS {n}" for n, _ in _NUM) + ", "
+    + ", ".join(f"{r(f'coalesce(r_{c}.rate, g.rate)')} AS {c}" for c in _CATS) + f""", {r('coalesce(s.we, 0)')} AS es_fin_semana
+FROM scaled s JOIN sp USING (package_id), (SELECT avg(y) AS rate FROM sp WHERE split = 'train') g """.replace(
+        ", (SELECT avg", " CROSS JOIN (SELECT avg")
+    + " ".join(f"LEFT JOIN lr r_{c} ON r_{c}.f = '{c}' AND r_{c}.v = coalesce(sp.{c}, 'unknown')" for c in _CATS))
+sql("m5_prepared_splits", f"""SELECT split, count(*) AS n, {big(f"any_value((SELECT {len(_NUM) + 1} + sum(width) FROM (SELECT DISTINCT f, width FROM slots)))")} AS width
+FROM sp GROUP BY 1""")
+sql("p17_slot_names", " UNION ALL ".join(f"SELECT {big(str(i))} AS position, 'num__{n}' AS name" for i, (n, _) in enumerate(_NUM)) + f"""
+UNION ALL SELECT {big(f'CASE f {_FIRST_SLOT} END + slot')}, 'cat__' || f || '_' || level FROM slots
+UNION ALL SELECT {big(f'{len(_NUM)} + (SELECT sum(width) FROM (SELECT DISTINCT f, width FROM slots))')}, 'bool__es_fin_semana'""")
 sql("m3_boolean_fill", f"""SELECT package_id, {big('coalesce(CAST(has_crossdocking AS INTEGER), 0)')} AS has_crossdocking,
   {big('coalesce(CAST(complex_route AS INTEGER), 0)')} AS complex_route FROM fullset""")
 sql("m6_class_weight", f"SELECT {r('(count(*) - sum(y)) / greatest(sum(y), 1)')} AS class_weight FROM sp WHERE split = 'train'")
@@ -619,10 +648,15 @@ _DF = CAL + [("tasa_fallo_carrier", "t_carrier")]
 VIEWS["refs"] = reference_sample(stacked("fr", _DF, "split = 'train'"))
 VIEWS["mix"] = f"""SELECT f, v, sum(a) AS a, sum(b) AS b FROM (SELECT f, v, 1 AS a, 0 AS b FROM ({stacked('rec', _DF)})
 UNION ALL SELECT f, v, 0, 1 FROM refs) WHERE v IS NOT NULL GROUP BY 1, 2"""
-sql("d2_feature_drift", f"""SELECT f AS feature, {r('max(abs(ca / ta - cb / tb))')} AS ks_stat, {big('max(ta)')} AS n_recent,
-  {big('max(tb)')} AS n_reference FROM (SELECT f, sum(a) OVER w AS ca, sum(b) OVER w AS cb,
+_SCALED = "(sqrt(nr * nf / (nr + nf)::DOUBLE) + 0.12 + 0.11 / sqrt(nr * nf / (nr + nf)::DOUBLE)) * ks"
+VIEWS["ks"] = """SELECT f, max(abs(ca / ta - cb / tb)) AS ks, max(ta) AS nr, max(tb) AS nf FROM (SELECT f, sum(a) OVER w AS ca, sum(b) OVER w AS cb,
     sum(a) OVER (PARTITION BY f) AS ta, sum(b) OVER (PARTITION BY f) AS tb FROM mix
-  WINDOW w AS (PARTITION BY f ORDER BY v)) WHERE ta >= 30 GROUP BY f""")
+  WINDOW w AS (PARTITION BY f ORDER BY v)) WHERE ta >= 30 GROUP BY f"""
+# the asymptotic value decides as the exact one does, unless it lies at the very limit
+VIEWS["dd"] = f"""SELECT *, f IN ('complexity_score', 'num_transfers', 'total_span_hours', 'tasa_fallo_carrier', 'porcentaje_eta_consumido') AS critical,
+  z >= 0.2 AND 2 * list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * z * z))) < 0.05 AS drift
+FROM (SELECT *, {_SCALED} AS z FROM ks)"""
+sql("d2_feature_drift", f"""SELECT f AS feature, {r('ks')} AS ks_stat, {big('nr')} AS n_recent, {big('nf')} AS n_reference, drift, critical FROM dd""")
 _NEW = """(SELECT DISTINCT f, v FROM (SELECT 'carrier' AS f, carrier AS v FROM rec UNION ALL SELECT 'region', region FROM rec
   UNION ALL SELECT 'comuna', comuna FROM rec) WHERE v IS NOT NULL
   AND (f, v) NOT IN (SELECT f, v FROM cats WHERE split = 'train' AND v IS NOT NULL))"""
@@ -633,6 +667,28 @@ sql("x1_query_features", "SELECT package_id, carrier, region, " + ", ".join(_NUL
     + f""", CASE WHEN l_linenumber <> 7 THEN CASE WHEN isodow(fecha_creacion) >= 6 THEN 1 ELSE 0 END END AS es_fin_semana,
   CAST(NULL AS BIGINT) AS num_ops, {r('t_carrier')} AS tasa_fallo_carrier, {r('t_region')} AS tasa_fallo_region,
   {r('t_pair')} AS tasa_fallo_carrier_region FROM sqr""")
-sql("d5_retrain_decision", f"""SELECT n AS n_labelled, n >= 100 AND (dr > 0.1 OR rec < 0.7) AS performance_trigger,
-  k > 0 AS category_trigger, k AS new_values, (n >= 100 AND (dr > 0.1 OR rec < 0.7)) OR k > 0 AS should_retrain
-FROM perf, (SELECT count(*) AS k FROM {_NEW})""")
+VIEWS["decision"] = f"""SELECT n AS n_labelled, n >= 100 AND (dr > 0.1 OR rec < 0.7) AS performance_trigger, nc >= 2 AS drift_trigger,
+  k > 0 AS category_trigger, nd AS drifted_features, k AS new_values,
+  (n >= 100 AND (dr > 0.1 OR rec < 0.7)) OR nc >= 2 OR k > 0 AS should_retrain, concat_ws('; ',
+    CASE WHEN n >= 100 AND dr > 0.1 THEN 'PR-AUC cayó ' || printf('%.1f', dr * 100) || '% (> 10.0%)' END,
+    CASE WHEN n >= 100 AND rec < 0.7 THEN 'Recall ' || printf('%.3f', rec) || ' < 0.7' END,
+    CASE WHEN nc >= 2 THEN 'Drift en features: [' || names || ']' END,
+    CASE WHEN k > 0 THEN 'Nuevas categorías: {{' || listed || '}}' END) AS reasons
+FROM perf, (SELECT count(*) FILTER (drift) AS nd, count(*) FILTER (drift AND critical) AS nc,
+    string_agg(f, ', ' ORDER BY f) FILTER (drift) AS names FROM dd),
+  (SELECT coalesce(sum(n), 0) AS k, string_agg(f || ': ' || n, ', ' ORDER BY f) AS listed FROM (SELECT f, count(*) AS n FROM {_NEW} GROUP BY 1))"""
+_DECISION = "n_labelled, performance_trigger, drift_trigger, category_trigger, drifted_features, " + big("new_values") + " AS new_values, should_retrain, reasons"
+sql("d5_retrain_decision", f"SELECT {_DECISION} FROM decision")
+sql("s13_monitor_report", f"SELECT {_DECISION}, '2001-08-01 00:00:00' AS checked_at FROM decision")
+
+# --- joined runs: what does not depend on the trees ------------------------------------------------------
+sql("r1_run_sizes", f"""SELECT 'v1_2001-08-01' AS version, count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'val') AS val_rows,
+  count(*) FILTER (split = 'test') AS test_rows,
+  {r("count(*) FILTER (split = 'train' AND y = 0) / greatest(count(*) FILTER (split = 'train' AND y = 1), 1)")} AS class_weight,
+  {big(f"any_value((SELECT {len(_NUM) + 1} + sum(width) FROM (SELECT DISTINCT f, width FROM slots)))")} AS features,
+  100.0::DOUBLE AS param_trees, 6.0::DOUBLE AS param_depth, 0.1::DOUBLE AS param_step, 0.8::DOUBLE AS param_rows,
+  0.8::DOUBLE AS param_columns, 42.0::DOUBLE AS param_seed FROM sp""")
+_UNKNOWN = """(SELECT f, v FROM (SELECT DISTINCT 'carrier' AS f, nullif(carrier, '') AS v FROM sq UNION SELECT DISTINCT 'region', nullif(region, '') FROM sq
+  UNION SELECT DISTINCT 'comuna', comuna FROM sq) WHERE v IS NOT NULL
+  AND (f, v) NOT IN (SELECT f, v FROM cats WHERE split = 'train' AND v IS NOT NULL))"""
+sql("r3_monitoring_run", f"""SELECT (SELECT count(*) FROM sp) AS n_labelled, count(*) > 0 AS category_trigger, count(*) AS new_values FROM {_UNKNOWN}""")

@@ -22,7 +22,7 @@ from lagwatch.plans import dataset as ds
 from lagwatch.plans import exploration as ex
 from lagwatch.plans import itineraries as it
 from lagwatch.plans import itinerary_report as rep
-from lagwatch.plans import monitoring, scoring, training
+from lagwatch.plans import monitoring, runs, scoring, training
 from lagwatch.session import scratch_path
 from lagwatch.sources import readers, stores
 from lagwatch.streaming import jobs
@@ -35,8 +35,6 @@ QUERIES: dict[str, Query] = {}
 
 LOG_AS_OF = "2001-08-01 00:00:00"
 LOG_DAYS = 140
-# trees of the registered training runs; the library default stays at 100
-QUERY_TREES = {"trees": 10}
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -558,7 +556,7 @@ def _(s, d):
 
 @query("a22_strongest_correlations")
 def _(s, d):
-    return histograms.strongest(histograms.target_correlations(labelled(s, d), CORRELATED), 2)
+    return histograms.strongest(histograms.target_correlations(labelled(s, d), CORRELATED), 5)
 
 
 @query("a23_class_histograms")
@@ -734,7 +732,7 @@ def _(s, d):
 
 @query("t2_carriers_by_score")
 def _(s, d):
-    return rep.carrier_scores(features(s, d), 1).select("final_carrier", "mean_score").limit(3)
+    return rep.carrier_scores(features(s, d), 1).select("final_carrier", "mean_score")
 
 
 @query("t3_riskiest")
@@ -744,7 +742,7 @@ def _(s, d):
 
 @query("t4_top_importance")
 def _(s, d):
-    return con.top_importance(con.global_importance(contributions(s, d)), 3)
+    return con.top_importance(con.global_importance(contributions(s, d)), 10)
 
 
 # --- set operations ------------------------------------------------------------------------------
@@ -785,8 +783,7 @@ def _(s, d):
     columns = ["mes", "num_ops", "picking_window_hours", "span_ratio"]
     stats = {r["feature"]: (r["median"], r["mean"], r["std"]) for r in prep.numeric_stats(
         rows.where(F.col("split") == "train"), columns).collect()}
-    return rows.where(F.col("split") != "train").select(
-        "package_id", *[prep.scaled(F.col(c), *stats[c]).alias(c) for c in columns])
+    return rows.select("package_id", *[prep.scaled(F.col(c), *stats[c]).alias(c) for c in columns])
 
 
 @query("m2_category_levels")
@@ -820,31 +817,56 @@ def fitted(s: SparkSession, d: str) -> tuple[ds.SplitData, training.RiskModel, d
     key = (s.sparkContext.applicationId, d)
     if key not in _FITTED:
         data = split_data(s, d)
-        model = training.train_model(data, PREPARED, QUERY_TREES, version="v1")
-        typical = con.typical_values(
-            data.part("train"), {c: v[0] for c, v in model.preparer.numeric.items()},
-            C.CATEGORICAL_FEATURES, ["es_fin_semana"])
+        model = training.train_model(data, PREPARED, version="v1")
+        typical = con.typical_values(data.part("train"), model.preparer)
         _FITTED[key] = data, model, typical
     return _FITTED[key]
 
 
+_PREPARED: dict[tuple, tuple] = {}
+
+
+def preparation(s: SparkSession, d: str) -> tuple[ds.SplitData, prep.Preparer]:
+    """The learnt preparation of a data folder, an artefact of its own."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _PREPARED:
+        data = split_data(s, d)
+        _PREPARED[key] = data, prep.fit_preparer(data.part("train"), PREPARED)
+    return _PREPARED[key]
+
+
 @query("m4_feature_vector")
 def _(s, d):
+    """The one-hot vector of every row, entry by entry, without the zeros."""
     from pyspark.ml.functions import vector_to_array
-    data, model, _ = fitted(s, d)
+    data, fitted_ = preparation(s, d)
+    return (fitted_.transform(data.rows, encoding="one_hot", salt_by="package_id")
+            .select("package_id", F.posexplode(vector_to_array("features")).alias("slot", "value")).where("value <> 0"))
+
+
+@query("m4_rate_vector")
+def _(s, d):
+    """The vector the trees read: one entry per raw feature."""
+    from pyspark.ml.functions import vector_to_array
+    data, fitted_ = preparation(s, d)
     array = vector_to_array("features")
-    return model.preparer.transform(data.part("test")).select(
-        "package_id", F.size(array).alias("width"), F.size(F.filter(array, lambda x: x != 0)).alias("filled"))
+    return fitted_.transform(data.rows, salt_by="package_id").select(
+        "package_id", *[F.get(array, F.lit(i)).alias(name) for i, name in enumerate(fitted_.raw_features)])
 
 
 @query("m5_prepared_splits")
 def _(s, d):
     from pyspark.ml.functions import vector_to_array
-    data, model, _ = fitted(s, d)
-    return model.preparer.transform(data.rows).groupBy("split").agg(
+    data, fitted_ = preparation(s, d)
+    return fitted_.transform(data.rows, encoding="one_hot", salt_by="package_id").groupBy("split").agg(
         F.count("*").alias("n"), F.max(F.size(vector_to_array("features"))).alias("width"))
 
 
+@query("p17_slot_names")
+def _(s, d):
+    return preparation(s, d)[1].slot_names()
+
+
 @query("m6_class_weight")
 def _(s, d):
     train = split_rows(s, d).where(F.col("split") == "train")
@@ -854,12 +876,17 @@ def _(s, d):
 @query("m7_trained_scores")
 def _(s, d):
     data, model, _ = fitted(s, d)
-    return model.predict(data.part("test")).select("package_id", "risk_score")
+    return model.predict(data.rows).select("package_id", "split", "risk_score")
+
+
+def folds(s: SparkSession, d: str) -> DataFrame:
+    """Fold metrics: five trained models, made once per session."""
+    return staged(s, d, "folds", lambda s, d: training.cross_validate(split_data(s, d).part("train"), PREPARED))
 
 
 @query("m8_cross_validation")
 def _(s, d):
-    return training.cross_validate(split_data(s, d).part("train"), PREPARED, params={"trees": 3})
+    return folds(s, d)
 
 
 @query("m9_calibration")
@@ -921,7 +948,13 @@ def _(s, d):
 def _(s, d):
     train, _, recent = _drift_inputs(s, d)
     stats = drift.reference_stats(train, DRIFT_FEATURES)
-    return drift.ks_statistics(recent, drift.reference_sample(stats), DRIFT_FEATURES)
+    return drift.feature_drift(recent, stats, DRIFT_FEATURES).drop("p_value")
+
+
+@query("d2_drift_p_values")
+def _(s, d):
+    train, _, recent = _drift_inputs(s, d)
+    return drift.feature_drift(recent, drift.reference_stats(train, DRIFT_FEATURES), DRIFT_FEATURES).select("feature", "p_value")
 
 
 @query("d3_raw_feature_stats")
@@ -943,7 +976,7 @@ def _(s, d):
     train, log, _ = _drift_inputs(s, d)
     reference = monitoring.learn_reference(train, DRIFT_FEATURES)
     report = monitoring.monitor(log, reference, DRIFT_FEATURES, at(LOG_AS_OF), days=LOG_DAYS)
-    return report.select("n_labelled", "performance_trigger", "category_trigger", "new_values", "should_retrain")
+    return report.drop("checked_at").withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query("s13_monitor_report")
@@ -951,8 +984,8 @@ def _(s, d):
     train, log, _ = _drift_inputs(s, d)
     reference = monitoring.learn_reference(train, DRIFT_FEATURES)
     path = scratch_path(s, "monitor")
-    stores.append_rows(monitoring.monitor(log, reference, DRIFT_FEATURES, at(LOG_AS_OF), days=LOG_DAYS), path)
-    return s.read.parquet(path).withColumn("reasons", F.array_join("reasons", "; "))
+    stores.store_run(monitoring.monitor(log, reference, DRIFT_FEATURES, at(LOG_AS_OF), days=LOG_DAYS), path, LOG_AS_OF, "monitor")
+    return s.read.parquet(path).drop("run", "part").withColumn("reasons", F.array_join("reasons", "; "))
 
 
 # --- scoring -------------------------------------------------------------------------------------------
@@ -965,10 +998,12 @@ def _(s, d):
 
 @query("x2_batch_scoring")
 def _(s, d):
-    _, model, _ = fitted(s, d)
+    """Predictions with their factors; the factors as text, so that rows can be compared."""
+    _, model, typical = fitted(s, d)
     broken = F.col("package_id").endswith("7")
     queries = V.scoring_queries(s, d).withColumn("order_id", F.when(~broken, F.col("order_id")))
-    return scoring.score_queries(queries, model, at(LOG_AS_OF)).drop("contributing_factors")
+    return scoring.score_queries(queries, model, at(LOG_AS_OF), typical=typical).withColumn(
+        "contributing_factors", F.to_json("contributing_factors"))
 
 
 @query("x3_global_importance")
@@ -983,10 +1018,35 @@ def _(s, d):
         "package_id", "pos", "f.*")
 
 
+def model_contributions(s: SparkSession, d: str) -> DataFrame:
+    """Contributions of the trained model for all rows of the split, stored once."""
+    def build(s: SparkSession, d: str) -> DataFrame:
+        data, model, typical = fitted(s, d)
+        prepared = model.preparer.transform(data.rows, salt_by="package_id")
+        return model.contributions(prepared, "package_id", typical)
+    return staged(s, d, "contributions", build)
+
+
 @query("x5_occlusion")
 def _(s, d):
-    data, model, typical = fitted(s, d)
-    return con.occlusion(data.part("test"), model.predict, "package_id", typical)
+    return model_contributions(s, d)
+
+
+@query("x3_model_importance")
+def _(s, d):
+    return con.global_importance(model_contributions(s, d))
+
+
+@query("x4_model_factors")
+def _(s, d):
+    top = con.top_factors(model_contributions(s, d), "package_id")
+    return top.select("package_id", F.posexplode("contributing_factors").alias("pos", "f")).select(
+        "package_id", "pos", "f.*")
+
+
+@query("t4_model_top_importance")
+def _(s, d):
+    return con.top_importance(con.global_importance(model_contributions(s, d)), 10)
 
 
 @query("s12_model_registry")
@@ -995,11 +1055,58 @@ def _(s, d):
     registry = stores.ModelRegistry(s, scratch_path(s, "models"))
     registry.save(model, date(2001, 8, 1))
     registry.save(model, date(2001, 8, 2))
-    scored = registry.load().predict(split_data(s, d).part("val"))
+    scored = registry.load().predict(split_data(s, d).rows)
     return registry.versions().select("number", "version", "features", "saved_on",
                                       scored.agg(F.count("*")).scalar().alias("scored"))
 
 
+# --- joined runs -----------------------------------------------------------------------------------------
+_RUNS: dict[tuple, tuple] = {}
+
+
+def trained_run(s: SparkSession, d: str) -> tuple[ds.SplitData, training.RiskModel, DataFrame, str]:
+    """One training run per session: its model, validation row and metrics table."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _RUNS:
+        data, metrics = split_data(s, d), scratch_path(s, "metrics")
+        registry = stores.ModelRegistry(s, scratch_path(s, "run-models"))
+        model, report = runs.train_run(data, PREPARED, registry, metrics, date(2001, 8, 1), folds=folds(s, d))
+        _RUNS[key] = data, model, report, metrics
+    return _RUNS[key]
+
+
+@query("r1_training_run")
+def _(s, d):
+    """What a training run stores: metrics, sizes and parameters by part."""
+    _, _, _, metrics = trained_run(s, d)
+    return s.read.parquet(metrics).where(F.col("part").isin("validation", "folds")).select("run", "part", "metric", "value")
+
+
+@query("r1_run_sizes")
+def _(s, d):
+    """The deterministic part of it."""
+    _, _, report, _ = trained_run(s, d)
+    return report.select("version", "train_rows", "val_rows", "test_rows", "class_weight", "features",
+                         *[f"param_{k}" for k in C.BOOSTER])
+
+
+@query("r2_evaluation_run")
+def _(s, d):
+    data, model, _, metrics = trained_run(s, d)
+    runs.evaluation_run(data, model, metrics)
+    return s.read.parquet(metrics).where(F.col("part").isin("test", "accepted", "importance")).select("run", "part", "threshold_name", "metric", "value")
+
+
+@query("r3_monitoring_run")
+def _(s, d):
+    """Scored orders, their log, the outcomes known by now, and the check against the stored metrics."""
+    data, model, _, metrics = trained_run(s, d)
+    outcomes = data.rows.select("package_id", F.col(C.TARGET).alias("outcome"))
+    report = runs.monitoring_run(V.scoring_queries(s, d), outcomes, data, model, metrics, scratch_path(s, "prediction-log"),
+                                 at(LOG_AS_OF), "2001-08-01", DRIFT_FEATURES)
+    return report.select("n_labelled", "category_trigger", "new_values")
+
+
 # --- streams -----------------------------------------------------------------------------------------------
 @query("st1_event_stream")
 def _(s, d):
@@ -1013,16 +1120,15 @@ def _(s, d):
 def _(s, d):
     lines = jobs.file_stream(s, d, V.table(s, d, "lineitem").schema, pattern="lineitem.parquet")
     table = scratch_path(s, "trend")
-    jobs.run_to_table(jobs.sliding_metrics(V.prediction_log(s, d, lines)), table,
-                      scratch_path(s, "chk")).awaitTermination()
-    return s.read.parquet(table)
+    jobs.run_day_totals(V.prediction_log(s, d, lines), table, scratch_path(s, "chk")).awaitTermination()
+    return jobs.sliding_state(s, table)
 
 
 @query("st3_scoring_stream")
 def _(s, d):
-    _, model, _ = fitted(s, d)
+    _, model, typical = fitted(s, d)
     folder = scratch_path(s, "queries")
     V.scoring_queries(s, d).write.json(folder)
     table = scratch_path(s, "scored")
-    jobs.run_scoring(s, folder, table, scratch_path(s, "chk"), model, LOG_AS_OF).awaitTermination()
-    return s.read.parquet(table).drop("contributing_factors", "batch")
+    jobs.run_scoring(s, folder, table, scratch_path(s, "chk"), model, LOG_AS_OF, typical).awaitTermination()
+    return s.read.parquet(table).drop("batch").withColumn("contributing_factors", F.to_json("contributing_factors"))
