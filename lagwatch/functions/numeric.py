@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def no_nan(x: Column) -> Column:
-    """NaN means "absent" in the inputs; Spark would count it and sort it last."""
-    return F.when(~F.isnan(x), x)
-
-
 def cap(x: Column, upper: float) -> Column:
     """Clip from above; NULL stays NULL (``least`` would return the bound)."""
     return F.when(x > upper, F.lit(float(upper))).otherwise(x)

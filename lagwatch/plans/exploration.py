@@ -48,11 +48,6 @@ def median_days_late(packages: DataFrame) -> DataFrame:
     return exact_medians(late, F.col("dias_atraso"))
 
 
-def days_after(promised: str, delivered: str):
-    """Whole days from the promised to the delivery date."""
-    return F.date_diff(F.col(delivered), F.col(promised))
-
-
 def weekly_volume(packages: DataFrame, ts: str = "fecha_creacion") -> DataFrame:
     week = F.date_format(F.date_trunc("week", F.col(ts)), "yyyy-MM-dd")
     return packages.where(F.col(ts).isNotNull()).groupBy(week.alias("week")).agg(F.count("*").alias("n"))

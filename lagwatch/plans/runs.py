@@ -17,9 +17,10 @@ from . import monitoring, scoring, training
 from .dataset import SplitData
 
 
-def train_run(data: SplitData, features: Sequence[str], registry: ModelRegistry, metrics: str, on: date,
-              params: dict | None = None, folds: DataFrame | None = None) -> tuple[training.RiskModel, DataFrame]:
-    """Folds, fit, validation and calibration; model and metrics are stored under the version.
+def train_run(data: SplitData, features: Sequence[str], registry: ModelRegistry, metrics: str, reference: str, on: date,
+              watched: Sequence[str], params: dict | None = None, folds: DataFrame | None = None) -> tuple[training.RiskModel, DataFrame]:
+    """Folds, fit, validation and calibration; model and metrics are stored under the version, and
+    what later checks compare with, for the ``watched`` features, in the ``reference`` folder.
 
     Returns the model and its validation row. ``folds`` takes fold metrics made before.
     """
@@ -34,6 +35,7 @@ def train_run(data: SplitData, features: Sequence[str], registry: ModelRegistry,
         **{f"param_{k}": F.lit(float(v)) for k, v in {**C.BOOSTER, **(params or {})}.items()}}), "validation")
     append_metrics(report, metrics, version, "validation")
     append_metrics(training.cv_summary(folds), metrics, version, "folds")
+    monitoring.learn_reference(train, watched).save(reference)
     return model, report.withColumn("version", F.lit(version))
 
 
@@ -52,7 +54,7 @@ def evaluation_run(data: SplitData, model: training.RiskModel, metrics: str) ->
     return rows
 
 
-def monitoring_run(queries: DataFrame, outcomes: DataFrame, data: SplitData, model: training.RiskModel, metrics: str,
+def monitoring_run(queries: DataFrame, outcomes: DataFrame, model: training.RiskModel, metrics: str, reference: str,
                    log: str, as_of: Column, run: str, watched: Sequence[str], days: int = C.WINDOW_DAYS) -> DataFrame:
     """Score a batch, write its log, complete it with the outcomes known by now, and check it
     against the stored metrics of the model's training. Returns the report row."""
@@ -62,5 +64,5 @@ def monitoring_run(queries: DataFrame, outcomes: DataFrame, data: SplitData, mod
     logged = spark.read.parquet(log).where(F.col("part") == "scored").drop("run", "part")
     complete = scoring.fill_outcomes(logged, outcomes)
     baseline = stored_metric(spark, metrics, "validation", "pr_auc")
-    reference = monitoring.learn_reference(data.part("train"), watched)
-    return monitoring.monitor(complete, reference, watched, as_of, C.MIN_PR_AUC if baseline is None else baseline, days)
+    known = monitoring.load_reference(spark, reference)
+    return monitoring.monitor(complete, known, watched, as_of, C.MIN_PR_AUC if baseline is None else baseline, days)

@@ -692,3 +692,4 @@ _UNKNOWN = """(SELECT f, v FROM (SELECT DISTINCT 'carrier' AS f, nullif(carrier,
   UNION SELECT DISTINCT 'comuna', comuna FROM sq) WHERE v IS NOT NULL
   AND (f, v) NOT IN (SELECT f, v FROM cats WHERE split = 'train' AND v IS NOT NULL))"""
 sql("r3_monitoring_run", f"""SELECT (SELECT count(*) FROM sp) AS n_labelled, count(*) > 0 AS category_trigger, count(*) AS new_values FROM {_UNKNOWN}""")
+ORACLE["s6_lifecycle_files"] = ORACLE["s6_lifecycle_items"]

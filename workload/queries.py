@@ -179,6 +179,14 @@ def _(s, d):
     return readers.lifecycle_items(readers.parse_lifecycle(V.lifecycle_documents(s, d)))
 
 
+@query("s6_lifecycle_files")
+def _(s, d):
+    """The same events, landed as JSON files, one event a line."""
+    folder = scratch_path(s, "lifecycle")
+    V.lifecycle_documents(s, d).select("value").write.text(folder)
+    return readers.lifecycle_items(readers.read_lifecycle(s, folder, multi_line=False))
+
+
 @query("s7_dataset_write")
 def _(s, d):
     path = scratch_path(s, "dataset")
@@ -1064,35 +1072,37 @@ def _(s, d):
 _RUNS: dict[tuple, tuple] = {}
 
 
-def trained_run(s: SparkSession, d: str) -> tuple[ds.SplitData, training.RiskModel, DataFrame, str]:
-    """One training run per session: its model, validation row and metrics table."""
+def trained_run(s: SparkSession, d: str) -> tuple[ds.SplitData, training.RiskModel, DataFrame, str, str]:
+    """One training run per session: its model, validation row, metrics table and reference."""
     key = (s.sparkContext.applicationId, d)
     if key not in _RUNS:
         data, metrics = split_data(s, d), scratch_path(s, "metrics")
         registry = stores.ModelRegistry(s, scratch_path(s, "run-models"))
-        model, report = runs.train_run(data, PREPARED, registry, metrics, date(2001, 8, 1), folds=folds(s, d))
-        _RUNS[key] = data, model, report, metrics
+        reference = scratch_path(s, "reference")
+        model, report = runs.train_run(data, PREPARED, registry, metrics, reference, date(2001, 8, 1), DRIFT_FEATURES,
+                                       folds=folds(s, d))
+        _RUNS[key] = data, model, report, metrics, reference
     return _RUNS[key]
 
 
 @query("r1_training_run")
 def _(s, d):
     """What a training run stores: metrics, sizes and parameters by part."""
-    _, _, _, metrics = trained_run(s, d)
+    _, _, _, metrics, _ = trained_run(s, d)
     return s.read.parquet(metrics).where(F.col("part").isin("validation", "folds")).select("run", "part", "metric", "value")
 
 
 @query("r1_run_sizes")
 def _(s, d):
     """The deterministic part of it."""
-    _, _, report, _ = trained_run(s, d)
+    _, _, report, _, _ = trained_run(s, d)
     return report.select("version", "train_rows", "val_rows", "test_rows", "class_weight", "features",
                          *[f"param_{k}" for k in C.BOOSTER])
 
 
 @query("r2_evaluation_run")
 def _(s, d):
-    data, model, _, metrics = trained_run(s, d)
+    data, model, _, metrics, _ = trained_run(s, d)
     runs.evaluation_run(data, model, metrics)
     return s.read.parquet(metrics).where(F.col("part").isin("test", "accepted", "importance")).select("run", "part", "threshold_name", "metric", "value")
 
@@ -1100,10 +1110,10 @@ def _(s, d):
 @query("r3_monitoring_run")
 def _(s, d):
     """Scored orders, their log, the outcomes known by now, and the check against the stored metrics."""
-    data, model, _, metrics = trained_run(s, d)
+    data, model, _, metrics, reference = trained_run(s, d)
     outcomes = data.rows.select("package_id", F.col(C.TARGET).alias("outcome"))
-    report = runs.monitoring_run(V.scoring_queries(s, d), outcomes, data, model, metrics, scratch_path(s, "prediction-log"),
-                                 at(LOG_AS_OF), "2001-08-01", DRIFT_FEATURES)
+    report = runs.monitoring_run(V.scoring_queries(s, d), outcomes, model, metrics, reference,
+                                 scratch_path(s, "prediction-log"), at(LOG_AS_OF), "2001-08-01", DRIFT_FEATURES)
     return report.select("n_labelled", "category_trigger", "new_values")
 
 
