@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagwatch.llm import decontamination, jaccard, language, lines, packing
-from lagwatch.llm.common import documents, staged, with_row_key
+from lagwatch.llm.common import documents, small_batches, staged, with_row_key
 from lagwatch.llm.queries import tokenizer
 
 # The columns of ``documents``.
@@ -25,6 +25,7 @@ COLUMNS = {"doc_id": "long", "text": "string", "lang": "string", "source": "stri
 
 def as_documents(docs: DataFrame) -> DataFrame:
     """The columns of ``documents`` only."""
+    small_batches(docs.sparkSession)
     return docs.select([(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
 
 
@@ -81,6 +82,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place every document in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer(), end_id=0, capacity=2048)
 
 

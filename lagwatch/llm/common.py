@@ -1,7 +1,8 @@
 """What the text operators share: columns, row keys, staged tables and let-bindings.
 
 A document is a row with ``doc_id`` (long) and ``text`` (string). Other columns pass
-through or are ignored, as each operator says. Internal columns start with ``__``.
+through or are ignored, as each operator says; one that has the name of a result gives way to
+it. Internal columns start with ``__``.
 """
 
 from __future__ import annotations
@@ -25,9 +26,18 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: unless the session sets another number, two thousand of them go to a
+    Python worker at a time, not ten thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """The table; Python workers started from here on find this package as the driver does."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
@@ -79,3 +89,17 @@ def semi_join_hashes(rows: DataFrame, wanted: DataFrame, keys: list[str], spread
     salted = wanted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
             .join(salted, [*keys, "__salt"], "left_semi").drop("__salt"))
+
+
+_HELD: tuple[object, object] = (None, None)
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker process remembers between tasks, for one operator at a time: as soon as
+    another asks, the memory of the one before goes. Worker processes outlive the stages of a
+    pipeline, and their memories would add up."""
+    global _HELD
+    if _HELD[0] != key:
+        _HELD = (None, None)  # let go before the next is made
+        _HELD = (key, make())
+    return _HELD[1]

@@ -32,7 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagwatch.llm.common import held
+
 BITS = 64
+REMEMBERED = 200_000  # word hashes a worker keeps
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
@@ -49,15 +52,13 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     if not text:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > 1_000_000:
-        _HASHES.clear()
-    found = np.array([_HASHES[w] for w in text.lower().split()], np.uint64)
+    known = held("bare words", _WordHashes)
+    if len(known) > REMEMBERED:
+        known.clear()
+    found = np.array([known[w] for w in text.lower().split()], np.uint64)
     return found[found != 0]
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwatch.llm.common import id_and_text, staged, with_row_key
+from lagwatch.llm.common import held, id_and_text, staged, with_row_key
 from lagwatch.llm.components import components
 from lagwatch.llm.decontamination import shingle_hashes
 
@@ -45,6 +45,7 @@ LIST_ROWS = 20_000   # rows of a salted list
 BLOCK_ROWS = 2_048   # sets of a block in step 5
 SENT_ROWS = 1_000_000
 PARTS = 64           # parts of the suffix filter
+REMEMBERED = 200_000  # word hashes a worker keeps
 
 
 class _Words(dict):
@@ -54,17 +55,15 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def occurrences(text: str | None, n: int) -> np.ndarray:
     """Hashes of the n-grams of a text, in order and with repeats."""
     if not text:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
+    known = held("words", _Words)
+    if len(known) > REMEMBERED:
+        known.clear()
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    hashes = np.array([_WORDS[w] for w in words], np.uint64)
+    hashes = np.array([known[w] for w in words], np.uint64)
     return shingle_hashes(hashes, min(n, len(words))) if words else hashes
 
 

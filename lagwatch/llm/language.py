@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagwatch.llm.common import held
+
 UNDETERMINED = "und"
 GRAM = 3
 SYMBOL_BITS = 10
@@ -45,7 +47,7 @@ class GramMemory:
 
     _table: np.ndarray | None = None
 
-    def __init__(self, dims: int, seed: int, remember: int = 65_536) -> None:
+    def __init__(self, dims: int, seed: int, remember: int = 32_768) -> None:
         if GramMemory._table is None:
             GramMemory._table = symbol_table()
         signs = np.random.default_rng(seed).integers(0, 2, (1 << SYMBOL_BITS, dims), np.int8) * 2 - 1
@@ -102,14 +104,9 @@ class GramMemory:
         return total
 
 
-_MEMORIES: dict[tuple[int, int], GramMemory] = {}
-
-
 def memory(dims: int, seed: int) -> GramMemory:
     """One memory per worker process."""
-    if (dims, seed) not in _MEMORIES:
-        _MEMORIES[dims, seed] = GramMemory(dims, seed)
-    return _MEMORIES[dims, seed]
+    return held(("grams", dims, seed), lambda: GramMemory(dims, seed))
 
 
 @dataclass(frozen=True)

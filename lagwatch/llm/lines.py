@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagwatch.llm.common import fold_ascii, let, semi_join_hashes, staged, strip, with_row_key
+from lagwatch.llm.common import fold_ascii, held, let, semi_join_hashes, staged, strip, with_row_key
 
 
 #: Keys that are sent to every task: 12 bytes each.
@@ -66,6 +66,7 @@ def _in_place(docs: DataFrame, keys: Column, a: np.ndarray, b: np.ndarray) -> Da
                          F.transform(keys, lambda k: F.hash(k)).alias("__b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("lines", tuple)  # nothing is remembered here, and nothing of another operator
         known, second = sent.value
         for batch in batches:
             first = batch["__a"]

@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-_ENCODERS: dict[str, "WordEncoder"] = {}
+from lagwatch.llm.common import held
+
 #: A run of marks between a letter and white space. It is a token run of its own either way,
 #: and set apart it does not make another word of the one before it.
 _MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([.,;:!?*#$%&|]+)(?= |$)")
@@ -89,9 +90,7 @@ def _gaps(found: list[bytes | None]) -> list[int]:
 
 def encoder(path: str) -> WordEncoder:
     """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("tokens", path), lambda: WordEncoder(path))
 
 
 def encoded(path: str, texts: Iterable[str | None], end_id: int) -> Iterator[np.ndarray]:
