@@ -215,7 +215,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def train_speller(words: DataFrame, model_file: str, rounds: int = 1) -> Speller:
+def train_speller(words: DataFrame, model_file: str, rounds: int = 2) -> Speller:
     """Expectation steps over all distinct words, each weighing one; sums come back per piece."""
     base_first, base_inner = first_weights(model_file)
     current = speller(base_first, base_inner, sum(base_inner.values()) / 3)
@@ -281,7 +281,7 @@ class TextModel:
         return high + math.log10(1 + 10 ** (low - high))
 
 
-def fit(train: DataFrame, model_file: str, frequent_words: int = 300_000, rounds: int = 1) -> tuple[TextModel, DataFrame]:
+def fit(train: DataFrame, model_file: str, frequent_words: int = 300_000, rounds: int = 2) -> tuple[TextModel, DataFrame]:
     """The model, and the table of all counts."""
     words = staged(count_words(id_and_text(train)), "word-counts")
     is_word = F.col("word") != F.lit(END)
