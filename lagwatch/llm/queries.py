@@ -48,7 +48,7 @@ def language_id(spark: SparkSession, d: str) -> DataFrame:
 
 def toxic_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = documents(spark, d).select("doc_id", "text")
-    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs, labels.where(~language.held_out(F.col("doc_id"), 5, 0)))
     return toxicity.score(docs, model).select(
         "doc_id", language.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")

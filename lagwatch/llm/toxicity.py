@@ -150,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
         exceptions_size: int = 20_000, min_docs: int = 5, min_precision: float = 0.75) -> ToxicModel:
     """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks with 0 or 1."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of several labels the toxic one
     counts = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     n_toxic, n_other = counts.get(True, 0), counts.get(False, 0)
     if not n_toxic or not n_other:
