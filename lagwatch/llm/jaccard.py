@@ -15,7 +15,8 @@
    through the same filters, verified once. No list is cut short.
 
 Frequent n-grams are dealt over salted lists in step 4, and lists are met in blocks in step 5, so
-no task holds a whole hot list.
+no task holds a whole hot list. All rows of a salted n-gram go on to step 5 as one list, however
+few a salt has, as sets under different salts meet only there.
 
 Defined cases: a null text, or one without a word, is an empty set, linked with nothing; a text
 with fewer words than n is one n-gram of all its words; rows that share an id and a set are one
@@ -180,7 +181,7 @@ def _emit(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(gram, salt, cid, size, pos) of each prefix n-gram."""
+    """(gram, salt, cid, size, pos) of each prefix n-gram; the salt is -1 where all its sets are in one list."""
     schema = "gram long, salt int, cid long, size int, pos int"
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +192,9 @@ def _postings(classes: DataFrame) -> DataFrame:
                 salts = np.concatenate([np.frombuffer(s, "<u4") for s in part["salts"].to_pylist()])
                 lengths = np.array([len(g) for g in grams])
                 cids = np.repeat(part["cid"].to_numpy(), lengths)
+                dealt = np.where(salts > 1, cids % salts, -1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(grams)), pa.array((cids % salts).astype(np.int32)), pa.array(cids),
+                    pa.array(np.concatenate(grams)), pa.array(dealt), pa.array(cids),
                     pa.array(np.repeat(part["size"].to_numpy(), lengths)),
                     pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]))],
                     names=["gram", "salt", "cid", "size", "pos"])
@@ -201,8 +203,8 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _lists(postings: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of kind 0, a pair (x, y) to check, and of kind 1, a row of a longer list
-    (x: n-gram, y: class, with size and pos)."""
+    """Rows of kind 0, a pair (x, y) to check, and of kind 1, a row of a longer list or of any
+    salted one (x: n-gram, y: class, with size and pos)."""
     schema = "kind int, x long, y long, size int, pos int"
     types, names = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()], ["kind", "x", "y", "size", "pos"]
 
@@ -239,13 +241,13 @@ def _lists(postings: DataFrame, rule: Rule) -> DataFrame:
             split = (grams[1:] != grams[:-1]) | (salts[1:] != salts[:-1])
             starts = np.concatenate([[0], np.flatnonzero(split) + 1])
             ends = np.append(starts[1:], len(grams))
-            # a list of one row inside the batch meets nothing
-            wanted = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(grams)))
+            # a list of one row inside the batch meets nothing, unless it is one of several of its n-gram
+            wanted = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(grams)) | (salts[starts] >= 0))
             for s, e in zip(starts[wanted].tolist(), ends[wanted].tolist(), strict=True):
                 here = (int(grams[s]), int(salts[s]))
                 if here != key:
                     close()
-                    key, held, hubs, long_ = here, [], {}, False
+                    key, held, hubs, long_ = here, [], {}, here[1] >= 0
                 for row in zip(cids[s:e].tolist(), sizes[s:e].tolist(), places[s:e].tolist(), strict=True):
                     if long_:
                         to_hubs(row)

@@ -83,6 +83,16 @@ def test_jaccard_hot_groups_in_blocks_and_salts(rows, monkeypatch):
         assert sort_rows(jaccard.with_components(rows(data), rule).collect()) == sort_rows(plain_components(data, rule))
 
 
+def test_jaccard_copies_and_near_copies_on_different_salts(rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 5)
+    data = []
+    for g in range(8):  # the copies make the n-grams frequent, but only two sets hold them
+        base = [f"g{g}w{i}" for i in range(120)]
+        data += [(100 * g + k, " ".join(base), None) for k in range(60)]
+        data.append((100 * g + 60, " ".join([*base[:50], f"edit{g}", *base[51:]]), None))
+    assert sort_rows(jaccard.with_components(rows(data)).collect()) == sort_rows(plain_components(data, jaccard.Rule()))
+
+
 def test_jaccard_joined_uses(rows, prose, monkeypatch):
     monkeypatch.setattr(jaccard, "SENT_ROWS", -1)
     rule = jaccard.Rule()
