@@ -20,8 +20,8 @@ few a salt has, as sets under different salts meet only there.
 
 Defined cases: a null text, or one without a word, is an empty set, linked with nothing; a text
 with fewer words than n is one n-gram of all its words; rows that share an id and a set are one
-class; a null id never names a component unless all its copies lack an id; an empty table gives no
-row. n-grams are 64-bit hashes, classes 128-bit hashes of their sorted sets.
+class; a null id never names a component unless all of the component lacks an id, and is linked as any
+other; an empty table gives no row. n-grams are 64-bit hashes, classes 128-bit hashes of their sorted sets.
 """
 
 from __future__ import annotations
@@ -141,8 +141,8 @@ def _signature(sorted_set: np.ndarray) -> tuple[int, int]:
 
 
 def _classes(docs: DataFrame, rule: Rule, cells: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, __h, size, high, low) per document, and per class its id, smallest document, size,
-    prefix, list salts and parts."""
+    """(doc_id, __i, __h, size, high, low) per document, and per class its id, smallest document, the
+    row key (__i, __h) of the document that stands for it, size, prefix, list salts and parts."""
     sent = docs.sparkSession.sparkContext.broadcast(cells)
     schema = "doc_id long, __h long, size int, high long, low long, prefix binary, salts binary, parts binary"
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
@@ -166,11 +166,12 @@ def _classes(docs: DataFrame, rule: Rule, cells: np.ndarray) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else
                                              [pa.array([], t) for t in types], names=names)
 
-    described_ = staged(docs.mapInArrow(described, schema), "sets")
-    members = described_.select("doc_id", "__h", "size", "high", "low")
+    described_ = staged(docs.mapInArrow(described, schema), "sets").withColumn("__i", F.coalesce("doc_id", F.lit(-1)))
+    members = described_.select("doc_id", "__i", "__h", "size", "high", "low")
     classes = (described_.where("size > 0").groupBy("high", "low")
-               .agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
+               .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("__i", "__h")).alias("stands"), F.first("size").alias("size"), F.first("prefix").alias("prefix"),
                     F.first("salts").alias("salts"), F.first("parts").alias("parts"))
+               .withColumns({"__i": F.col("stands.__i"), "__h": F.col("stands.__h")}).drop("stands")
                .withColumn("cid", F.monotonically_increasing_id()))
     return members, staged(classes, "classes")  # written, so the class ids stay
 
@@ -284,18 +285,26 @@ def _suffix(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             .mapInArrow(kept, "a long, b long"))
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+def _verify(docs: DataFrame, members: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs that are links, by their whole sets. The sets are made anew from the texts of
     the documents that stand for the classes; each set goes once to each pair it is the second of,
-    and once to each salted group it is the first of."""
+    and once to each salted group it is the first of. Of rows with the same id and text one is read."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
     uses = (salted.select(F.col("a").alias("cid"), "a", "salt", F.lit(-1).cast("long").alias("b")).distinct()
             .unionByName(salted.select(F.col("b").alias("cid"), "a", "salt", "b")))
-    wanted = staged(uses.join(classes.select("cid", "doc_id", "high", "low"), "cid")
-                    .groupBy("doc_id", "high", "low").agg(F.collect_list(F.struct("a", "salt", "b")).alias("uses")), "uses")
+    wanted = staged(uses.join(classes.select("cid", "__i", "__h", "high", "low"), "cid")
+                    .groupBy("__i", "__h", "high", "low").agg(F.collect_list(F.struct("a", "salt", "b")).alias("uses")), "uses")
     # one row per use at most: small tables of ids go to the tasks, larger ones are joined by shuffle
     small = wanted.agg(F.coalesce(F.sum(F.size("uses")), F.lit(0))).first()[0] <= SENT_ROWS
     wanted = F.broadcast(wanted) if small else wanted
+    key = ["__i", "__h"]
+    texts = docs.select(*key, "text")
+    again = staged(members.select(*key).join(wanted.select(*key), key, "left_semi").groupBy(*key).count().where("count > 1").select(*key), "again")
+    n_again = again.count()
+    if n_again:
+        again = F.broadcast(again) if n_again <= SENT_ROWS else again
+        one = texts.join(again, key, "left_semi").dropDuplicates(key)
+        texts = texts.join(again, key, "left_anti").unionByName(one)
     types, names = [pa.int64(), pa.int32(), pa.int64(), pa.binary()], ["a", "salt", "b", "grams"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +313,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -
             for text, high, low, uses_ in zip(*(batch[c].to_pylist() for c in ("text", "high", "low", "uses")), strict=True):
                 grams = np.unique(occurrences(text, rule.n))
                 if _signature(grams) != (high, low):
-                    continue  # another text under the same id
+                    continue  # another text under the same row key
                 raw = grams.tobytes()
                 for use in uses_:
                     out.append((use["a"], use["salt"], use["b"], raw))
@@ -329,7 +338,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -
                     out.append((a, b))
             yield _emit(out, [pa.int64(), pa.int64()], ["a", "b"])
 
-    made = docs.join(wanted, "doc_id").select("text", "high", "low", "uses").mapInArrow(sets, "a long, salt int, b long, grams binary")
+    made = texts.join(wanted, key).select("text", "high", "low", "uses").mapInArrow(sets, "a long, salt int, b long, grams binary")
     return (made.repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(checked, "a long, b long").distinct())
 
 
@@ -388,16 +397,16 @@ class Joined:
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> Joined:
-    docs = with_row_key(id_and_text(docs)).drop("__i")
+    docs = with_row_key(id_and_text(docs))
     members, classes = _classes(docs, rule, _cells(docs, rule.n))
     lists = staged(_lists(_postings(classes), rule), "lists")
     pairs = lists.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    first = staged(_verify(docs, classes, staged(_suffix(pairs, classes, rule), "pairs"), rule), "links")
+    first = staged(_verify(docs, members, classes, staged(_suffix(pairs, classes, rule), "pairs"), rule), "links")
     linked = components(first)
     rest = staged(_across(lists.where("kind = 1"), classes, linked, rule), "pairs")
     links = first
     if not rest.isEmpty():
-        links = first.unionByName(staged(_verify(docs, classes, rest, rule), "links"))
+        links = first.unionByName(staged(_verify(docs, members, classes, rest, rule), "links"))
     return Joined(members, classes, links)
 
 

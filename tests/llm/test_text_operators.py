@@ -93,6 +93,16 @@ def test_jaccard_copies_and_near_copies_on_different_salts(rows, monkeypatch):
     assert sort_rows(jaccard.with_components(rows(data)).collect()) == sort_rows(plain_components(data, jaccard.Rule()))
 
 
+def test_jaccard_near_copies_without_an_id(rows):
+    base = [[f"g{g}w{i}" for i in range(120)] for g in range(2)]
+    near = [" ".join([*b[:50], "edit", *b[51:]]) for b in base]
+    data = [(7, " ".join(base[0]), None), *[(None, near[0], None)] * 3, *[(None, " ".join(base[1]), None)] * 4, (None, near[1], None),
+            *[(9, f"other text {i} under one id", None) for i in range(20)], (9, " ".join([*base[0][:80], "edit", *base[0][81:]]), None)]
+    found = jaccard.grouped(rows(data)).where("size > 100").collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0)] * 5 + [(0, 7)] * 3 + [(7, 7), (9, 7)]
+    assert len({r.group for r in found}) == 2
+
+
 def test_jaccard_joined_uses(rows, prose, monkeypatch):
     monkeypatch.setattr(jaccard, "SENT_ROWS", -1)
     rule = jaccard.Rule()
