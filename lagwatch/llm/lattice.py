@@ -90,11 +90,18 @@ class Speller:
     def expect(self, word: str, firsts: dict[str, float], inners: dict[str, float]) -> None:
         """Add the expected uses of each piece in one occurrence of the word, by the forward and the
         backward recursion. Weights are lifted per letter, so that plain numbers reach; where they
-        do not, for long or odd words, by the word's own probability."""
-        if not self._expect(word, firsts, inners, 1.7):
-            self._expect(word, firsts, inners, -self.log_probability(word) / (len(word) + 1))
+        do not, for long words, by the word's own probability; and where that does not reach at every
+        letter, for words with stretches of different cost, the recursions go in log space."""
+        try:
+            done = (self._expect(word, firsts, inners, 1.7)
+                    or self._expect(word, firsts, inners, -self.log_probability(word) / (len(word) + 1)))
+        except OverflowError:  # before anything was added
+            done = False
+        if not done:
+            self._expect_in_logs(word, firsts, inners)
 
     def _expect(self, word: str, firsts: dict[str, float], inners: dict[str, float], lift: float) -> bool:
+        """Whether plain numbers reached; if not, nothing is added."""
         n, exp = len(word), math.exp
         alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
         starts, arcs = [], []
@@ -109,7 +116,10 @@ class Speller:
         inner = self.inner
         for i in range(n):
             a = alpha[i]
-            if a == 0.0:
+            if not 1e-250 < a < 1e250:
+                # no segmentation ends here, or its number is out of range
+                if a or any(j == i for j, _, _ in starts) or any(j == i for _, j, _, _ in arcs):
+                    return False
                 continue
             single = False
             for j in range(i + 1, n + 1):
@@ -147,6 +157,56 @@ class Speller:
                 firsts[piece] = firsts.get(piece, 0.0) + y
         return True
 
+    def _expect_in_logs(self, word: str, firsts: dict[str, float], inners: dict[str, float]) -> None:
+        n, none, exp, inner = len(word), -math.inf, math.exp, self.inner
+        alpha, beta = [none] * (n + 1), [none] * (n + 1)
+        starts, arcs = [], []
+        for j in range(n + 1):
+            w = self.first.get(word[:j], 0)
+            if w == 0:
+                break
+            if w is not None:
+                alpha[j] = w
+                starts.append((j, word[:j], w))
+        for i in range(n):
+            a = alpha[i]
+            if a == none:
+                continue
+            single = False
+            for j in range(i + 1, n + 1):
+                piece = word[i:j]
+                w = inner.get(piece, 0)
+                if w == 0:
+                    break
+                if w is not None:
+                    single = single or j == i + 1
+                    alpha[j] = _log_sum(alpha[j], a + w)
+                    arcs.append((i, j, piece, w))
+            if not single:
+                w = self._bytes(word[i])
+                alpha[i + 1] = _log_sum(alpha[i + 1], a + w)
+                arcs.append((i, i + 1, None, w))
+        beta[n] = -alpha[n]
+        for i, j, piece, w in reversed(arcs):
+            y = w + beta[j]
+            if y == none:
+                continue
+            beta[i] = _log_sum(beta[i], y)
+            y = exp(alpha[i] + y)
+            if piece is not None:
+                inners[piece] = inners.get(piece, 0.0) + y
+            else:
+                for b in word[i].encode("utf-8", "surrogatepass"):
+                    name = f"<0x{b:02X}>"
+                    inners[name] = inners.get(name, 0.0) + y
+        for j, piece, w in starts:
+            firsts[piece] = firsts.get(piece, 0.0) + exp(w + beta[j])
+
+
+def _log_sum(x: float, y: float) -> float:
+    """Logarithm of the sum of two numbers, the second of them above 0."""
+    return x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
+
 
 def _with_beginnings(weights: dict[str, float]) -> dict[str, float | None]:
     # an inner byte piece is found by its byte, not by its name

@@ -414,6 +414,22 @@ def test_lattice_sums_all_segmentations():
     assert np.isclose(covered, 1200)
 
 
+@pytest.mark.parametrize("word", ["a" * 400 + "漢" * 100, "漢" * 100 + "a" * 400, "bc" * 300 + "漢" * 200 + "cab" * 90, "漢" * 400 + "bcbcbcbc"])
+def test_lattice_expects_words_of_uneven_cost(word):
+    inner = {"a": 1.0, "b": 2.0, "c": 1.5, "bc": 0.7, "bc" * 4: 0.1, **{f"<0x{b:02X}>": 1e-9 for b in range(256)}}
+    speller = lattice.speller({"": 0.1, "a": 2.0, "ab": 1.0}, inner, 3.0)
+    first, inner = {}, {}
+    speller.expect(word, first, inner)
+    assert np.isclose(sum(first.values()), 1.0)
+    assert np.isclose(sum(x for p, x in inner.items() if p.startswith("<0x")), 3 * word.count("漢"))
+    assert np.isclose(sum(len(p) * x for p, x in [*first.items(), *inner.items()] if not p.startswith("<0x")), len(word) - word.count("漢"))
+    plain, logs = ({}, {}), ({}, {})
+    speller.expect("abcbca" * 5, *plain)
+    speller._expect_in_logs("abcbca" * 5, *logs)
+    for x, y in zip(plain, logs, strict=True):
+        assert x.keys() == y.keys() and all(np.isclose(x[p], y[p]) for p in x)
+
+
 @pytest.mark.parametrize("frequent", [0, 20, 10_000])
 def test_lattice_scores(rows, prose, odd, empty, frequent):
     data = [*prose, *[(d + 500 if d is not None else None, t, x) for d, t, x in odd if len(t or "") < 10_000]]
