@@ -14,7 +14,9 @@ Shard file, all little-endian::
 
 Defined cases: a null or empty text has only the end id; a row with a null id is stored before
 the others of its shard and is not indexed; rows that share an id are stored one after the
-other and the index names the first; an empty table gives no shard. Other columns are ignored.
+other, by text, and the index names the first; an empty table gives no shard. Other columns are ignored.
+An id, or null, whose rows outgrow a shard is stored by a hash of the text and goes on over several
+shards, equal texts too; each indexes its own rows, and a lookup reads the first of them.
 A task that is run again writes a file of another name; the manifest names the valid ones.
 """
 
@@ -37,6 +39,7 @@ from lagwatch.session import scratch_path
 _FOOTER = struct.Struct("<8s10Q")
 _MAGIC = b"IDSHARD1"
 _MANIFEST = "shard int, path string, rows long, null_rows long, ids long, low long, high long"
+ROW_BYTES = 32  # what a task keeps of each row of a shard, besides its text
 _ROWS = "shard int, row long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -192,15 +195,24 @@ class TokenStore:
         """Encode whole texts and write them in ascending id order, ``shard_bytes`` of text a shard."""
         spark, docs = docs.sparkSession, id_and_text(docs)
         folder = folder or scratch_path(spark, "token-store")
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        dealt = docs.repartitionByRange(max(1, -(-size // shard_bytes)), F.col("doc_id").asc_nulls_first())
+        sizes = docs.groupBy("doc_id").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size"), F.count("*").alias("n"))
+        held = F.col("size") + F.col("n") * ROW_BYTES
+        total = sizes.agg(F.sum("size").alias("size"), F.max(held).alias("most"), F.sum(held).alias("held")).first()
+        size, order = total.size or 0, [F.col("doc_id").asc_nulls_first()]
+        if (total.most or 0) > shard_bytes:  # fewer ids than shards
+            size = total.held
+            wide = [r.doc_id for r in sizes.where(held > shard_bytes).select("doc_id").collect()]
+            is_wide = F.when(F.col("doc_id").isNull(), F.lit(None in wide)).otherwise(F.col("doc_id").isin([i for i in wide if i is not None]))
+            docs = docs.withColumns({"__hash": F.when(is_wide, F.xxhash64("text")), "__tie": F.when(is_wide, F.monotonically_increasing_id())})
+            order += ["__hash", "__tie"]
+        dealt = docs.repartitionByRange(max(1, -(-size // shard_bytes)), *order)
 
         def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = _write_shard(f"{folder}/shards", tokenizer, end_id, batches)
             if row:
                 yield _batch([row], _MANIFEST_ARROW)
 
-        (dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(shards, _MANIFEST)
+        (dealt.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(shards, _MANIFEST)
          .write.parquet(f"{folder}/manifest"))
         return cls(spark, folder)
 

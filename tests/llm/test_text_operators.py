@@ -185,6 +185,21 @@ def test_token_store_round_trip(rows, prose, odd):
     assert looked == {k: plain_ids(texts[k], 2) for k in (100, 131, 159, 8)}
 
 
+def test_token_store_deals_a_wide_id_over_shards(rows):
+    data = [(k, f"row {k}", None) for k in range(20)] + [(5, f"text {i} " * 40, None) for i in range(80)]
+    data += [(None, "the same text " * 25, None)] * 80 + [(None, None, None)] * 5
+    store = TokenStore.write(rows(data), BPE, end_id=2, shard_bytes=4000)
+    shards = store.manifest.collect()
+    assert max(r.rows for r in shards) < 40
+    assert sum(r.null_rows > 0 for r in shards) > 3 and sum(r.low is not None and r.low <= 5 <= r.high for r in shards) > 3
+    found = store.read(block=7).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted((d for d, _, _ in data), key=lambda d: (d is not None, d))
+    assert Counter((r.doc_id, r.ids_crc32) for r in found) == Counter((d, crc(plain_ids(t, 2))) for d, t, _ in data)
+    assert [r.start for r in found] == np.concatenate([[0], np.cumsum([r.n_tokens for r in found])[:-1]]).tolist()
+    looked = {r.key: crc(r.ids) for r in store.lookup(rows([(k, None, None) for k in (4, 5, 6, 99)])).collect()}
+    assert looked == {k: next(r.ids_crc32 for r in found if r.doc_id == k) for k in (4, 5, 6)}
+
+
 def test_token_store_empty(empty):
     assert TokenStore.write(empty, BPE, end_id=2).read().collect() == []
 
