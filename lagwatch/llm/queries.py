@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagwatch.llm import decontamination, jaccard, language, lattice, lines, packing, quality, repeats, toxicity
-from lagwatch.llm.common import documents
+from lagwatch.llm import (alignment, decontamination, infilling, jaccard, language, lattice, lines, packing, quality, repeats,
+                          secrets, toxicity)
+from lagwatch.llm.common import documents, staged
 from lagwatch.llm.token_store import TokenStore
 
 
@@ -81,6 +82,28 @@ def suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def token_alignment(spark: SparkSession, d: str) -> DataFrame:
+    groups = F.col("groups")
+    rows = alignment.align(documents(spark, d), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    rows = staged(rows.withColumn("groups_sha256", F.when(groups == "", "").otherwise(F.sha2(groups, 256))).drop("groups"), "aligned")
+    return alignment.count_links(rows).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    spans = F.col("spans")
+    counts = [F.size(secrets.of_kind(spans, k)).cast("long").alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    return secrets.scan(documents(spark, d)).select(
+        "doc_id", *counts, F.sha2(secrets.listed(secrets.of_kind(spans, *secrets.BASE_KINDS)), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"))
+
+
+def fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    output = F.col("output")
+    return infilling.fill_in_middle(documents(spark, d)).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(infilling.restored(output, F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": jaccard_join,
     "op2_quality_rules": quality_rules,
@@ -92,4 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": language_id,
     "op9_benchmark_leaks": benchmark_leaks,
     "op10_lattice_scores": lattice_scores,
+    "op11_token_alignment": token_alignment,
+    "op12_secret_scan": secret_scan,
+    "op13_fill_in_middle": fill_in_middle,
 }
