@@ -35,8 +35,8 @@ def typical_values(train: DataFrame, preparer: Preparer) -> dict[str, object]:
 def occlusion(prepared: DataFrame, score, key: str, names: Sequence[str], typical: Sequence[float]) -> DataFrame:
     """Long form ``key, feature, contribution``.
 
-    ``prepared`` rows carry the encoded ``features``, one entry per name, and ``score`` adds a
-    ``margin`` to such rows. A row is encoded once; each variant swaps one entry for its typical
+    For any scorer; a model of trees has a shorter way (``forest.with_contributions``). ``prepared``
+    rows carry the encoded ``features``, one entry per name, and ``score`` adds a ``margin`` to such rows. A row is encoded once; each variant swaps one entry for its typical
     value, in place, so there is neither a shuffle nor a lookup on the repeated rows.
     """
     scored = score(prepared.select(key, "features", vector_to_array("features").alias("_x"))).withColumnRenamed("margin", "_margin")
@@ -48,6 +48,12 @@ def occlusion(prepared: DataFrame, score, key: str, names: Sequence[str], typica
     return score(swapped).select(key, F.col("_s.feature").alias("feature"), (F.col("_margin") - F.col("margin")).alias("contribution"))
 
 
+def long_contributions(rows: DataFrame, key: str, names: Sequence[str], contributions: str = "contributions") -> DataFrame:
+    """An array of contributions per row in the long form ``key, feature, contribution``."""
+    entry = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("feature"), F.col(contributions).alias("contribution"))
+    return rows.select(key, F.explode(entry).alias("_e")).select(key, "_e.feature", "_e.contribution")
+
+
 def margin_of(raw_prediction: str = "rawPrediction") -> Column:
     return vector_to_array(F.col(raw_prediction))[1]
 
@@ -61,17 +67,26 @@ def top_importance(importance: DataFrame, k: int = 10) -> DataFrame:
     return importance.orderBy(F.desc("mean_abs"), "feature").limit(k)
 
 
-def top_factors(contributions: DataFrame, key: str, k: int = 3, most_specific: bool = False) -> DataFrame:
-    """The ``k`` strongest factors of each row, as an array of structs.
-
-    A row has one entry per feature of the fixed feature list, so its list is short.
-    """
-    entry = F.struct((-F.abs("contribution")).alias("order"), "feature", "contribution")
-    ordered = contributions.groupBy(key).agg(
-        F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("top"))
-    return ordered.select(key, F.transform("top", lambda e: F.struct(
+def _factors(entries: Column, k: int, most_specific: bool) -> Column:
+    """The first ``k`` of entries ``(order, feature, contribution)``, with direction and text."""
+    return F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(
         e["feature"].alias("feature"),
         F.round(e["contribution"], 4).alias("shap_value"),
         risk.direction(e["contribution"]).alias("direction"),
         risk.factor_text(e["feature"], e["contribution"], most_specific).alias("description"),
-    )).alias("contributing_factors"))
+    ))
+
+
+def row_factors(contributions: Column, names: Sequence[str], k: int = 3, most_specific: bool = False) -> Column:
+    """The ``k`` strongest factors of a row from its array of contributions, as an array of structs;
+    nothing is shuffled."""
+    known = F.array(*[F.lit(n) for n in names])
+    return _factors(F.transform(contributions, lambda c, i: F.struct(
+        (-F.abs(c)).alias("order"), F.get(known, i).alias("feature"), c.alias("contribution"))), k, most_specific)
+
+
+def top_factors(contributions: DataFrame, key: str, k: int = 3, most_specific: bool = False) -> DataFrame:
+    """The same from the long form. A row has one entry per feature of the fixed feature list, so
+    its list is short."""
+    entry = F.struct((-F.abs("contribution")).alias("order"), "feature", "contribution")
+    return contributions.groupBy(key).agg(_factors(F.collect_list(entry), k, most_specific).alias("contributing_factors"))

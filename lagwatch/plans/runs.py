@@ -11,31 +11,44 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators.classification import accepted
 from ..operators.contributions import global_importance, typical_values
-from ..session import written
+from ..operators.preparation import Preparer
+from ..session import concurrently, written
 from ..sources.stores import ModelRegistry, append_metrics, store_run, stored_metric
 from . import monitoring, scoring, training
 from .dataset import SplitData
 
 
+def run_sizes(data: SplitData, preparer: Preparer, params: dict | None = None) -> DataFrame:
+    """One row of what a training run states besides its metrics: rows of each split, class weight,
+    entries of the one-hot vector, parameters. No model is needed for it."""
+    late, split = F.col(C.TARGET), F.col("split")
+    n, positives = F.count(F.when(split == "train", late)), F.coalesce(F.sum(F.when(split == "train", late)), F.lit(0))
+    return data.rows.agg(
+        *[F.count_if(split == s).alias(f"{s}_rows") for s in ("train", "val", "test")],
+        ((n - positives) / F.greatest(positives, F.lit(1))).alias("class_weight"),
+    ).withColumns({"features": F.lit(preparer.width), **{f"param_{k}": F.lit(float(v)) for k, v in {**C.BOOSTER, **(params or {})}.items()}})
+
+
 def train_run(data: SplitData, features: Sequence[str], registry: ModelRegistry, metrics: str, reference: str, on: date,
               watched: Sequence[str], params: dict | None = None, folds: DataFrame | None = None) -> tuple[training.RiskModel, DataFrame]:
     """Folds, fit, validation and calibration; model and metrics are stored under the version, and
-    what later checks compare with, for the ``watched`` features, in the ``reference`` folder.
+    what later checks compare with, for the ``watched`` features, in the ``reference`` folder. The folds, the
+    model and the reference run side by side.
 
     Returns the model and its validation row. ``folds`` takes fold metrics made before.
     """
     train = data.part("train")
-    folds = written(training.cross_validate(train, features, params=params) if folds is None else folds, "folds")
-    model = training.train_model(data, features, params)
+    folds, model, known = concurrently(data.rows.sparkSession, [
+        lambda: written(training.cross_validate(train, features, params=params) if folds is None else folds, "folds"),
+        lambda: training.train_model(data, features, params),
+        lambda: monitoring.learn_reference(train, watched)])
     version = registry.save(model, on)
     model = registry.load(version)
-    sizes = data.rows.agg(*[F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in ("train", "val", "test")])
-    report = written(training.validation_report(model.predict(data.part("val"))).crossJoin(F.broadcast(sizes)).withColumns({
-        "class_weight": F.lit(float(training.class_weight(train))), "features": F.lit(model.preparer.width),
-        **{f"param_{k}": F.lit(float(v)) for k, v in {**C.BOOSTER, **(params or {})}.items()}}), "validation")
+    report = written(training.validation_report(model.predict(data.part("val"))).crossJoin(
+        F.broadcast(run_sizes(data, model.preparer, params))), "validation")
     append_metrics(report, metrics, version, "validation")
     append_metrics(training.cv_summary(folds), metrics, version, "folds")
-    monitoring.learn_reference(train, watched).save(reference)
+    known.save(reference)
     return model, report.withColumn("version", F.lit(version))
 
 

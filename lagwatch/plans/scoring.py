@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import risk
 from ..functions.dates import calendar, iso_timestamp
-from ..operators.contributions import top_factors
+from ..operators.contributions import row_factors
 from ..operators.rates import Rates, empty_to_null
 from ..schemas import FEATURE_TYPES, SCORING_QUERY, conform
-from ..session import written
 from .training import RiskModel
 
 PREDICTION = ["order_id", "risk_score", "predicted_outcome", "confidence", "disruption_type",
               "contributing_factors", "recommended_action", "timestamp", "model_version", "threshold_used"]
 
+#: What a prediction gets after the score: its factors, and what follows from them or from the batch.
+_ADDED = ("contributing_factors", "disruption_type", "timestamp", "model_version")
 _FACTORS = ("array<struct<feature:string,shap_value:double,direction:string,description:string>>")
 
 
@@ -55,20 +56,16 @@ def score_queries(queries: DataFrame, model: RiskModel, as_of: Column,
 
     Rows without an order id cannot be scored: they become ``error`` predictions and
     the rest of the batch goes on. With ``typical`` values each prediction carries its
-    three strongest factors; the rows are then encoded, numbered and stored first, so that
-    the two uses of a row meet under the same number.
+    three strongest factors, made in the same pass over the rows.
     """
     threshold = F.lit(C.ACTIVE_THRESHOLD) if threshold is None else threshold
     usable = F.col("order_id").isNotNull() & (F.col("order_id") != "")
     rows = query_features(queries.where(usable), model.rates)
-    prepared = model.preparer.transform(rows, salt_by="package_id").withColumn("_row", F.monotonically_increasing_id())
+    scored = model.score(model.preparer.transform(rows, salt_by="package_id"))
+    judged = judge(scored, threshold).select(*[c for c in PREDICTION if c not in _ADDED], "features")
     if typical:
-        prepared = written(prepared, "prepared")  # rows are numbered and encoded once, for both uses
-    judged = judge(model.score(prepared).drop("features"), threshold)
-    if typical:
-        factors = top_factors(model.contributions(prepared, "_row", typical), "_row")
-        judged = judged.alias("p").join(factors.alias("f"), F.col("p._row") == F.col("f._row"), "left") \
-            .select("p.*", F.coalesce("f.contributing_factors", F.array().cast(_FACTORS)).alias("contributing_factors"))
+        factors = row_factors(F.col("contributions"), model.preparer.raw_features)
+        judged = model.explained(judged, typical).withColumn("contributing_factors", factors)
     else:
         judged = judged.withColumn("contributing_factors", F.array().cast(_FACTORS))
     top = F.try_element_at("contributing_factors", F.lit(1))["feature"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property, partial, reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import vector_to_array
@@ -13,11 +14,12 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..operators.classification import (area_metrics, calibrate, fold_average, score_curve,
                                         targets_met, threshold_metrics)
-from ..operators.contributions import margin_of, occlusion
+from ..operators.contributions import long_contributions, margin_of
+from ..operators.forest import Forest, with_contributions
 from ..operators.preparation import Preparer, fit_preparer, load_preparer
 from ..operators.rates import Rates, load_rates
 from ..operators.temporal_split import assign_block, fold_cuts
-from ..session import scratch_path, written
+from ..session import concurrently, scratch_path, written
 from .dataset import SplitData
 
 METRICS = ["pr_auc", "roc_auc", "precision", "recall", "f1"]
@@ -26,8 +28,11 @@ METRICS = ["pr_auc", "roc_auc", "precision", "recall", "f1"]
 def class_weight(train: DataFrame) -> float:
     """Negatives per positive."""
     row = train.agg(F.count(C.TARGET).alias("n"), F.sum(C.TARGET).alias("late")).first()
-    late = row["late"] or 0
-    return (row["n"] - late) / max(late, 1)
+    return weight_of(row["n"], row["late"] or 0)
+
+
+def weight_of(rows: int, late: int) -> float:
+    return (rows - late) / max(late, 1)
 
 
 def booster(params: dict | None = None) -> GBTClassifier:
@@ -40,15 +45,20 @@ def booster(params: dict | None = None) -> GBTClassifier:
         featureSubsetStrategy=str(p["columns"]), seed=p["seed"])
 
 
+#: Bytes of prepared rows in a partition of the training set. A tree level is one short job, so
+#: small sets are read in few tasks.
+TRAIN_BYTES = 16 << 20
+
+
 def fit_booster(preparer: Preparer, train: DataFrame, params: dict | None = None) -> GBTClassificationModel:
     """Fit on prepared training rows, positives weighted by the class weight."""
-    weight = class_weight(train)
-    prepared = preparer.transform(train)
-    weighted = prepared.select(
-        "features", F.col(C.TARGET).cast("double").alias(C.TARGET),
-        F.when(F.col(C.TARGET) == 1, F.lit(float(weight))).otherwise(1.0).alias("weight"))
-    # every tree reads the rows again: they are prepared once
-    return booster(params).fit(written(weighted, "train"))
+    prepared = written(preparer.transform(train).select("features", F.col(C.TARGET).cast("double").alias(C.TARGET)), "train")
+    # every tree reads the rows again: they are prepared once, and counted for the weight and the partitions
+    rows = prepared.agg(F.count("*").alias("all"), F.count(C.TARGET).alias("n"), F.sum(C.TARGET).alias("late")).first()
+    weight = weight_of(rows["n"], int(rows["late"] or 0))
+    parts = 1 + rows["all"] * 8 * (len(preparer.raw_features) + 2) // TRAIN_BYTES
+    weighted = prepared.withColumn("weight", F.when(F.col(C.TARGET) == 1, F.lit(float(weight))).otherwise(1.0))
+    return booster(params).fit(weighted.coalesce(parts))
 
 
 def with_scores(model: GBTClassificationModel, prepared: DataFrame) -> DataFrame:
@@ -75,15 +85,30 @@ class RiskModel:
         """The same for rows that are prepared already; ``features`` stays."""
         return with_scores(self.booster, prepared)
 
-    def contributions(self, prepared: DataFrame, key: str, typical: dict[str, object]) -> DataFrame:
-        """Occlusion contributions of prepared rows, one per raw feature."""
-        spark, names = prepared.sparkSession, self.preparer.raw_features
-        # one row: the typical values, encoded like any other
+    @cached_property
+    def forest(self) -> Forest:
+        return Forest.of_model(self.preparer.levels.sparkSession, self.booster)
+
+    def encoded_typical(self, typical: dict[str, object]) -> list[float]:
+        """The typical values, encoded like any other row."""
+        names = self.preparer.raw_features
         types = {c: "double" for c in self.preparer.numeric} | {c: "string" for c in self.preparer.slots} | {c: "int" for c in self.preparer.boolean}
-        row = spark.createDataFrame([tuple(None if typical[n] is None else float(typical[n]) if types[n] == "double" else typical[n]
-                                           for n in names)], ", ".join(f"{n} {types[n]}" for n in names))
-        encoded = self.preparer.transform(row).first()["features"].toArray().tolist()
-        return occlusion(prepared, self.score, key, names, encoded)
+        row = self.preparer.levels.sparkSession.createDataFrame(
+            [tuple(None if typical[n] is None else float(typical[n]) if types[n] == "double" else typical[n] for n in names)],
+            ", ".join(f"{n} {types[n]}" for n in names))
+        return self.preparer.transform(row).first()["features"].toArray().tolist()
+
+    def explained(self, prepared: DataFrame, typical: dict[str, object]) -> DataFrame:
+        """Prepared rows with ``contributions``, an array with one entry per raw feature, in place of
+        ``features``. Rows stay where they are."""
+        kept = [c for c in prepared.columns if c not in ("features", "_x", "contributions")]
+        rows = prepared.select(*kept, vector_to_array("features").alias("_x"))
+        return with_contributions(rows, self.forest, self.encoded_typical(typical)).drop("_x")
+
+    def contributions(self, prepared: DataFrame, key: str, typical: dict[str, object]) -> DataFrame:
+        """Occlusion contributions of prepared rows, one row per raw feature."""
+        rows = self.explained(prepared.select(key, "features"), typical)
+        return long_contributions(rows, key, self.preparer.raw_features)
 
     def save(self, path: str) -> None:
         self.booster.write().save(f"{path}/booster")
@@ -132,15 +157,17 @@ def cross_validate(train: DataFrame, features: Sequence[str], ts: str = "fecha_c
     path = scratch_path(train.sparkSession, "blocks")
     assign_block(train, fold_cuts(train, ts, key), ts, key).write.partitionBy("block").parquet(path)
     blocks = train.sparkSession.read.parquet(path)
-    scored = None
-    for fold in range(C.CV_FOLDS):
+
+    def scored_fold(fold: int) -> DataFrame:
         past = blocks.where(F.col("block") < fold)
         prep = preparer or fit_preparer(past, features)
         model = fit_booster(prep, past, params)
         tested = with_scores(model, prep.transform(blocks.where(F.col("block") == fold)))
-        part = tested.select(F.lit(fold).alias("fold"), "risk_score", C.TARGET)
-        scored = part if scored is None else scored.unionByName(part)
-    scored = written(scored, "fold-scores")  # read by the curve and by the thresholds
+        return written(tested.select(F.lit(fold).alias("fold"), "risk_score", C.TARGET), "fold-scores")
+
+    # a fold is a chain of short jobs: the folds run side by side
+    parts = concurrently(train.sparkSession, [partial(scored_fold, fold) for fold in range(C.CV_FOLDS)])
+    scored = reduce(DataFrame.unionByName, parts)  # stored: read by the curve and by the thresholds
     areas = area_metrics(score_curve(scored, "risk_score", C.TARGET, ["fold"]), ["fold"])
     at = threshold_metrics(scored, "risk_score", C.TARGET, {"default": C.ACTIVE_THRESHOLD}, ["fold"])
     return areas.alias("a").join(at.alias("t"), F.col("a.fold") == F.col("t.fold")).select(

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -66,6 +69,30 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], object]]) -> list:
+    """Run chains of Spark jobs side by side, each in a scheduler pool of its own, and return what
+    they return, in order. When one fails, the jobs of the others are cancelled and its error is raised."""
+    tag, sc = f"concurrent-{uuid.uuid4().hex}", spark.sparkContext
+
+    def in_pool(number: int, task: Callable[[], object]) -> object:
+        sc.addJobTag(tag)
+        sc.setLocalProperty("spark.scheduler.pool", f"{tag}-{number}")
+        return task()
+
+    if not tasks:
+        return []
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(in_pool), k, task) for k, task in enumerate(tasks)]
+        done, _ = wait(started, return_when=FIRST_EXCEPTION)
+        error = next((f.exception() for f in done if f.exception()), None)
+        if error:
+            for future in started:
+                future.cancel()
+            sc.cancelJobsWithTag(tag)
+            raise error
+        return [future.result() for future in started]
+
+
 def _hadoop(spark: SparkSession, path: str):
     """The file system of a path and the path, as Spark itself reaches them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -53,6 +53,10 @@ def stored_metric(spark: SparkSession, path: str, part: str, metric: str) -> flo
         F.max_by("value", F.col("run").cast("string"))).first()[0]
 
 
+def version_name(number: int, on: date) -> str:
+    return f"v{number}_{on.isoformat()}"
+
+
 class ModelRegistry:
     """Models by version below one folder, with a table of what was saved."""
 
@@ -80,7 +84,7 @@ class ModelRegistry:
         number = (self.versions().agg(F.max("number")).first()[0] or 0) + 1
         while not claim(self.spark, f"{self.root}/claims/{number}"):  # two writers never share a number
             number += 1
-        version = version or f"v{number}_{on.isoformat()}"
+        version = version or version_name(number, on)
         model.save(f"{self.root}/{version}")
         row = (number, version, model.preparer.width, on)
         self.spark.createDataFrame([row], "number int, version string, features int, saved_on date") \

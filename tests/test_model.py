@@ -3,15 +3,18 @@
 from datetime import date
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lagwatch import constants as C
 from lagwatch.operators import contributions as con
+from lagwatch.operators import forest
 from lagwatch.operators import preparation as prep
 from lagwatch.operators.joins import duplicate_keys, join_itineraries, lookup
 from lagwatch.operators.rates import fit_rates
+from lagwatch.operators.temporal_split import assign_block, fold_cuts
 from lagwatch.plans import monitoring, scoring, training
-from lagwatch.session import scratch_path
+from lagwatch.session import concurrently, scratch_path
 from lagwatch.sources.stores import ModelRegistry
 from workload import queries as Q
 from workload import views as V
@@ -159,3 +162,48 @@ def test_occlusion_of_a_typical_row_is_zero(spark, model):
         k: F.lit(v).cast(data.rows.schema[k].dataType) for k, v in typical.items()})
     values = fitted.contributions(fitted.preparer.transform(row), "package_id", typical).collect()
     assert len(values) == len(typical) and all(abs(r["contribution"]) < 1e-9 for r in values)
+
+
+def test_tree_contributions_equal_scoring_every_variant(spark, model):
+    data, fitted, typical = model
+    prepared = fitted.preparer.transform(data.rows.limit(400)).select("package_id", "features")
+    whole = con.occlusion(prepared, fitted.score, "package_id", fitted.preparer.raw_features, fitted.encoded_typical(typical))
+    want = {(r["package_id"], r["feature"]): r["contribution"] for r in whole.collect()}
+    got = {(r["package_id"], r["feature"]): r["contribution"] for r in fitted.contributions(prepared, "package_id", typical).collect()}
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in want) < 1e-12
+    margins = forest.with_contributions(
+        fitted.score(prepared).select("package_id", "margin", vector_to_array("features").alias("_x")),
+        fitted.forest, fitted.encoded_typical(typical), margin="again").collect()
+    assert max(abs(r["margin"] - r["again"]) for r in margins) < 1e-12
+
+
+def test_factors_of_a_row_equal_those_of_the_long_form(spark, model):
+    data, fitted, typical = model
+    rows = fitted.explained(fitted.preparer.transform(data.rows.limit(200)).select("package_id", "features"), typical)
+    long = con.long_contributions(rows, "package_id", fitted.preparer.raw_features)
+    one = {r[0]: r[1] for r in rows.select("package_id", con.row_factors(F.col("contributions"), fitted.preparer.raw_features)).collect()}
+    assert one == {r[0]: r[1] for r in con.top_factors(long, "package_id").collect()}
+
+
+def test_small_trees_by_hand(spark):
+    trees = forest.Forest.of([[(0, 0, 1.0, 1, 2, 0.0), (1, -1, 0, 0, 0, 5.0), (2, 1, 2.0, 3, 4, 0.0), (3, 0, 3.0, 5, 6, 0.0),
+                               (4, -1, 0, 0, 0, 9.0), (5, -1, 0, 0, 0, 1.0), (6, -1, 0, 0, 0, 2.0)], [(0, -1, 0, 0, 0, 7.0)]], [2.0, 1.0])
+    rows = spark.createDataFrame([(1, [0.5, 9.0]), (2, [4.0, 0.0]), (3, [4.0, 9.0]), (4, None), (5, [float("nan"), 0.0]), (6, [2.0, 2.5])],
+                                 "id int, _x array<double>").repartition(2)
+    got = {r["id"]: (r["m"], r["contributions"]) for r in forest.with_contributions(rows, trees, [2.0, 2.5], margin="m").collect()}
+    assert got == {1: (17.0, [-8.0, 0.0]), 2: (11.0, [2.0, -14.0]), 3: (25.0, [0.0, 0.0]), 4: (None, None), 5: (11.0, [2.0, -14.0]), 6: (25.0, [0.0, 0.0])}
+    assert forest.with_contributions(rows.limit(0), trees, [2.0, 2.5]).collect() == []
+
+
+def test_jobs_side_by_side_keep_order_and_raise(spark):
+    assert concurrently(spark, [lambda k=k: spark.range(k).count() for k in (3, 1, 2)]) == [3, 1, 2]
+    assert concurrently(spark, []) == []
+    with pytest.raises(ZeroDivisionError):
+        concurrently(spark, [lambda: 1 // 0, lambda: spark.range(10).count()])
+
+
+def test_a_fold_learns_from_its_past_only(spark, model):
+    train = model[0].part("train")
+    found = {r["fold"]: r for r in training.cross_validate(train, model[1].preparer.raw_features, params={"trees": 2, "depth": 2}).collect()}
+    blocks = dict(assign_block(train, fold_cuts(train)).groupBy("block").count().collect())
+    assert {k: r["n"] for k, r in found.items()} == {k: n for k, n in blocks.items() if k >= 0}

@@ -171,10 +171,23 @@ RATES = """coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / null
   coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(fp / nullif(fp + tn, 0), 0) AS fa"""
 VIEWS["cm"] = f"SELECT *, {RATES} FROM ({confusion('ll', THREE)})"
 
-VIEWS["ct"] = """
+
+
+def stated_margin(a: str, b: str, c: str, d: str, e: str) -> str:
+    """The stated model: rates by carrier, region and pair, weekday and month, as deviations."""
+    return f"""(CASE WHEN {a} <= 0.0015::DOUBLE THEN CASE WHEN {d} <= -0.005::DOUBLE THEN -0.25::DOUBLE ELSE 0.125 END
+    WHEN {e} <= 0.0005::DOUBLE THEN 0.5 ELSE 0.0625 END
+  + CASE WHEN {b} <= -0.0005::DOUBLE THEN -0.25::DOUBLE WHEN {c} <= 0.0105::DOUBLE THEN 0.125 WHEN {b} <= 0.0035::DOUBLE THEN 0.375 ELSE 0.5 END
+  + CASE WHEN {d} <= 0.015::DOUBLE THEN -0.25::DOUBLE ELSE 0.5 END + 0.125)"""
+
+
+VIEWS["dv"] = """SELECT package_id, t_carrier - g_rate AS a, t_region - g_rate AS b, t_pair - g_rate AS c, (wd - 3) / 100.0::DOUBLE AS d,
+  (mm - 6) / 1000.0::DOUBLE AS e FROM fr"""
+_WITHOUT = [stated_margin(*["0.0::DOUBLE" if k == x else x for x in "abcde"]) for k in "abcde"]
+VIEWS["ct"] = f"""
 SELECT package_id, unnest(['tasa_fallo_carrier', 'tasa_fallo_region', 'tasa_fallo_carrier_region', 'dia_semana', 'mes']) AS feature,
-  unnest([t_carrier - g_rate, t_region - g_rate, t_pair - g_rate, (wd - 3) / 100.0::DOUBLE, (mm - 6) / 1000.0::DOUBLE]) AS c
-FROM fr WHERE split = 'test'"""
+  unnest([{", ".join(f"m - {w}" for w in _WITHOUT)}]) AS c
+FROM (SELECT *, {stated_margin(*"abcde")} AS m FROM dv)"""
 VIEWS["ctk"] = "SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY abs(c) DESC, feature) AS pos FROM ct"
 VIEWS["cats"] = "SELECT split, 'carrier' AS f, carrier AS v FROM sp UNION ALL SELECT split, 'region', region FROM sp UNION ALL SELECT split, 'comuna', comuna FROM sp"
 
@@ -555,6 +568,8 @@ GROUP BY 1""")
 sql("t3_riskiest", "SELECT package_id, risk_score, actual AS actual_outcome FROM pl ORDER BY risk_score DESC, package_id LIMIT 10")
 sql("t4_top_importance", f"SELECT feature, {r('avg(abs(c))')} AS mean_abs FROM ct GROUP BY 1 ORDER BY avg(abs(c)) DESC, feature LIMIT 10")
 sql("x3_global_importance", f"SELECT feature, {r('avg(abs(c))')} AS mean_abs FROM ct GROUP BY 1")
+sql("x5_tree_contributions", f"SELECT package_id, feature, {r('c')} AS contribution FROM ct")
+sql("x5_tree_margins", f"SELECT package_id, {r(stated_margin(*'abcde'))} AS margin FROM dv")
 sql("x4_factor_texts", f"""SELECT package_id, {big('pos - 1')} AS pos, feature, round(c, 4) + 0.0 AS shap_value,
   CASE WHEN c > 0 THEN 'incrementa_riesgo' ELSE 'reduce_riesgo' END AS direction, {_FIRST} || {_VERB} AS description
 FROM ctk WHERE pos <= 3""")

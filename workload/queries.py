@@ -15,6 +15,7 @@ from lagwatch.functions import numeric as num
 from lagwatch.operators import classification as cls
 from lagwatch.operators import contributions as con
 from lagwatch.operators import drift, event_log, frequency, histograms, joins, order_stats
+from lagwatch.operators.forest import Forest, with_contributions
 from lagwatch.operators import preparation as prep
 from lagwatch.operators import rates as rt
 from lagwatch.operators import temporal_split as ts
@@ -28,7 +29,7 @@ from lagwatch.sources import readers, stores
 from lagwatch.streaming import jobs
 
 from . import views as V
-from .stage import staged
+from .stage import staged, staged_before
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,19 +129,36 @@ def curve(s: SparkSession, d: str) -> DataFrame:
     return cls.score_curve(log_labelled(s, d), "risk_score", "actual_outcome")
 
 
-def contributions(s: SparkSession, d: str) -> DataFrame:
-    """A contribution table any engine can state: deviations of rates from the global
-    rate, and small calendar effects, for the test split."""
+#: A small boosted model that any engine can state: nodes (id, feature, threshold, left, right, value) by tree.
+STATED_FEATURES = [*C.RATE_FEATURES, "dia_semana", "mes"]
+STATED_TREES = [
+    [(0, 0, 0.0015, 1, 4, 0.0), (1, 3, -0.005, 2, 3, 0.0), (2, -1, 0, 0, 0, -0.25), (3, -1, 0, 0, 0, 0.125),
+     (4, 4, 0.0005, 5, 6, 0.0), (5, -1, 0, 0, 0, 0.5), (6, -1, 0, 0, 0, 0.0625)],
+    [(0, 1, -0.0005, 1, 2, 0.0), (1, -1, 0, 0, 0, -0.5), (2, 2, 0.0105, 3, 4, 0.0), (3, -1, 0, 0, 0, 0.25),
+     (4, 1, 0.0035, 5, 6, 0.0), (5, -1, 0, 0, 0, 0.75), (6, -1, 0, 0, 0, 1.0)],
+    [(0, 3, 0.015, 1, 2, 0.0), (1, -1, 0, 0, 0, -1.0), (2, -1, 0, 0, 0, 2.0)],
+    [(0, -1, 0, 0, 0, 0.125)],
+]
+STATED_WEIGHTS = [1.0, 0.5, 0.25, 1.0]
+
+
+def stated_contributions(s: SparkSession, d: str) -> DataFrame:
+    """Margins and contributions of the stated model for every row: deviations of the rates from the global
+    rate, and small calendar effects; the typical row has none."""
     data = split_data(s, d)
-    test = data.part("test")
     base = data.rates.global_rate or C.DEFAULT_GLOBAL_RATE
-    wide = test.select(
-        "package_id",
-        *[(F.col(c) - F.lit(base)).alias(c) for c in C.RATE_FEATURES],
-        ((F.col("dia_semana") - 3) / F.lit(100.0)).alias("dia_semana"),
-        ((F.col("mes") - 6) / F.lit(1000.0)).alias("mes"))
-    return order_stats.long_form(wide, [*C.RATE_FEATURES, "dia_semana", "mes"], ["package_id"],
-                                 value="contribution")
+    x = F.array(*[F.col(c) - F.lit(base) for c in C.RATE_FEATURES], (F.col("dia_semana") - 3) / F.lit(100.0), (F.col("mes") - 6) / F.lit(1000.0))
+    return with_contributions(data.rows.select("package_id", x.alias("_x")), Forest.of(STATED_TREES, STATED_WEIGHTS),
+                              [0.0] * len(STATED_FEATURES), margin="margin")
+
+
+def contributions(s: SparkSession, d: str) -> DataFrame:
+    return con.long_contributions(stated_contributions(s, d), "package_id", STATED_FEATURES)
+
+
+def stated_factors(s: SparkSession, d: str, k: int = 3) -> DataFrame:
+    return stated_contributions(s, d).select(
+        "package_id", con.row_factors(F.col("contributions"), STATED_FEATURES, k).alias("contributing_factors"))
 
 
 # --- sources and sinks -------------------------------------------------------------
@@ -324,7 +342,7 @@ def _(s, d):
 
 @query("p21_disruption_type")
 def _(s, d):
-    top = con.top_factors(contributions(s, d), "package_id", 1)
+    top = stated_factors(s, d, 1)
     first = F.col("contributing_factors")[0]["feature"]
     return top.select("package_id", risk.disruption_type(first).alias("disruption_type"))
 
@@ -706,7 +724,7 @@ def _(s, d):
 
 @query("w5_top_factors")
 def _(s, d):
-    top = con.top_factors(contributions(s, d), "package_id")
+    top = con.top_factors(contributions(s, d), "package_id")  # from the long form
     return top.select("package_id", F.posexplode("contributing_factors").alias("pos", "f")).select(
         "package_id", "pos", "f.feature")
 
@@ -887,14 +905,14 @@ def _(s, d):
     return model.predict(data.rows).select("package_id", "split", "risk_score")
 
 
-def folds(s: SparkSession, d: str) -> DataFrame:
-    """Fold metrics: five trained models, made once per session."""
-    return staged(s, d, "folds", lambda s, d: training.cross_validate(split_data(s, d).part("train"), PREPARED))
+def cross_validated(s: SparkSession, d: str) -> DataFrame:
+    return training.cross_validate(split_data(s, d).part("train"), PREPARED)
 
 
 @query("m8_cross_validation")
 def _(s, d):
-    return folds(s, d)
+    """Fold metrics: five trained models, made once per session."""
+    return staged(s, d, "folds", cross_validated)
 
 
 @query("m9_calibration")
@@ -1021,7 +1039,7 @@ def _(s, d):
 
 @query("x4_factor_texts")
 def _(s, d):
-    top = con.top_factors(contributions(s, d), "package_id")
+    top = stated_factors(s, d)
     return top.select("package_id", F.posexplode("contributing_factors").alias("pos", "f")).select(
         "package_id", "pos", "f.*")
 
@@ -1035,6 +1053,16 @@ def model_contributions(s: SparkSession, d: str) -> DataFrame:
     return staged(s, d, "contributions", build)
 
 
+@query("x5_tree_contributions")
+def _(s, d):
+    return contributions(s, d)
+
+
+@query("x5_tree_margins")
+def _(s, d):
+    return stated_contributions(s, d).select("package_id", "margin")
+
+
 @query("x5_occlusion")
 def _(s, d):
     return model_contributions(s, d)
@@ -1047,9 +1075,10 @@ def _(s, d):
 
 @query("x4_model_factors")
 def _(s, d):
-    top = con.top_factors(model_contributions(s, d), "package_id")
-    return top.select("package_id", F.posexplode("contributing_factors").alias("pos", "f")).select(
-        "package_id", "pos", "f.*")
+    data, model, typical = fitted(s, d)
+    rows = model.explained(model.preparer.transform(data.rows, salt_by="package_id").select("package_id", "features"), typical)
+    factors = con.row_factors(F.col("contributions"), model.preparer.raw_features)
+    return rows.select("package_id", F.posexplode(factors).alias("pos", "f")).select("package_id", "pos", "f.*")
 
 
 @query("t4_model_top_importance")
@@ -1080,7 +1109,7 @@ def trained_run(s: SparkSession, d: str) -> tuple[ds.SplitData, training.RiskMod
         registry = stores.ModelRegistry(s, scratch_path(s, "run-models"))
         reference = scratch_path(s, "reference")
         model, report = runs.train_run(data, PREPARED, registry, metrics, reference, date(2001, 8, 1), DRIFT_FEATURES,
-                                       folds=folds(s, d))
+                                       folds=staged(s, d, "folds", cross_validated) if staged_before(s, d, "folds") else None)
         _RUNS[key] = data, model, report, metrics, reference
     return _RUNS[key]
 
@@ -1094,9 +1123,10 @@ def _(s, d):
 
 @query("r1_run_sizes")
 def _(s, d):
-    """The deterministic part of it."""
-    _, _, report, _, _ = trained_run(s, d)
-    return report.select("version", "train_rows", "val_rows", "test_rows", "class_weight", "features",
+    """The deterministic part of it, for which no model is trained."""
+    data, fitted_ = preparation(s, d)
+    sizes = runs.run_sizes(data, fitted_).withColumn("version", F.lit(stores.version_name(1, date(2001, 8, 1))))
+    return sizes.select("version", "train_rows", "val_rows", "test_rows", "class_weight", "features",
                          *[f"param_{k}" for k in C.BOOSTER])
 
 

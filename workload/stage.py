@@ -21,3 +21,7 @@ def staged(spark: SparkSession, d: str, name: str,
         build(spark, d).write.parquet(path)
         _PATHS[key] = path
     return spark.read.parquet(_PATHS[key])
+
+
+def staged_before(spark: SparkSession, d: str, name: str) -> bool:
+    return (spark.sparkContext.applicationId, d, name) in _PATHS
