@@ -89,6 +89,32 @@ def event_gaps(events: DataFrame, silence_hours: float = 72.0) -> DataFrame:
         F.max("longest_gap_hours").alias("longest_gap_hours"), F.sum("out_of_order").alias("out_of_order"))
 
 
+def sessions(events: DataFrame, silence_hours: float = 72.0, stream: bool = False) -> DataFrame:
+    """Sessions per order: runs of events without a silence longer than the limit. Events may be in any
+    order; those without an order or a time belong to no session.
+
+    Events are first reduced to one row per order and hour (or less, for short limits), which Spark adds up before it
+    shuffles, so an order with very many events is no longer a large group. A ``stream`` carries a watermark
+    and is not reduced first: a session is given out once it can no longer grow.
+    """
+    at, known = F.col("event_timestamp"), F.col("order_id").isNotNull() & F.col("event_timestamp").isNotNull()
+    silence = F.make_interval(secs=F.lit(silence_hours * 3600))
+    if stream:
+        first, last, n = F.min("first"), F.max("last"), F.sum("n")
+        steps = events.where(known).select("order_id", at.alias("_at"), at.alias("first"), at.alias("last"), F.lit(1).alias("n"))
+        window = F.session_window("_at", silence)
+    else:
+        step = min(3600.0, silence_hours * 3600)
+        bucket = F.floor(F.unix_micros(at.cast("timestamp")) / F.lit(int(step * 1_000_000)))
+        steps = events.where(known).groupBy("order_id", bucket.alias("_step")).agg(
+            F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
+        first, last, n = F.min("first"), F.max("last"), F.sum("n")
+        length = (F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))) / F.lit(1e6)
+        window = F.session_window("first", F.make_interval(secs=F.lit(silence_hours * 3600) + length))
+    return steps.groupBy("order_id", window.alias("_w")).agg(
+        first.alias("session_start"), last.alias("session_end"), n.cast("bigint").alias("events")).drop("_w")
+
+
 def profile_by_type(events: DataFrame) -> DataFrame:
     return value_counts(events, ["event_type"])
 

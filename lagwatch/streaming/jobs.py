@@ -25,9 +25,9 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, kind: st
     return reader.format(kind).load(folder)
 
 
-def _started(stream: DataFrame, checkpoint: str, trigger: dict | None, write) -> StreamingQuery:
+def _started(stream: DataFrame, checkpoint: str, trigger: dict | None, write, mode: str = "append") -> StreamingQuery:
     """Start a stream of micro-batches; without a trigger the present input is used up."""
-    return (stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start())
 
 
