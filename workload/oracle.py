@@ -400,6 +400,12 @@ sql("a10_span_percentiles", f"""SELECT service_category, pr AS prob, {r('ps[i]')
 FROM (SELECT service_category, count(*) AS n, quantile_cont(total_span_hours, [0.25, 0.5, 0.75, 0.9]) AS ps FROM it0
   WHERE service_category IN ('MESON', 'REGULAR', 'DATE_RANGE') GROUP BY 1),
   (SELECT unnest([1, 2, 3, 4]) AS i, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE]) AS pr)""")
+sql("a10_sketched_percentiles", """SELECT region, prob, count(*) AS n, TRUE AS within
+FROM pl, (SELECT unnest([0.05::DOUBLE, 0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.95::DOUBLE]) AS prob) GROUP BY 1, 2""")
+sql("a24_sketched_distincts", """SELECT strftime(ts, '%Y-%m') AS month, count(DISTINCT package_id) AS package_id_exact,
+  count(DISTINCT carrier) AS carrier_exact, TRUE AS package_id_within, TRUE AS carrier_within FROM pl GROUP BY 1""")
+sql("e2_binned_areas", """SELECT year(ts) AS year, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, TRUE AS pr_auc_within, TRUE AS roc_auc_within
+FROM ll GROUP BY 1""")
 sql("a11_span_boxes", f"""SELECT service_category, {r('q1')} AS q1, {r('median')} AS median, {r('q3')} AS q3,
   {r('least(min(x) FILTER (x BETWEEN lo AND hi), q1)')} AS whisker_low,
   {r('greatest(max(x) FILTER (x BETWEEN lo AND hi), q3)')} AS whisker_high,
@@ -708,3 +714,14 @@ _UNKNOWN = """(SELECT f, v FROM (SELECT DISTINCT 'carrier' AS f, nullif(carrier,
   AND (f, v) NOT IN (SELECT f, v FROM cats WHERE split = 'train' AND v IS NOT NULL))"""
 sql("r3_monitoring_run", f"""SELECT (SELECT count(*) FROM sp) AS n_labelled, count(*) > 0 AS category_trigger, count(*) AS new_values FROM {_UNKNOWN}""")
 ORACLE["s6_lifecycle_files"] = ORACLE["s6_lifecycle_items"]
+sql("st1_live_orders", _PER_ORDER)
+VIEWS["ss"] = f"""SELECT order_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events FROM (
+  SELECT *, sum(CASE WHEN gap <= 8 THEN 0 ELSE 1 END) OVER (PARTITION BY order_id ORDER BY ts, event_id) AS run FROM (
+    SELECT *, {hours('lag(ts) OVER (PARTITION BY order_id ORDER BY ts, event_id)', 'ts')} AS gap FROM ev WHERE order_id IS NOT NULL AND ts IS NOT NULL))
+GROUP BY order_id, run"""
+sql("w7_event_sessions", f"SELECT order_id, {t('session_start')} AS session_start, {t('session_end')} AS session_end, events FROM ss")
+sql("st4_session_stream", f"""SELECT order_id, {t('session_start')} AS session_start, {t('session_end')} AS session_end, events FROM ss
+WHERE session_end + INTERVAL 8 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM ev)""")
+sql("st5_outcome_stream", f"""SELECT package_id, {t('fecha_creacion')} AS timestamp, CASE WHEN estado_entrega IS NOT NULL
+  AND eta_promised + to_days(dias_atraso) BETWEEN fecha_creacion AND fecha_creacion + INTERVAL 20 DAY
+  THEN CAST(estado_entrega = 'Entregada atrasada' AS BIGINT) END AS actual_outcome FROM pk""")

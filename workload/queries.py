@@ -18,6 +18,7 @@ from lagwatch.operators import drift, event_log, frequency, histograms, joins, o
 from lagwatch.operators.forest import Forest, with_contributions
 from lagwatch.operators import preparation as prep
 from lagwatch.operators import rates as rt
+from lagwatch.operators import sketches as sk
 from lagwatch.operators import temporal_split as ts
 from lagwatch.plans import dataset as ds
 from lagwatch.plans import exploration as ex
@@ -26,7 +27,7 @@ from lagwatch.plans import itinerary_report as rep
 from lagwatch.plans import monitoring, runs, scoring, training
 from lagwatch.session import scratch_path
 from lagwatch.sources import readers, stores
-from lagwatch.streaming import jobs
+from lagwatch.streaming import jobs, state
 
 from . import views as V
 from .stage import staged, staged_before
@@ -512,6 +513,33 @@ def _(s, d):
     return rep.span_percentiles(features(s, d))
 
 
+SKETCHED = [0.05, 0.25, 0.5, 0.75, 0.95]
+
+
+@query("a10_sketched_percentiles")
+def _(s, d):
+    """Percentiles per region from merged day sketches, held against the rows: within twice the stated rank error."""
+    log = V.prediction_log(s, d).withColumn("x", F.col("risk_score") + F.col("hora_creacion"))
+    stored = staged(s, d, "day_quantiles", lambda s, d: sk.day_quantiles(log, F.to_date("timestamp"), "x", ["region"]))
+    found = sk.merged_quantiles(stored, SKETCHED, ["region"])
+    return sk.rank_errors(found, log, "x", ["region"]).select(
+        "region", "prob", "n", (F.col("rank_error") <= 2 * sk.rank_error()).alias("within"))
+
+
+@query("a24_sketched_distincts")
+def _(s, d):
+    """Distinct packages and carriers per month from merged day sketches, held against the exact counts: within
+    four standard errors."""
+    log = V.prediction_log(s, d)
+    columns, month = ["package_id", "carrier"], F.date_format("day", "yyyy-MM")
+    stored = staged(s, d, "day_distincts", lambda s, d: sk.day_distincts(log, F.to_date("timestamp"), columns))
+    found = sk.merged_distincts(stored.withColumn("month", month), columns, ["month"])
+    exact = log.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(
+        *[F.count_distinct(c).alias(f"{c}_exact") for c in columns])
+    near = [(F.abs(F.col(c) - F.col(f"{c}_exact")) <= 4 * sk.distinct_error() * F.col(f"{c}_exact")).alias(f"{c}_within") for c in columns]
+    return found.join(exact, "month").select("month", *[f"{c}_exact" for c in columns], *near)
+
+
 @query("a11_span_boxes")
 def _(s, d):
     return histograms.box_stats(features(s, d), "service_category", "total_span_hours", C.BOX_CATEGORIES)
@@ -739,6 +767,11 @@ def _(s, d):
     return event_log.event_gaps(V.event_log(s, d), 8.0)
 
 
+@query("w7_event_sessions")
+def _(s, d):
+    return event_log.sessions(V.event_log(s, d), 8.0)
+
+
 @query("w8_reference_sample")
 def _(s, d):
     train = split_rows(s, d).where(F.col("split") == "train")
@@ -938,6 +971,17 @@ def _(s, d):
     return cls.area_metrics(curve(s, d)).select("pr_auc", "n", "positives")
 
 
+@query("e2_binned_areas")
+def _(s, d):
+    """Areas per year from stored day bins: the exact areas lie within the bounds."""
+    log, year = log_labelled(s, d), F.year("day").alias("year")
+    stored = staged(s, d, "day_bins", lambda s, d: sk.day_score_bins(log, F.to_date("timestamp"), "risk_score", "actual_outcome", 250))
+    found = sk.binned_areas(stored.withColumn("year", year), ["year"])
+    exact = cls.area_metrics(cls.score_curve(log.withColumn("year", F.year("timestamp")), "risk_score", "actual_outcome", ["year"]), ["year"])
+    return found.join(exact.drop("n", "positives"), "year").select("year", "n", "positives", *[
+        F.col(a).between(F.col(f"{a}_low") - 1e-9, F.col(f"{a}_high") + 1e-9).alias(f"{a}_within") for a in ("pr_auc", "roc_auc")])
+
+
 @query("e3_roc_auc")
 def _(s, d):
     return cls.area_metrics(curve(s, d)).select("roc_auc")
@@ -1172,3 +1216,39 @@ def _(s, d):
     table = scratch_path(s, "scored")
     jobs.run_scoring(s, folder, table, scratch_path(s, "chk"), model, LOG_AS_OF, typical).awaitTermination()
     return s.read.parquet(table).drop("batch").withColumn("contributing_factors", F.to_json("contributing_factors"))
+
+
+def landed_twice(s: SparkSession, d: str) -> DataFrame:
+    """A stream of event files, a fifth of the events once more in files of their own."""
+    events, folder = V.table(s, d, "events"), scratch_path(s, "landed")
+    events.write.parquet(folder)
+    events.where(F.col("event_id") % 5 == 0).write.mode("append").parquet(folder)
+    return V.map_events(jobs.file_stream(s, folder, events.schema))
+
+
+@query("st1_live_orders")
+def _(s, d):
+    """Orders kept as state in update mode, repeated events counted once."""
+    table = scratch_path(s, "live")
+    state.run_live_orders(landed_twice(s, d), table, scratch_path(s, "chk"), late_by="60 days", silent_days=90).awaitTermination()
+    return state.order_states(s, table)
+
+
+@query("st4_session_stream")
+def _(s, d):
+    """Sessions that have closed by the end of the stream."""
+    table = scratch_path(s, "sessions")
+    state.run_sessions(landed_twice(s, d), table, scratch_path(s, "chk"), 8.0, late_by="2 days").awaitTermination()
+    return s.read.parquet(table)
+
+
+@query("st5_outcome_stream")
+def _(s, d):
+    """Predictions completed by the outcomes that arrive within 20 days of them."""
+    made, known, table = (scratch_path(s, n) for n in ("made", "known", "completed"))
+    V.prediction_log(s, d).withColumn("actual_outcome", F.lit(None).cast("int")).write.parquet(made)
+    V.outcomes(s, d).write.parquet(known)
+    log, outcomes = s.read.parquet(made), s.read.parquet(known)
+    state.run_completions(jobs.file_stream(s, made, log.schema), jobs.file_stream(s, known, outcomes.schema), table,
+                          scratch_path(s, "chk"), within="20 days").awaitTermination()
+    return state.completed_log(log, s.read.parquet(table)).select("package_id", "timestamp", "actual_outcome")

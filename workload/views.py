@@ -197,6 +197,13 @@ def prediction_log(spark: SparkSession, d: str, lineitem: DataFrame | None = Non
         F.weekday(ts).alias("dia_semana"), F.hour(ts).alias("hora_creacion"), F.month(ts).alias("mes"))
 
 
+def outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes as the carrier reports them: when the package came, and whether that was late."""
+    came = F.col("eta_promised") + F.make_dt_interval(F.col("dias_atraso"))
+    return packages(spark, d).where(F.col("estado_entrega").isNotNull()).select(
+        "package_id", (F.col("estado_entrega") == "Entregada atrasada").cast("int").alias("outcome"), came.alias("outcome_at"))
+
+
 def scoring_queries(spark: SparkSession, d: str) -> DataFrame:
     """Packages as scoring queries: nested context, dates as text, some bad or missing."""
     from lagwatch.schemas import CONTEXT
