@@ -30,16 +30,18 @@ def run_sizes(data: SplitData, preparer: Preparer, params: dict | None = None) -
 
 
 def train_run(data: SplitData, features: Sequence[str], registry: ModelRegistry, metrics: str, reference: str, on: date,
-              watched: Sequence[str], params: dict | None = None, folds: DataFrame | None = None) -> tuple[training.RiskModel, DataFrame]:
+              watched: Sequence[str], params: dict | None = None, folds: DataFrame | None = None,
+              cross_validation: bool = True) -> tuple[training.RiskModel, DataFrame]:
     """Folds, fit, validation and calibration; model and metrics are stored under the version, and
     what later checks compare with, for the ``watched`` features, in the ``reference`` folder. The folds, the
     model and the reference run side by side.
 
-    Returns the model and its validation row. ``folds`` takes fold metrics made before.
+    Returns the model and its validation row. ``folds`` takes fold metrics made before; without
+    ``cross_validation`` and without those, none are made or stored.
     """
     train = data.part("train")
     folds, model, known = concurrently(data.rows.sparkSession, [
-        lambda: written(training.cross_validate(train, features, params=params) if folds is None else folds, "folds"),
+        lambda: written(training.cross_validate(train, features, params=params), "folds") if folds is None and cross_validation else folds,
         lambda: training.train_model(data, features, params),
         lambda: monitoring.learn_reference(train, watched)])
     version = registry.save(model, on)
@@ -47,7 +49,8 @@ def train_run(data: SplitData, features: Sequence[str], registry: ModelRegistry,
     report = written(training.validation_report(model.predict(data.part("val"))).crossJoin(
         F.broadcast(run_sizes(data, model.preparer, params))), "validation")
     append_metrics(report, metrics, version, "validation")
-    append_metrics(training.cv_summary(folds), metrics, version, "folds")
+    if folds is not None:
+        append_metrics(training.cv_summary(folds), metrics, version, "folds")
     known.save(reference)
     return model, report.withColumn("version", F.lit(version))
 

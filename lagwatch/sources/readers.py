@@ -24,6 +24,13 @@ def read_table(spark: SparkSession, path: str, kind: str = "parquet",
     return S.conform(frame, schema) if schema is not None else frame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files dealt over the cores. A file with one row group is read by one task, and
+    so is all that follows without a shuffle; a table of as many files as cores stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast the present columns to the schema, bad values to NULL, and add the rest."""
     kinds = {field.name: field.dataType for field in schema.fields}

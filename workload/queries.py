@@ -1145,15 +1145,18 @@ def _(s, d):
 _RUNS: dict[tuple, tuple] = {}
 
 
-def trained_run(s: SparkSession, d: str) -> tuple[ds.SplitData, training.RiskModel, DataFrame, str, str]:
-    """One training run per session: its model, validation row, metrics table and reference."""
-    key = (s.sparkContext.applicationId, d)
-    if key not in _RUNS:
+def trained_run(s: SparkSession, d: str, with_folds: bool = False) -> tuple[ds.SplitData, training.RiskModel, DataFrame, str, str]:
+    """One training run per session: its model, validation row, metrics table and reference. What
+    reads no fold metrics takes a run without them."""
+    key = next((k for k in _RUNS if k[:2] == (s.sparkContext.applicationId, d) and k[2] >= with_folds), None)
+    if key is None:
+        key = (s.sparkContext.applicationId, d, with_folds)
         data, metrics = split_data(s, d), scratch_path(s, "metrics")
         registry = stores.ModelRegistry(s, scratch_path(s, "run-models"))
         reference = scratch_path(s, "reference")
         model, report = runs.train_run(data, PREPARED, registry, metrics, reference, date(2001, 8, 1), DRIFT_FEATURES,
-                                       folds=staged(s, d, "folds", cross_validated) if staged_before(s, d, "folds") else None)
+                                       folds=staged(s, d, "folds", cross_validated) if staged_before(s, d, "folds") else None,
+                                       cross_validation=with_folds)
         _RUNS[key] = data, model, report, metrics, reference
     return _RUNS[key]
 
@@ -1161,7 +1164,7 @@ def trained_run(s: SparkSession, d: str) -> tuple[ds.SplitData, training.RiskMod
 @query("r1_training_run")
 def _(s, d):
     """What a training run stores: metrics, sizes and parameters by part."""
-    _, _, _, metrics, _ = trained_run(s, d)
+    _, _, _, metrics, _ = trained_run(s, d, with_folds=True)
     return s.read.parquet(metrics).where(F.col("part").isin("validation", "folds")).select("run", "part", "metric", "value")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagwatch.sources.readers import spread
+
 from .stage import staged
 
 EVENTS_AS_OF = "2024-03-01 00:00:00"
@@ -27,7 +29,7 @@ def _base(spark: SparkSession, d: str, lineitem: DataFrame | None = None) -> Dat
 
     No join is hinted: the optimizer broadcasts a side only below its size limit.
     """
-    lines = table(spark, d, "lineitem") if lineitem is None else lineitem
+    lines = spread(table(spark, d, "lineitem")) if lineitem is None else lineitem
     orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     supplier, part = table(spark, d, "supplier"), table(spark, d, "part")
