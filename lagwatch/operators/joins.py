@@ -65,9 +65,12 @@ def lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], size: int |
     for key in keys:
         missing = missing | F.col(key).isNull()
     spread = F.xxhash64(*([salt_by] if salt_by else facts.columns))
-    salted_facts = facts.where(~missing).withColumn("_salt", F.pmod(spread, F.lit(n)))
-    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
-    joined = salted_facts.alias("l").join(salted_table.alias("r"), on_keys([*keys, "_salt"]), "left").select(*wanted)
+    if n == 1:  # by the keys alone: tables stored in buckets by them are not moved
+        joined = facts.where(~missing).alias("l").join(table.alias("r"), on_keys(keys), "left").select(*wanted)
+    else:
+        salted_facts = facts.where(~missing).withColumn("_salt", F.pmod(spread, F.lit(n)))
+        salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+        joined = salted_facts.alias("l").join(salted_table.alias("r"), on_keys([*keys, "_salt"]), "left").select(*wanted)
     types = dict(table.dtypes)
     return joined.unionByName(facts.where(missing).select(
         *facts.columns, *[F.lit(None).cast(types[name]).alias(name) for name in extra]))

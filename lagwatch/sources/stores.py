@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,20 @@ def write_dataset(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.save(path)
 
 
+#: Bytes of rows in a bucket of a stored table.
+BUCKET_BYTES = 256 << 20
+
+
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], path: str, buckets: int) -> DataFrame:
+    """A catalog table whose rows are dealt into sorted buckets by ``keys`` once, when they are written. Tables
+    with the same keys, types and number of buckets are then joined and grouped by these keys without an
+    exchange. ``buckets`` by the size to come, some ``BUCKET_BYTES`` each."""
+    # every bucket is written by one task, else each task would write a file for each bucket
+    dealt = df.repartition(buckets, *keys)
+    (dealt.write.mode("errorifexists").option("path", path).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def store_run(df: DataFrame, path: str, run: str, part: str) -> None:
     """Add to a table of results (metrics, importance, reports, prediction log) under a run and a
     part; a run that is repeated replaces its own rows."""

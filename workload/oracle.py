@@ -725,3 +725,8 @@ WHERE session_end + INTERVAL 8 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM ev)
 sql("st5_outcome_stream", f"""SELECT package_id, {t('fecha_creacion')} AS timestamp, CASE WHEN estado_entrega IS NOT NULL
   AND eta_promised + to_days(dias_atraso) BETWEEN fecha_creacion AND fecha_creacion + INTERVAL 20 DAY
   THEN CAST(estado_entrega = 'Entregada atrasada' AS BIGINT) END AS actual_outcome FROM pk""")
+ORACLE["j1_bucketed_join"] = ORACLE["j1_event_join"]
+VIEWS["ql"] = """SELECT *, CASE WHEN event_id % 10 = 0 THEN 'unreadable' WHEN event_id % 11 = 0 THEN 'empty' WHEN event_id % 9 = 0 THEN 'unreadable'
+  WHEN event_id % 7 = 0 THEN 'missing: order_id' END AS reason FROM ev"""
+sql("s6_usable_lines", "SELECT event_id, order_id, kind AS event_type, length(kind) AS weight FROM ql WHERE reason IS NULL")
+sql("s6_quarantine", "SELECT reason, count(*) AS n FROM ql GROUP BY 1")

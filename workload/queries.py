@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lagwatch import constants as C
 from lagwatch import schemas as S
@@ -26,7 +28,7 @@ from lagwatch.plans import itineraries as it
 from lagwatch.plans import itinerary_report as rep
 from lagwatch.plans import monitoring, runs, scoring, training
 from lagwatch.session import scratch_path
-from lagwatch.sources import readers, stores
+from lagwatch.sources import quarantine, readers, stores
 from lagwatch.streaming import jobs, state
 
 from . import views as V
@@ -122,6 +124,21 @@ def ordered_events(s: SparkSession, d: str) -> DataFrame:
     return ds.with_events(V.order_headers(s, d), V.event_log(s, d), at(V.EVENTS_AS_OF))
 
 
+_BUCKETED: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def bucketed_orders(s: SparkSession, d: str, buckets: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Order headers and their events, stored in buckets by order, once per session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _BUCKETED:
+        names = tuple(f"{kind}_{uuid.uuid4().hex}" for kind in ("heads", "events"))
+        for name, rows in zip(names, (V.order_headers(s, d), V.event_log(s, d)), strict=True):
+            stores.write_bucketed(rows, name, ["order_id"], scratch_path(s, name), buckets)
+        _BUCKETED[key] = names
+    heads, events = _BUCKETED[key]
+    return s.table(heads), s.table(events)
+
+
 def log_labelled(s: SparkSession, d: str) -> DataFrame:
     return V.prediction_log(s, d).where(F.col("actual_outcome").isNotNull())
 
@@ -206,6 +223,27 @@ def _(s, d):
     return readers.lifecycle_items(readers.read_lifecycle(s, folder, multi_line=False))
 
 
+def quarantined(s: SparkSession, d: str) -> quarantine.Loaded:
+    """Event lines, some of them cut short, without an order or with words where a number belongs."""
+    i = F.col("event_id")
+    fields = ["event_id", F.when(i % 7 != 0, F.col("order_id")).alias("order_id"), "event_type"]
+    line = F.when(i % 9 == 0, F.to_json(F.struct(*fields, F.lit("late").alias("weight")))).otherwise(
+        F.to_json(F.struct(*fields, F.length("event_type").alias("weight"))))
+    lines = V.event_log(s, d).select(F.when(i % 10 == 0, F.substring(line, 1, 14)).when(i % 11 == 0, "  ").otherwise(line).alias("value"))
+    schema = T.StructType.fromDDL("event_id long, order_id string, event_type string, weight int")
+    return quarantine.load_lines(lines, schema, required=["event_id", "order_id"])
+
+
+@query("s6_usable_lines")
+def _(s, d):
+    return quarantined(s, d).rows
+
+
+@query("s6_quarantine")
+def _(s, d):
+    return quarantined(s, d).counts()
+
+
 @query("s7_dataset_write")
 def _(s, d):
     path = scratch_path(s, "dataset")
@@ -399,6 +437,14 @@ def _(s, d):
     return joined.select("order_id", "num_eventos", "primer_evento_ts", "ultimo_evento_ts", "ultimo_tipo")
 
 
+@query("j1_bucketed_join")
+def _(s, d):
+    """The same from two stored tables in buckets by order: neither side is moved."""
+    heads, events = bucketed_orders(s, d)
+    return joins.join_events(heads, event_log.events_per_order(events).hint("merge")).select(
+        "order_id", "num_eventos", "primer_evento_ts", "ultimo_evento_ts", "ultimo_tipo")
+
+
 @query("j2_itinerary_join")
 def _(s, d):
     joined = joins.join_itineraries(V.packages(s, d), features(s, d), V.order_mapping(s, d))
