@@ -14,7 +14,8 @@ nothing. At the default similarity of 0.8 two fingerprints differ in 10 of 64 bi
 a deviation of 3; the default radius of 20 leaves out fewer than one such pair in a thousand.
 
 Documents are read once, without a shuffle. The items are sent to the tasks in blocks of at most
-``block_words`` words; a larger benchmark takes several passes.
+``block_words`` words; a larger benchmark takes several passes. Weights are counted over all items first, and those of
+shingles that several items hold go with every block, so the blocks change no similarity.
 
 Defined cases: a null or empty text, or one without a word, matches nothing, as document or item;
 a document shorter than an item is one window; rows that share an id are searched each for itself;
@@ -104,19 +105,33 @@ class HammingIndex:
         return sorted(i for i in found if int(self.prints[i] ^ value).bit_count() <= self.radius)
 
 
+class Spread:
+    """Weights of shingles, by the number of items of the whole benchmark that hold them. One item
+    or none weighs the same, so only shingles of two items or more are listed."""
+
+    def __init__(self, items: int, repeated: np.ndarray, holders: np.ndarray) -> None:
+        order = np.argsort(repeated)
+        self.repeated = repeated[order]
+        self.other = 1 + np.log(max(items, 1))
+        self.weights = 1 + np.log(max(items, 1) / np.maximum(holders[order], 1))
+
+    def weight(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.repeated):
+            return np.full(len(shingles), self.other)
+        at = np.minimum(np.searchsorted(self.repeated, shingles), len(self.repeated) - 1)
+        return np.where(self.repeated[at] == shingles, self.weights[at], self.other)
+
+
 class Benchmark:
     """Items with weights, fingerprints by size, and their shingles in one sorted table."""
 
-    def __init__(self, items: list[tuple[int, str | None]], shingle: int, radius: int, threshold: float) -> None:
-        self.shingle, self.threshold = shingle, threshold
+    def __init__(self, items: list[tuple[int, str | None]], shingle: int, radius: int, threshold: float, spread: Spread) -> None:
+        self.shingle, self.threshold, self.spread = shingle, threshold, spread
         texts = [(key, word_hashes(text)) for key, text in items]
         texts = sorted(((k, w) for k, w in texts if len(w)), key=lambda x: (x[0] is None, x[0] or 0))
         self.keys = [k for k, _ in texts]
         runs = [shingle_hashes(w, min(shingle, len(w))) for _, w in texts]
-        self.table, holders = (np.unique(np.concatenate([np.unique(r) for r in runs]), return_counts=True)
-                               if runs else (np.empty(0, np.uint64), np.empty(0, np.int64)))
-        self.weights = 1 + np.log(max(len(runs), 1) / np.maximum(holders, 1))
-        self.other = 1 + np.log(max(len(runs), 1))
+        self.table = np.unique(np.concatenate(runs)) if runs else np.empty(0, np.uint64)
         self.counts = [Counter(r.tolist()) for r in runs]
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.table >> np.uint64(42)).astype(np.int64)] = True
@@ -129,17 +144,13 @@ class Benchmark:
         for i, n in enumerate(self.sizes):
             by_size[n].append(i)
         self.by_size = {n: (members, HammingIndex(np.array([
-            simhash(runs[i], self.weight(runs[i]), np.array([0]), len(runs[i]))[0] for i in members], np.uint64), radius))
+            simhash(runs[i], self.spread.weight(runs[i]), np.array([0]), len(runs[i]))[0] for i in members], np.uint64), radius))
             for n, members in by_size.items()}
         self.lengths = sorted({min(shingle, n) for n in self.sizes})
 
     def __getstate__(self) -> dict:
         return {k: dict(v) if isinstance(v, defaultdict) else v for k, v in self.__dict__.items()}
 
-    def weight(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.table, shingles), max(len(self.table) - 1, 0))
-        return np.where(self.table[at] == shingles, self.weights[at], self.other)
-
     def hits(self, shingles: np.ndarray) -> np.ndarray:
         """Places of shingles that an item holds."""
         maybe = np.flatnonzero(self.filter[(shingles >> np.uint64(42)).astype(np.int64)])
@@ -151,7 +162,7 @@ class Benchmark:
     def similarity(self, item: int, window: np.ndarray) -> float:
         mine, theirs = self.counts[item], Counter(window.tolist())
         names = np.array(sorted(mine.keys() | theirs.keys()), np.uint64)
-        weights = self.weight(names)
+        weights = self.spread.weight(names)
         a = np.array([mine[x] for x in names.tolist()])
         b = np.array([theirs[x] for x in names.tolist()])
         return float((weights * np.minimum(a, b)).sum() / (weights * np.maximum(a, b)).sum())
@@ -175,7 +186,7 @@ class Benchmark:
                 starts = np.unique(np.clip((places[:, None] - np.arange(count)).ravel(), 0, len(words) - size_here))
                 members, index = self.by_size[size]
                 if weights is None:
-                    weights = self.weight(shingles)
+                    weights = self.spread.weight(shingles)
                 # neighbouring starts are fingerprinted together, over the shingles they cover
                 for run in np.split(starts, np.flatnonzero(np.diff(starts) > count) + 1):
                     a, b = int(run[0]), int(run[-1]) + count
@@ -190,9 +201,30 @@ class Benchmark:
         return [(self.keys[i], *best[i]) for i in sorted(best)]
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+
+
+def shingle_spread(benchmark: DataFrame, shingle: int) -> Spread:
+    """Counted over all items, however many blocks they are sent in."""
+    def held_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [w for w in map(word_hashes, batch["text"].to_pylist()) if len(w)]
+            runs = [np.unique(shingle_hashes(w, min(shingle, len(w)))) for w in texts]
+            each, n = np.unique(np.concatenate(runs), return_counts=True) if runs else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[each.view(np.int64), 0]), pa.array(np.r_[n, len(texts)]),
+                                              pa.array(np.r_[np.zeros(len(each), bool), True])], names=["shingle", "n", "all"])
+
+    counts = (_items(benchmark).select("text").mapInArrow(held_by, "shingle long, n long, all boolean")
+              .groupBy("shingle", "all").agg(F.sum("n").alias("n")).where("all OR n > 1").toArrow())
+    whole = counts["all"].to_numpy()
+    n = counts["n"].to_numpy()
+    return Spread(int(n[whole].sum()), counts["shingle"].to_numpy()[~whole].astype(np.int64).view(np.uint64), n[~whole])
+
+
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str | None]]]:
     """The items in blocks of some ``block_words`` words, dealt by a hash."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    items = _items(benchmark)
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     n = -(-size // block_words)
     for k in range(n):
@@ -205,9 +237,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold:
     """(doc_id, item_id, similarity, first_word, n_words) of each item found in each document."""
     spark, schema = docs.sparkSession, "doc_id long, item_id long, similarity double, first_word long, n_words long"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
+    parts, spread = [], shingle_spread(benchmark, shingle)
     for items in _blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(Benchmark(items, shingle, radius, threshold))
+        sent = spark.sparkContext.broadcast(Benchmark(items, shingle, radius, threshold, spread))
 
         def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -229,8 +261,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 20,
                   block_words: int = 1_000_000) -> DataFrame:
     """``docs`` without those that hold an item; all columns pass through."""
+    spread = shingle_spread(benchmark, shingle)
     for items in _blocks(benchmark, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(Benchmark(items, shingle, radius, threshold))
+        sent = docs.sparkSession.sparkContext.broadcast(Benchmark(items, shingle, radius, threshold, spread))
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -6,12 +6,12 @@ n-gram vectors. The bundle of a language's labelled texts is its prototype; a do
 the language whose prototype its own vector is closest to by cosine.
 
 Training reads every labelled text: each task bundles its rows per language, and the numbers are
-summed per (language, dimension), so what reaches the driver is languages x dimensions, whatever
-the input. Prototypes are compared after their common mean is taken off, so that what all
+summed per (language, dimension) and stored. Up to ``BLOCK`` languages are sent to the tasks at once; a
+column with more values is compared in blocks of that many, one after the other, with the same result. Prototypes are compared after their common mean is taken off, so that what all
 languages share does not count; so is the document's vector by its share.
 
 Defined cases: a null text, or one without a letter, gets ``und`` and score 0; ties go to the
-language that sorts first; with no labelled text every document is ``und``; rows that share an
+language that sorts first, and so does a text whose vector vanishes, with score 0; with no labelled text every document is ``und``; rows that share an
 id are judged each for itself; an empty table gives no row. Other columns pass through.
 """
 
@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagwatch.llm.common import held
+from lagwatch.llm.common import held, staged
 
 UNDETERMINED = "und"
 GRAM = 3
 SYMBOL_BITS = 10
 PLAIN = 0x250  # letters below keep a symbol of their own, the others share the rest by remainder
-MAX_LANGUAGES = 2000
+#: Languages whose prototypes are sent at once (8 KB each), and blocks compared before the rows are stored.
+BLOCK, CHAIN = 2000, 8
 
 
 def symbol_table() -> np.ndarray:
@@ -110,35 +111,64 @@ def memory(dims: int, seed: int) -> GramMemory:
 
 
 @dataclass(frozen=True)
-class LanguageModel:
+class Prototypes:
+    """Languages in order, and their prototypes."""
+
     languages: list[str]
-    prototypes: np.ndarray  # unit rows, the mean taken off
-    mean: np.ndarray        # unit vector of what all languages share
+    vectors: np.ndarray  # unit rows, the mean taken off
+    mean: np.ndarray     # unit vector of what all languages share
     dims: int
     seed: int
 
-    def judge(self, text: str | None) -> tuple[str, float]:
-        """Language and score: the cosine, negative ones as 0."""
+    def closest(self, text: str | None) -> tuple[str, float] | None:
+        """The language closest by cosine, and the cosine; None without a letter or a language."""
         if not text or not self.languages:
-            return UNDETERMINED, 0.0
+            return None
         mem = memory(self.dims, self.seed)
         codes, counts = mem.grams(text)
         if not len(codes):
-            return UNDETERMINED, 0.0
+            return None
         vector = mem.bundle(codes, counts)
         vector -= (vector @ self.mean) * self.mean
         size = np.sqrt(vector @ vector)
-        if not size:
-            return UNDETERMINED, 0.0
-        cosines = self.prototypes @ vector / size
+        cosines = self.vectors @ vector / size if size else np.zeros(len(self.languages))
         best = int(cosines.argmax())
-        return self.languages[best], float(min(1.0, max(0.0, cosines[best])))
+        return self.languages[best], float(cosines[best])
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """The learnt sums of all languages as a stored table (lang, block, vector), the number of blocks they
+    are compared in, and what they share."""
+
+    table: DataFrame
+    blocks: int
+    mean: np.ndarray
+    dims: int
+    seed: int
+
+    def prototypes(self, block: int) -> Prototypes:
+        rows = sorted(self.table.where(F.col("block") == block).collect(), key=lambda r: r.lang)
+        vectors = _units(np.array([r.vector for r in rows]).reshape(-1, self.dims))
+        vectors = _units(vectors - (vectors @ self.mean)[:, None] * self.mean)
+        return Prototypes([r.lang for r in rows], vectors, self.mean, self.dims, self.seed)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
 
 
 def fit(labelled: DataFrame, dims: int = 1024, seed: int = 7) -> LanguageModel:
     """Prototypes of all rows of (text, lang) with a language and a letter."""
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mem, sums = memory(dims, seed), {}
+
+        def added() -> Iterator[pa.RecordBatch]:
+            for lang, vector in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vector.tolist()], pa.list_(pa.float64()))],
+                                                 names=["lang", "vector"])
+            sums.clear()
+
         for batch in batches:
             held: dict[str, list] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -149,48 +179,63 @@ def fit(labelled: DataFrame, dims: int = 1024, seed: int = 7) -> LanguageModel:
                 codes, back = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
                 counts = np.bincount(back, np.concatenate([n for _, n in parts]))
                 sums[lang] = sums.get(lang, 0) + mem.bundle(codes, counts)
-        for lang, vector in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([vector.tolist()], pa.list_(pa.float64()))],
-                                             names=["lang", "vector"])
+            if len(sums) > BLOCK:
+                yield from added()
+        yield from added()
 
     rows = (labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
             .where("text IS NOT NULL AND lang IS NOT NULL")
             .mapInArrow(bundles, "lang string, vector array<double>")
             .select("lang", F.posexplode("vector").alias("dim", "value"))
             .groupBy("lang", "dim").agg(F.sum("value").alias("value")))
-    # a table of languages x dimensions; more languages than that are no languages
-    sums = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("v")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sums) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sums.sort(key=lambda r: r.lang)
-    if not sums:
-        return LanguageModel([], np.empty((0, dims)), np.zeros(dims), dims, seed)
-    vectors = np.array([[x.value for x in r.v] for r in sums])
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    mean = vectors.mean(axis=0)
-    mean /= np.maximum(np.linalg.norm(mean), 1e-300)
-    if len(sums) == 1:
-        return LanguageModel([sums[0].lang], vectors, np.zeros(dims), dims, seed)
-    vectors -= (vectors @ mean)[:, None] * mean
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-    return LanguageModel([r.lang for r in sums], vectors, mean, dims, seed)
+    sums = rows.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("dim", "value")))["value"].alias("vector"))
+    table = staged(sums, "languages")
+    languages = table.count()
+    blocks = -(-languages // BLOCK) if languages <= BLOCK else 1 + languages * 5 // (4 * BLOCK)  # dealt by a hash, so with some room
+    table = table.withColumn("block", F.pmod(F.xxhash64("lang"), F.lit(max(blocks, 1))).cast("int"))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(dims)
+        for batch in batches:
+            total += _units(batch["vector"].flatten().to_numpy().reshape(-1, dims)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims, dtype=np.int32)), pa.array(total)], names=["dim", "value"])
+
+    mean = np.zeros(dims)
+    if languages > 1:  # one language shares nothing with others
+        for r in table.select("vector").mapInArrow(shared, "dim int, value double").groupBy("dim").agg(F.sum("value").alias("value")).collect():
+            mean[r.dim] = r.value
+        mean /= np.maximum(np.linalg.norm(mean), 1e-300)
+    return LanguageModel(table, blocks, mean, dims, seed)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x dimensions
+    """``docs`` with ``lang_pred`` and ``score``: the cosine, negative ones as 0."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = docs.select(*names, F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score"))
+    for block in range(model.blocks):
+        if block and block % CHAIN == 0:
+            out = staged(out, "languages-so-far")
+        out = _compared(out, names, model.prototypes(block))
+    return out.select(*names, F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"),
+                      F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0)))).alias("score"))
+
+
+def _compared(docs: DataFrame, names: list[str], prototypes: Prototypes) -> DataFrame:
+    """Documents with the better of what they have and what is closest among these prototypes."""
+    sent = docs.sparkSession.sparkContext.broadcast(prototypes)  # at most some BLOCK languages x dimensions
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sent.value.judge(text) for text in batch["text"].to_pylist()]
+            found = []
+            for text, lang, score in zip(batch["text"].to_pylist(), batch["lang_pred"].to_pylist(), batch["score"].to_pylist(), strict=True):
+                best = sent.value.closest(text)
+                before = (lang, score)
+                found.append(before if best is None else best if lang is None else min(before, best, key=lambda x: (-x[1], x[0])))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*[batch[c] for c in names], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(judged, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(judged, docs.schema)
 
 
 def held_out(doc_id, every: int, remainder: int):

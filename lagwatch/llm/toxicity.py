@@ -9,8 +9,8 @@ documents show beside an entry without being toxic). The weights found, alone an
 text, go through a logistic curve to a score.
 
 The fit reads about ``max_labelled`` labelled rows, picked by a hash of the id, and all of them
-when there are fewer: the lexicon, the exceptions and the curve come from these. ``lexicon_size``
-and ``exceptions_size`` bound what is sent to the tasks. Scoring covers every row in one pass
+when there are fewer: the lexicon, the exceptions and the curve come from these, every entry that ``min_docs`` of
+them support. So the sample bounds what is sent to the tasks. Scoring covers every row in one pass
 without a shuffle.
 
 Defined cases: a null or empty text has no match and gets the score of such texts; rows without a
@@ -72,6 +72,20 @@ def entries(word: str) -> Iterator[str]:
             yield f" {word[:n]}"
 
 
+def _word_before(text: str, start: int) -> str:
+    end = start - 1
+    while end > 0 and text[end - 1] == " ":
+        end -= 1
+    return text[text.rfind(" ", 0, end) + 1:end] if end > 0 else ""
+
+
+def _word_after(text: str, stop: int) -> str:
+    start = stop
+    while start < len(text) and text[start] == " ":
+        start += 1
+    return text[start:text.index(" ", start)] if start < len(text) else ""
+
+
 @dataclass
 class ToxicModel:
     weights: dict[str, float]
@@ -100,8 +114,7 @@ class ToxicModel:
         out = []
         for start, weight in best.items():
             stop = text.index(" ", start)
-            before, after = text[max(0, start - 64):start].split(), text[stop:stop + 64].split()
-            out.append((before[-1] if before else "", text[start:stop], after[0] if after else "", weight))
+            out.append((_word_before(text, start), text[start:stop], _word_after(text, stop), weight))
         return out
 
     def measures(self, text: str | None) -> tuple[float, ...]:
@@ -146,8 +159,7 @@ def _curve(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1.0) ->
     return tuple(w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_size: int = 20_000,
-        exceptions_size: int = 20_000, min_docs: int = 5, min_precision: float = 0.75) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, min_docs: int = 5, min_precision: float = 0.75) -> ToxicModel:
     """Learn from the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks with 0 or 1."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of several labels the toxic one
@@ -167,8 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
                .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
                .where((F.col("toxic") >= min_docs)
                       & (F.col("toxic") / n_toxic >= min_precision * (F.col("toxic") / n_toxic + F.col("other") / n_other)))
-               .withColumn("weight", odds).where("weight > 0")
-               .orderBy(F.desc(F.col("weight") * F.log1p("toxic")), "entry").limit(lexicon_size).collect())
+               .withColumn("weight", odds).where("weight > 0").collect())
     model = ToxicModel({r.entry: r.weight for r in lexicon}, frozenset())
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 40_000, lexicon_
     exceptions = (rows.mapInArrow(pairs, "pair string, toxic boolean, n long")
                   .groupBy("pair").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("toxic"),
                                        F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("n"))).alias("other"))
-                  .where(f"toxic = 0 AND other >= {min_docs}").orderBy(F.desc("other"), "pair").limit(exceptions_size).collect())
+                  .where(f"toxic = 0 AND other >= {min_docs}").collect())
     model = ToxicModel(model.weights, frozenset(r.pair for r in exceptions))
 
     columns = [f"m{k}" for k in range(MEASURES)]

@@ -288,10 +288,48 @@ def test_toxicity(spark, rows):
 
 def test_toxicity_folding():
     assert toxicity.fold("Sn4rf, SNARF! ѕnаrf").split() == ["snarf"] * 3
-    assert toxicity.fold("in 2019 a1b") == " in      aib ".replace("in      ", "in      ")
+    assert toxicity.fold("in 2019 a1b").split() == ["in", "aib"]
     assert toxicity.fold(None) == " "
 
 
+def plain_measures(model, text):
+    """Matches word by word, without the automaton."""
+    words = toxicity.fold(text).split()
+    found = []
+    for k, word in enumerate(words):
+        weights = [w for e, w in model.weights.items() if (e[1:-1] == word if e.endswith(" ") else word.startswith(e[1:]))]
+        around = {f"{words[k - 1] if k else ''} {word}", f"{word} {words[k + 1] if k + 1 < len(words) else ''}"}
+        if weights and not around & model.exceptions:
+            found.append((word, max(weights)))
+    if not found:
+        return (0.0,) * toxicity.MEASURES
+    distinct = sorted(dict(found).values(), reverse=True)
+    return (distinct[0], distinct[1] if len(distinct) > 1 else 0.0, np.log1p(sum(distinct)), np.log1p(len(distinct)),
+            np.sqrt(sum(w for _, w in found) / len(words)), np.sqrt(sum(distinct) / np.sqrt(len(words))))
+
+
+def test_toxicity_lexicon_and_scores_match_plain_counts(spark, rows):
+    data, labels = toxic_table()
+    model = toxicity.fit(rows(data), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    marked, texts = dict(labels), {d: t for d, t, _ in data}
+    toxic = [set(toxicity.fold(texts[d]).split()) for d in texts if marked.get(d) == 1]
+    other = [set(toxicity.fold(texts[d]).split()) for d in texts if marked.get(d) == 0]
+    count = [Counter(e for ws in part for e in {e for w in ws for e in toxicity.entries(w)}) for part in (toxic, other)]
+    wanted = {}
+    for e, n in count[0].items():
+        share, others = n / len(toxic), count[1][e] / len(other)
+        weight = np.log(((n + 0.5) / (len(toxic) + 1)) / ((count[1][e] + 0.5) / (len(other) + 1)))
+        if n >= 5 and share >= 0.75 * (share + others) and weight > 0:
+            wanted[e] = weight
+    assert model.weights.keys() == wanted.keys() and all(abs(model.weights[e] - w) < 1e-9 for e, w in wanted.items())
+    long_word = "x" * 100  # neighbours are whole words, however long
+    extra = [f"{long_word} {next(iter(wanted)).strip()} {long_word}", "", None]
+    for text in [*texts.values(), *extra]:
+        assert np.allclose(model.measures(text), plain_measures(model, text))
+    word = next(e for e in wanted if e.endswith(" ")).strip()
+    assert model.hits(toxicity.fold(f"{long_word} 7 {word} {long_word}"))[0][:3] == (long_word, word, long_word)
+
+
 def test_toxicity_without_labels_and_odd(spark, rows, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(rows(odd), none)
@@ -386,13 +424,65 @@ def test_lines(rows, prose, odd, empty, sent_keys):
 # 8 language
 
 
+def plain_languages(data, train, dims=1024, seed=7):
+    """Letter vectors bound, bundled and compared one n-gram at a time."""
+    signs = np.random.default_rng(seed).integers(0, 2, (1 << 10, dims), np.int8).astype(int) * 2 - 1
+
+    def symbol(c):
+        return 0 if not c.isalpha() else ord(c) + 1 if ord(c) < 0x250 else 0x251 + ord(c) % (1024 - 0x251)
+
+    def vector(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        total = np.zeros(dims)
+        symbols = [0, *[s for w in words for s in (*map(symbol, w), 0)]]
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            total += np.roll(signs[a], 2) * np.roll(signs[b], 1) * signs[c]
+        return total if words else None
+    sums = {}
+    for _, text, lang in train:
+        v = vector(text)
+        if lang is not None and v is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    names = sorted(sums)
+    protos = np.array([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    mean = protos.mean(axis=0)
+    mean /= np.linalg.norm(mean)
+    protos = np.array([(p - (p @ mean) * mean) for p in protos])
+    protos /= np.linalg.norm(protos, axis=1, keepdims=True)
+    out = []
+    for doc, text, _ in data:
+        v = vector(text)
+        if v is None:
+            out.append((doc, "und", 0.0))
+            continue
+        v = v - (v @ mean) * mean
+        cos = protos @ v / np.linalg.norm(v)
+        out.append((doc, names[int(cos.argmax())], max(0.0, float(cos.max()))))
+    return out
+
+
+@pytest.mark.parametrize("block, chain", [(2000, 8), (2, 8), (1, 2)])
+def test_language_matches_plain_vectors(rows, prose, monkeypatch, block, chain):
+    monkeypatch.setattr(language, "BLOCK", block)
+    monkeypatch.setattr(language, "CHAIN", chain)
+    swap = str.maketrans("aeioukl", "ouaeilk")
+    data = [(d, t.translate(swap) if d % 5 == 1 else t[::-1] if d % 5 == 2 else t.replace("a", "日") if d % 5 == 3 else t, f"l{d % 5}") for d, t, _ in prose]
+    data += [(1000, "123 ?!", None), (1001, None, "l1"), (1002, "É", None)]
+    model = language.fit(rows(data))
+    assert (model.blocks == 1) == (block == 2000)
+    found = sorted((r.doc_id, r.lang_pred, r.score) for r in language.identify(rows(data, extra=True), model).collect())
+    wanted = sorted(plain_languages(data, data))
+    assert [x[:2] for x in found] == [x[:2] for x in wanted]
+    assert np.allclose([x[2] for x in found], [x[2] for x in wanted], atol=1e-5)
+
+
 def test_language(rows, odd, empty):
     rng = np.random.default_rng(9)
     syllables = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["strö", "chä", "ung", "sch"], "cc": ["eau", "ois", "tré", "ç"]}
     data = [(i, " ".join("".join(rng.choice(syllables[x], 3)) for _ in range(rng.integers(3, 50))), x)
             for i in range(150) for x in [sorted(syllables)[i % 3]]]
     model = language.fit(rows([r for r in data if r[0] % 4]))
-    assert model.languages == ["aa", "bb", "cc"]
+    assert model.prototypes(0).languages == ["aa", "bb", "cc"]
     found = {r.doc_id: r for r in language.identify(rows(data, extra=True), model).collect()}
     assert all(found[d].lang_pred == x for d, _, x in data if d % 4 == 0)
     strange = language.identify(rows(odd), model).collect()
