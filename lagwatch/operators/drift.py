@@ -148,14 +148,15 @@ def exact_ks_p_value(distance: float, n: int, m: int) -> float:
     return float(min(1.0, max(0.0, 1.0 - inside[n])))
 
 
-def with_p_values(ks: DataFrame) -> DataFrame:
-    """Add ``p_value`` to the few rows of distances, one per feature: exact up to a sample size,
-    asymptotic beyond it, as the test the thresholds were set for."""
+def with_p_values(ks: DataFrame, exact_upto: int = C.EXACT_KS_VALUES) -> DataFrame:
+    """Add ``p_value`` to the few rows of distances, one per feature: exact where neither sample has more
+    than ``exact_upto`` values, asymptotic beyond it, as the test the thresholds were set for. The exact one
+    takes n * (n + m) steps."""
     asymptotic = ks.withColumn("p_value", ks_p_value(F.col("ks_stat"), F.col("n_recent"), F.col("n_reference")))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            small = part[["n_recent", "n_reference"]].max(axis=1) <= C.EXACT_KS_VALUES
+            small = part[["n_recent", "n_reference"]].max(axis=1) <= exact_upto
             part.loc[small, "p_value"] = [exact_ks_p_value(d, int(n), int(m)) for d, n, m in
                                           zip(part.ks_stat[small], part.n_recent[small], part.n_reference[small], strict=True)]
             yield part
@@ -163,9 +164,9 @@ def with_p_values(ks: DataFrame) -> DataFrame:
     return asymptotic.mapInPandas(exact, asymptotic.schema)
 
 
-def feature_drift(recent: DataFrame, stats: DataFrame, features: Sequence[str]) -> DataFrame:
+def feature_drift(recent: DataFrame, stats: DataFrame, features: Sequence[str], exact_upto: int = C.EXACT_KS_VALUES) -> DataFrame:
     """Distance, p-value and drift flag per feature."""
-    ks = with_p_values(ks_statistics(recent, reference_sample(stats), features))
+    ks = with_p_values(ks_statistics(recent, reference_sample(stats), features), exact_upto)
     return ks.withColumns({
         "drift": F.col("p_value") < C.KS_P_VALUE,
         "critical": F.col("feature").isin(C.CRITICAL_DRIFT_FEATURES)})

@@ -192,3 +192,14 @@ def test_events_without_an_order_belong_to_none(spark):
     assert [r["order_id"] for r in event_log.events_per_order(events).collect()] == ["7"]
     assert [r["order_id"] for r in event_log.event_gaps(events).collect()] == ["7"]
     assert frequency.packages_per_order(events.select("order_id")).first()["orders"] == 1
+
+
+def test_both_sides_of_the_exact_p_value(spark):
+    rows = [(0.3, 40, 60), (0.3, 41, 60), (0.3, 40, 61)]
+    ks = spark.createDataFrame(rows, "ks_stat double, n_recent long, n_reference long")
+    formula = [r.p for r in ks.select(drift.ks_p_value(F.col("ks_stat"), F.col("n_recent"), F.col("n_reference")).alias("p")).collect()]
+    exact = [drift.exact_ks_p_value(*r) for r in rows]
+    for upto, wanted in ((61, exact), (60, [exact[0], exact[1], formula[2]]), (59, formula)):
+        assert [r.p_value for r in drift.with_p_values(ks, upto).collect()] == pytest.approx(wanted)
+    assert all(abs(a - b) < 0.02 for a, b in zip(exact, formula, strict=True))
+

@@ -730,3 +730,6 @@ VIEWS["ql"] = """SELECT *, CASE WHEN event_id % 10 = 0 THEN 'unreadable' WHEN ev
   WHEN event_id % 7 = 0 THEN 'missing: order_id' END AS reason FROM ev"""
 sql("s6_usable_lines", "SELECT event_id, order_id, kind AS event_type, length(kind) AS weight FROM ql WHERE reason IS NULL")
 sql("s6_quarantine", "SELECT reason, count(*) AS n FROM ql GROUP BY 1")
+sql("s12_model_registry", f"""SELECT k AS number, 'v' || k || '_2001-08-0' || k AS version,
+  {big(f"(SELECT {len(_NUM) + 1} + sum(width) FROM (SELECT DISTINCT f, width FROM slots))")} AS features, '2001-08-0' || k AS saved_on,
+  (SELECT count(*) FROM sp) AS scored FROM range(1, 3) AS g(k)""")
