@@ -733,3 +733,22 @@ sql("s6_quarantine", "SELECT reason, count(*) AS n FROM ql GROUP BY 1")
 sql("s12_model_registry", f"""SELECT k AS number, 'v' || k || '_2001-08-0' || k AS version,
   {big(f"(SELECT {len(_NUM) + 1} + sum(width) FROM (SELECT DISTINCT f, width FROM slots))")} AS features, '2001-08-0' || k AS saved_on,
   (SELECT count(*) FROM sp) AS scored FROM range(1, 3) AS g(k)""")
+VIEWS["sd"] = """SELECT *, t_carrier - g_rate AS a, t_region - g_rate AS b, t_pair - g_rate AS c,
+  CASE WHEN l_linenumber <> 7 THEN (isodow(fecha_creacion) - 1 - 3) / 100.0::DOUBLE END AS d,
+  CASE WHEN l_linenumber <> 7 THEN (month(fecha_creacion) - 6) / 1000.0::DOUBLE END AS e FROM sqr"""
+VIEWS["sm"] = f"""SELECT *, 1 / (1 + exp(-2 * m)) AS s, list_transform(list_reverse_sort([
+    {", ".join(f"struct_pack(o := abs(m - {w}), n := -{k}, f := '{f}')" for k, (f, w) in enumerate(sorted(
+        zip(["tasa_fallo_carrier", "tasa_fallo_region", "tasa_fallo_carrier_region", "dia_semana", "mes"], _WITHOUT, strict=True))))}]), lambda x: x.f)[1:3] AS fs
+FROM (SELECT *, {stated_margin(*"abcde")} AS m FROM sd)"""
+sql("x2_stated_scoring", """SELECT CASE WHEN ok THEN order_id END AS order_id, CASE WHEN ok THEN round(s, 4) + 0.0 ELSE 0.0::DOUBLE END AS risk_score,
+  CASE WHEN NOT ok THEN 'error' WHEN s >= 0.5 THEN 'fail' ELSE 'success' END AS predicted_outcome,
+  CASE WHEN NOT ok THEN 'low' WHEN abs(s - 0.5) >= 0.3 THEN 'high' WHEN abs(s - 0.5) >= 0.15 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN NOT ok THEN 'processing_error' WHEN fs[1] LIKE '%carrier%' THEN 'carrier_risk' WHEN fs[1] LIKE '%region%' THEN 'zone_risk'
+    ELSE 'general_risk' END AS disruption_type,
+  CASE WHEN ok THEN array_to_string(fs, ',') ELSE '' END AS contributing_factors,
+  CASE WHEN NOT ok THEN 'ERROR: order_id missing' WHEN s >= 0.7 THEN 'ACCIÓN_INMEDIATA: Contactar transportista y notificar cliente'
+    WHEN s >= 0.5 THEN 'MONITOREO_ACTIVO: Revisar en próximo ciclo y preparar contingencia'
+    WHEN s >= 0.3 THEN 'ALERTA_PREVENTIVA: Marcar para seguimiento manual' ELSE 'SIN_ACCIÓN: Orden dentro de parámetros normales' END AS recommended_action,
+  '2001-08-01 00:00:00' AS timestamp, 'stated' AS model_version, 0.5::DOUBLE AS threshold_used
+FROM (SELECT *, package_id NOT LIKE '%7' AS ok FROM sm)""")
+

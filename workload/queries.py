@@ -160,14 +160,40 @@ STATED_TREES = [
 STATED_WEIGHTS = [1.0, 0.5, 0.25, 1.0]
 
 
+class StatedPreparer:
+    """Deviations of the rates and small calendar effects as the features of the stated model."""
+
+    raw_features = STATED_FEATURES
+
+    def __init__(self, base: float) -> None:
+        self.base = base
+
+    def transform(self, df: DataFrame, salt_by: str | None = None) -> DataFrame:
+        return df.withColumn("features", F.array(
+            *[F.col(c) - F.lit(self.base) for c in C.RATE_FEATURES], (F.col("dia_semana") - 3) / F.lit(100.0), (F.col("mes") - 6) / F.lit(1000.0)))
+
+
+class StatedModel:
+    """The stated trees in the place of a trained model: scoring goes the same way, and SQL can follow it."""
+
+    version, forest = "stated", Forest.of(STATED_TREES, STATED_WEIGHTS)
+
+    def __init__(self, rates: rt.Rates) -> None:
+        self.rates, self.preparer = rates, StatedPreparer(rates.global_rate or C.DEFAULT_GLOBAL_RATE)
+
+    def score(self, prepared: DataFrame) -> DataFrame:
+        rows = with_contributions(prepared, self.forest, [0.0] * len(STATED_FEATURES), x="features", output="_c", margin="margin").drop("_c")
+        return rows.withColumn("risk_score", 1 / (1 + F.exp(-2 * F.col("margin"))))
+
+    def explained(self, prepared: DataFrame, typical: dict[str, object]) -> DataFrame:
+        return with_contributions(prepared, self.forest, [float(typical[c]) for c in STATED_FEATURES], x="features").drop("features")
+
+
 def stated_contributions(s: SparkSession, d: str) -> DataFrame:
-    """Margins and contributions of the stated model for every row: deviations of the rates from the global
-    rate, and small calendar effects; the typical row has none."""
+    """Margins and contributions of the stated model for every row; the typical row has none."""
     data = split_data(s, d)
-    base = data.rates.global_rate or C.DEFAULT_GLOBAL_RATE
-    x = F.array(*[F.col(c) - F.lit(base) for c in C.RATE_FEATURES], (F.col("dia_semana") - 3) / F.lit(100.0), (F.col("mes") - 6) / F.lit(1000.0))
-    return with_contributions(data.rows.select("package_id", x.alias("_x")), Forest.of(STATED_TREES, STATED_WEIGHTS),
-                              [0.0] * len(STATED_FEATURES), margin="margin")
+    rows = StatedModel(data.rates).preparer.transform(data.rows).select("package_id", "features")
+    return with_contributions(rows, StatedModel.forest, [0.0] * len(STATED_FEATURES), x="features", margin="margin")
 
 
 def contributions(s: SparkSession, d: str) -> DataFrame:
@@ -1122,6 +1148,15 @@ def _(s, d):
         "contributing_factors", F.to_json("contributing_factors"))
 
 
+@query("x2_stated_scoring")
+def _(s, d):
+    """Batch scoring with the stated model: scores, outcomes, factors, and rows that cannot be scored."""
+    broken = F.col("package_id").endswith("7")
+    queries = V.scoring_queries(s, d).withColumn("order_id", F.when(~broken, F.col("order_id")))
+    made = scoring.score_queries(queries, StatedModel(split_data(s, d).rates), at(LOG_AS_OF), typical=dict.fromkeys(STATED_FEATURES, 0.0))
+    return made.withColumn("contributing_factors", F.array_join(F.transform("contributing_factors", lambda f: f["feature"]), ","))
+
+
 @query("x3_global_importance")
 def _(s, d):
     return con.global_importance(contributions(s, d))
