@@ -1,14 +1,19 @@
 """Log probability of texts by a subword lattice.
 
-The pieces come from an existing subword vocabulary. A word is spelled by a first piece and
+The pieces and their scores come from an existing vocabulary. A word is spelled by a first piece and
 inner pieces up to a stop, in every segmentation the vocabulary allows; the forward recursion, in
-log space, sums over all of them. The vocabulary's own scores order its pieces and give the first
-weights; expectation steps over all distinct training words then set them (a byte-fallback piece
-stands for each byte of a character without a piece, so every text has a probability).
-
-Over the lattice lie the training words themselves as single arcs: a word seen c times has
-(c - d) / N, with the discount d taken from the numbers of words seen once and twice, and what the
-discounts free goes to the spelled words. An end token closes each text.
+log space, sums over all of them. Scores that are whole numbers are merge ranks, and rank r weighs
+(r + RANK_OFFSET) ** -a; other scores are log probabilities s, and weigh exp(a s). So the scores alone
+say how pieces compare. The corpus sets what the file does not hold, by an expectation step over
+all training words, each as often as it occurs: the exponent a of first and of inner pieces, and how
+often a word begins without a first piece, ends, or takes bytes. A byte-fallback piece
+stands for each byte of a character without a piece, so every text has a probability.
+
+``score`` is the marginal log10 probability of the text: a word has (1 - e) times the sum over its
+segmentations, the end token e, the share of ends among the training tokens with one of each kind
+added. ``word_score`` is a second column, in which training words also are single arcs: a word seen c
+times has (c - d) / N, with the discount d taken from the numbers of words seen once and twice, and
+what the discounts free goes to the spelled words.
 
 Counts cover all training texts. Only the words above a count that at most ``frequent_words``
 words reach are sent to the tasks; each other occurrence is a row (word, document) that is joined
@@ -16,7 +21,7 @@ with the counts by a shuffle and spelled once per word there.
 
 Defined cases: a null or empty text has only the end token; rows that share an id and text get
 the same result; a null id is not held out; without training texts every word is spelled with the
-first weights; an empty table gives no row. Other columns are ignored.
+weights before the step; an empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ END = b""  # no word is empty, so the end token has this key
 START = "▁"
 _FLUSH = 1_000_000
 _LN10 = math.log(10)
+RANK_OFFSET = 100.0
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -87,20 +93,20 @@ class Speller:
                 alpha[i + 1] = x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
         return alpha[n] + self.stop
 
-    def expect(self, word: str, firsts: dict[str, float], inners: dict[str, float]) -> None:
-        """Add the expected uses of each piece in one occurrence of the word, by the forward and the
+    def expect(self, word: str, firsts: dict[str, float], inners: dict[str, float], times: int = 1) -> None:
+        """Add the expected uses of each piece in so many occurrences of the word, by the forward and the
         backward recursion. Weights are lifted per letter, so that plain numbers reach; where they
         do not, for long words, by the word's own probability; and where that does not reach at every
         letter, for words with stretches of different cost, the recursions go in log space."""
         try:
-            done = (self._expect(word, firsts, inners, 1.7)
-                    or self._expect(word, firsts, inners, -self.log_probability(word) / (len(word) + 1)))
+            done = (self._expect(word, firsts, inners, 1.7, times)
+                    or self._expect(word, firsts, inners, -self.log_probability(word) / (len(word) + 1), times))
         except OverflowError:  # before anything was added
             done = False
         if not done:
-            self._expect_in_logs(word, firsts, inners)
+            self._expect_in_logs(word, firsts, inners, times)
 
-    def _expect(self, word: str, firsts: dict[str, float], inners: dict[str, float], lift: float) -> bool:
+    def _expect(self, word: str, firsts: dict[str, float], inners: dict[str, float], lift: float, times: int) -> bool:
         """Whether plain numbers reached; if not, nothing is added."""
         n, exp = len(word), math.exp
         alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
@@ -139,7 +145,7 @@ class Speller:
         whole = alpha[n]
         if not 1e-200 < whole < 1e200:
             return False
-        beta[n] = 1.0 / whole
+        beta[n] = times / whole
         for i, j, piece, x in reversed(arcs):
             y = x * beta[j]
             if y:
@@ -157,7 +163,7 @@ class Speller:
                 firsts[piece] = firsts.get(piece, 0.0) + y
         return True
 
-    def _expect_in_logs(self, word: str, firsts: dict[str, float], inners: dict[str, float]) -> None:
+    def _expect_in_logs(self, word: str, firsts: dict[str, float], inners: dict[str, float], times: int = 1) -> None:
         n, none, exp, inner = len(word), -math.inf, math.exp, self.inner
         alpha, beta = [none] * (n + 1), [none] * (n + 1)
         starts, arcs = [], []
@@ -186,7 +192,7 @@ class Speller:
                 w = self._bytes(word[i])
                 alpha[i + 1] = _log_sum(alpha[i + 1], a + w)
                 arcs.append((i, i + 1, None, w))
-        beta[n] = -alpha[n]
+        beta[n] = math.log(times) - alpha[n]
         for i, j, piece, w in reversed(arcs):
             y = w + beta[j]
             if y == none:
@@ -224,27 +230,70 @@ def speller(first: dict[str, float], inner: dict[str, float], stops: float) -> S
                    {p: math.log(c / total_inner) for p, c in inner.items()}, math.log(stops / total_inner))
 
 
-def first_weights(model_file: str) -> tuple[dict[str, float], dict[str, float]]:
-    """First and inner pieces of a vocabulary file, with weights that fall with the order its
-    scores give. Pieces that hold a capital, a control or a second start mark spell no word."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """First and inner pieces of a vocabulary file with the number their weight is a power of."""
+
+    first: dict[str, float]
+    inner: dict[str, float]
+
+
+def vocabulary(model_file: str) -> Vocabulary:
+    """Pieces that hold a capital, a control or a second start mark spell no word. The bare start
+    mark and the bytes are no pieces here: how often they are used is the corpus's to say."""
     import sentencepiece
     m = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    usable = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i))]
-    first, inner = {"": 0.01}, {}
-    for rank, i in enumerate(sorted(usable, key=lambda i: -m.get_score(i))):
-        piece = m.id_to_piece(i)
-        weight = 1.0 / (rank + 100)
-        if m.is_byte(i):
-            inner[piece] = weight
-        elif piece.startswith(START):
-            rest = piece[1:]
-            if START not in rest and rest == rest.lower():
-                first[rest] = weight
-        elif START not in piece and piece == piece.lower():
-            inner[piece] = weight
-    for b in range(256):
-        inner.setdefault(f"<0x{b:02X}>", 1e-6)
-    return first, inner
+    usable = {m.id_to_piece(i): m.get_score(i) for i in range(m.get_piece_size())
+              if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    merges = all(x == int(x) for x in usable.values())
+    first, inner = {}, {}
+    for piece, x in usable.items():
+        if START in piece[1:] or piece == START or piece != piece.lower():
+            continue
+        into, rest = (first, piece[1:]) if piece.startswith(START) else (inner, piece)
+        into[rest] = -math.log(RANK_OFFSET - x) if merges else x
+    return Vocabulary(first, inner)
+
+
+@dataclass(frozen=True)
+class Law:
+    """What the corpus sets: exponents, and the shares of words that begin without a first piece, and of
+    inner steps that are a stop or a byte."""
+
+    first: float = 1.0
+    inner: float = 1.0
+    bare: float = 0.1
+    stop: float = 0.3
+    byte: float = 0.01
+
+    def speller(self, pieces: Vocabulary) -> Speller:
+        first = {p: x + math.log(1 - self.bare) for p, x in _powers(pieces.first, self.first).items()}
+        inner = {p: x + math.log(1 - self.stop - self.byte) for p, x in _powers(pieces.inner, self.inner).items()}
+        return Speller(first | {"": math.log(self.bare)},
+                       inner | {f"<0x{b:02X}>": math.log(self.byte / 256) for b in range(256)}, math.log(self.stop))
+
+
+def _powers(scores: dict[str, float], exponent: float) -> dict[str, float]:
+    """Log weights, normalised."""
+    if not scores:
+        return {}
+    top = max(scores.values())
+    whole = exponent * top + math.log(sum(math.exp(exponent * (x - top)) for x in scores.values()))
+    return {p: exponent * x - whole for p, x in scores.items()}
+
+
+def exponent_of(scores: dict[str, float], uses: dict[str, float]) -> float:
+    """The likeliest exponent: the one at which the mean score is that of the uses. 1 without uses."""
+    n = sum(uses.values())
+    if not n or not scores:
+        return 1.0
+    x, k = np.array(list(scores.values())), np.array([uses.get(p, 0.0) for p in scores])
+    wanted, low, high = float((x * k).sum() / n), 0.0, 16.0
+    for _ in range(60):
+        a = (low + high) / 2
+        weights = np.exp(a * (x - x.max()))
+        low, high = (a, high) if (x * weights).sum() / weights.sum() < wanted else (low, a)
+    return (low + high) / 2
 
 
 def _decode(word: bytes) -> str:
@@ -275,40 +324,33 @@ def count_words(docs: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def train_speller(words: DataFrame, model_file: str, rounds: int = 2) -> Speller:
-    """Expectation steps over all distinct words, each weighing one; sums come back per piece."""
-    base_first, base_inner = first_weights(model_file)
-    current = speller(base_first, base_inner, sum(base_inner.values()) / 3)
-    sc = words.sparkSession.sparkContext
-    for _ in range(rounds):
-        sent = sc.broadcast(current)
-
-        def expected(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            use, firsts, inners, stops = sent.value, {}, {}, 0.0
-            for batch in batches:
-                for word in batch["word"].to_pylist():
-                    if word != END:
-                        use.expect(_decode(word), firsts, inners)
-                        stops += 1
-            rows = [(True, p, x) for p, x in firsts.items()] + [(False, p, x) for p, x in inners.items()] + [(None, "", stops)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string()),
-                                              pa.array([r[2] for r in rows], pa.float64())], names=["first", "piece", "x"])
-
-        # one row per piece of the vocabulary
-        sums = words.select("word").mapInArrow(expected, "first boolean, piece string, x double").groupBy("first", "piece").agg(F.sum("x").alias("x")).collect()
-        stops = sum(r.x for r in sums if r["first"] is None)
-        if not stops:
-            return current
-        # a little of the first weights stays, so that no piece is lost
-        scale_first, scale_inner = 0.001 * stops / sum(base_first.values()), 0.001 * stops / sum(base_inner.values())
-        first = {p: w * scale_first for p, w in base_first.items()}
-        inner = {p: w * scale_inner for p, w in base_inner.items()}
-        for r in sums:
-            if r["first"] is not None:
-                into = first if r["first"] else inner
-                into[r.piece] = into.get(r.piece, 0.0) + r.x
-        current = speller(first, inner, stops)
-    return current
+def train_law(words: DataFrame, pieces: Vocabulary) -> Law:
+    """One expectation step over all training words; sums come back per piece of the vocabulary."""
+    sent = words.sparkSession.sparkContext.broadcast(Law().speller(pieces))
+
+    def expected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, firsts, inners, stops = sent.value, {}, {}, 0.0
+        for batch in batches:
+            for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                if word != END:
+                    use.expect(_decode(word), firsts, inners, n)
+                    stops += n
+        rows = [(True, p, x) for p, x in firsts.items()] + [(False, p, x) for p, x in inners.items()] + [(None, "", stops)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string()),
+                                          pa.array([r[2] for r in rows], pa.float64())], names=["first", "piece", "x"])
+
+    sums = words.mapInArrow(expected, "first boolean, piece string, x double").groupBy("first", "piece").agg(F.sum("x").alias("x")).collect()
+    stops = sum(r.x for r in sums if r["first"] is None)
+    if not stops:
+        return Law()
+    first = {r.piece: r.x for r in sums if r["first"]}
+    inner = {r.piece: r.x for r in sums if r["first"] is False}
+    taken = sum(x for p, x in inner.items() if p.startswith("<0x"))
+    steps = sum(inner.values()) + stops
+    bare = first.pop("", 0.0)
+    # one use more of each kind, so that none is impossible
+    return Law(exponent_of(pieces.first, first), exponent_of(pieces.inner, {p: x for p, x in inner.items() if not p.startswith("<0x")}),
+               (bare + 1) / (stops + 2), (stops + 1) / (steps + 3), (taken + 1) / (steps + 3))
 
 
 @dataclass
@@ -320,28 +362,38 @@ class TextModel:
     ends: int
     discount: float
     spell: Speller
-    frequent: dict[bytes, tuple[float, float]]  # base and own log10 probability
+    frequent: dict[bytes, tuple[float, float, float]]  # log10 probability: base, spelled, with arcs
 
     def base(self, count: int) -> float:
         return math.log10((count + 1) / (self.total + self.distinct + 1))
 
     def end(self) -> float:
+        return math.log10((self.ends + 1) / (self.total + 2))
+
+    def spelled(self, word: bytes) -> float:
+        """log10 probability of one word over all its segmentations, after the choice of no end."""
+        return self.spell.log_probability(_decode(word)) / _LN10 + math.log10((self.total - self.ends + 1) / (self.total + 2))
+
+    def arc_end(self) -> float:
         return math.log10(self.ends / self.total) if self.ends else 0.0
 
-    def word(self, word: bytes, count: int) -> float:
-        """log10 probability of one word, the end token aside."""
-        spelled = self.spell.log_probability(_decode(word)) / _LN10
+    def with_arc(self, spelled: float, count: int) -> float:
+        """The same with the word itself as an arc, if it was seen."""
         if not self.total:
             return spelled
-        spelled += math.log10(self.discount * max(self.distinct - 1, 1) / self.total)
+        spelled += math.log10(self.discount * max(self.distinct - 1, 1) / self.total) - math.log10((self.total - self.ends + 1) / (self.total + 2))
         if count <= self.discount:
             return spelled
         arc = math.log10((count - self.discount) / self.total)
         low, high = sorted((arc, spelled))
         return high + math.log10(1 + 10 ** (low - high))
 
+    def word(self, word: bytes, count: int) -> tuple[float, float, float]:
+        spelled = self.spelled(word)
+        return self.base(count), spelled, self.with_arc(spelled, count)
+
 
-def fit(train: DataFrame, model_file: str, frequent_words: int = 300_000, rounds: int = 2) -> tuple[TextModel, DataFrame]:
+def fit(train: DataFrame, model_file: str, frequent_words: int = 300_000) -> tuple[TextModel, DataFrame]:
     """The model, and the table of all counts."""
     words = staged(count_words(id_and_text(train)), "word-counts")
     is_word = F.col("word") != F.lit(END)
@@ -356,24 +408,26 @@ def fit(train: DataFrame, model_file: str, frequent_words: int = 300_000, rounds
             break
         least = r.step
     discount = total.once / (total.once + 2 * total.twice) if total.once else 0.5
+    pieces = vocabulary(model_file)
     model = TextModel(total.total or 0, total.distinct, total.ends or 0, min(0.95, max(0.05, discount)),
-                      train_speller(words, model_file, rounds), {})
+                      train_law(words, pieces).speller(pieces), {})
     if least is None:
         return model, words
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [(w, n) for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["word"], pa.array([model.base(n) for _, n in pairs], pa.float64()),
-                                              pa.array([model.word(w, n) for w, n in pairs], pa.float64())], names=["word", "base", "own"])
+            found = [model.word(w, n) for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True)]
+            columns = zip(*found, strict=True) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays([batch["word"], *(pa.array(c, pa.float64()) for c in columns)], names=["word", *_SCORES])
 
-    found = words.where(is_word & (step >= least)).select("word", "n").mapInArrow(scored, "word binary, base double, own double").toArrow()
-    pairs = zip(found["base"].to_pylist(), found["own"].to_pylist(), strict=True)
-    return replace(model, frequent=dict(zip(found["word"].to_pylist(), pairs, strict=True))), words
+    found = (words.where(is_word & (step >= least)).select("word", "n")
+             .mapInArrow(scored, "word binary, base_score double, score double, word_score double").toArrow())
+    scores = zip(*(found[c].to_pylist() for c in _SCORES), strict=True)
+    return replace(model, frequent=dict(zip(found["word"].to_pylist(), scores, strict=True))), words
 
 
 def score(docs: DataFrame, model: TextModel, words: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of each row."""
+    """doc_id, n_tokens, n_known, base_score, score and word_score of each row."""
     keyed = id_and_text(docs).withColumn("__row", F.monotonically_increasing_id())
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -381,7 +435,7 @@ def score(docs: DataFrame, model: TextModel, words: DataFrame) -> DataFrame:
         """For each text a row with the sums over its frequent words (word null), and a row for
         each other word."""
         m = sent.value
-        known, base_end, own_end = m.frequent, m.base(m.ends), m.end()
+        known, ends = m.frequent, (m.base(m.ends), m.end(), m.arc_end())
         for batch in batches:
             texts: list[tuple] = []
             rows: list[int] = []
@@ -389,17 +443,18 @@ def score(docs: DataFrame, model: TextModel, words: DataFrame) -> DataFrame:
             others: list[bytes] = []
             times: list[int] = []
             for row, key, text in zip(batch["__row"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                n, base, own, before = 0, base_end, own_end, len(others)
+                n, (base, own, arcs), before = 0, ends, len(others)
                 for word, k in Counter(tokens(text)).items():
-                    pair = known.get(word)
-                    if pair is None:
+                    each = known.get(word)
+                    if each is None:
                         others.append(word)
                         times.append(k)
                         continue
                     n += k
-                    base += k * pair[0]
-                    own += k * pair[1]
-                texts.append((row, key, n + 1, n + (m.ends > 0), base, own))
+                    base += k * each[0]
+                    own += k * each[1]
+                    arcs += k * each[2]
+                texts.append((row, key, n + 1, n + (m.ends > 0), base, own, arcs))
                 rows.extend([row] * (len(others) - before))
                 keys.extend([key] * (len(others) - before))
                 if len(others) > 50_000:
@@ -409,46 +464,47 @@ def score(docs: DataFrame, model: TextModel, words: DataFrame) -> DataFrame:
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with a word, sorted by it, as sums like the others; a word is spelled once."""
-        m, last, pair = sent.value, None, (0.0, 0.0)
+        m, last, found = sent.value, None, (0.0, 0.0, 0.0)
         for batch in batches:
             words_ = batch["word"].to_pylist()
             if not words_:
                 continue
             new = [i for i in range(len(words_)) if i == 0 or words_[i] != words_[i - 1]]
             counts = batch["n"].fill_null(0).to_numpy(zero_copy_only=False)
-            pairs = []
+            scores = []
             for i in new:
                 if words_[i] != last:
-                    last, count = words_[i], int(counts[i])
-                    pair = m.base(count), m.word(last, count)
-                pairs.append(pair)
-            each = np.repeat(np.array(pairs), np.diff([*new, len(words_)]), axis=0)
+                    last = words_[i]
+                    found = m.word(last, int(counts[i]))
+                scores.append(found)
+            each = np.repeat(np.array(scores), np.diff([*new, len(words_)]), axis=0)
             k = batch["k"].to_numpy().astype(np.int64)
             zeros = pa.nulls(len(k), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch["__row"], batch["doc_id"], zeros, batch["k"], pa.array(k), pa.array(np.where(counts > 0, k, 0)),
-                 pa.array(k * each[:, 0]), pa.array(k * each[:, 1])], names=_PART_NAMES)
+                 *(pa.array(k * each[:, c]) for c in range(3))], names=_PART_NAMES)
 
     split = staged(keyed.select("__row", "doc_id", "text").mapInArrow(parts, _PARTS), "word-parts")
     rare = (split.where("word IS NOT NULL").select("__row", "doc_id", "word", "k").join(words, "word", "left")
             .select("__row", "doc_id", "word", "k", "n").sortWithinPartitions("word").mapInArrow(spelled, _PARTS))
     return (split.where("word IS NULL").unionByName(rare).groupBy("__row")
             .agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-                 F.sum("base_score").alias("base_score"), F.sum("score").alias("score")).drop("__row"))
+                 *(F.sum(c).alias(c) for c in _SCORES)).drop("__row"))
 
 
-_PARTS = "__row long, doc_id long, word binary, k int, n_tokens long, n_known long, base_score double, score double"
-_PART_NAMES = ["__row", "doc_id", "word", "k", "n_tokens", "n_known", "base_score", "score"]
+_PARTS = "__row long, doc_id long, word binary, k int, n_tokens long, n_known long, base_score double, score double, word_score double"
+_SCORES = ["base_score", "score", "word_score"]
+_PART_NAMES = ["__row", "doc_id", "word", "k", "n_tokens", "n_known", *_SCORES]
 
 
 def _rows(texts: list[tuple], rows: list[int], keys: list, words: list[bytes], times: list[int]) -> Iterator[pa.RecordBatch]:
     if texts:
-        row, key, n, known, base, own = zip(*texts, strict=True)
+        row, key, n, known, *scores = zip(*texts, strict=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(row, pa.int64()), pa.array(key, pa.int64()), pa.nulls(len(row), pa.binary()), pa.array(np.zeros(len(row), np.int32)),
-             pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=_PART_NAMES)
+             pa.array(n, pa.int64()), pa.array(known, pa.int64()), *(pa.array(c, pa.float64()) for c in scores)], names=_PART_NAMES)
     if words:
-        zeros, nothing = pa.array(np.zeros(len(words), np.int64)), pa.array(np.zeros(len(words)))
+        zeros, nothing = pa.array(np.zeros(len(words), np.int64)), [pa.array(np.zeros(len(words)))] * 3
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int32()),
-             zeros, zeros, nothing, nothing], names=_PART_NAMES)
+             zeros, zeros, *nothing], names=_PART_NAMES)

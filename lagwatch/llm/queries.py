@@ -61,7 +61,7 @@ def lattice_scores(spark: SparkSession, d: str) -> DataFrame:
     model, words = lattice.fit(docs.where(~held), tokenizer("piece_bpe_32k.model"))
     return lattice.score(docs, model, words).select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
-        "base_score", "score")
+        "base_score", "score", "word_score")
 
 
 def benchmark_leaks(spark: SparkSession, d: str) -> DataFrame:

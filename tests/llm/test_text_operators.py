@@ -548,12 +548,36 @@ def test_lattice_scores(rows, prose, odd, empty, frequent):
     for d, t, _ in data:
         w = [*words(fold(t or "")), None]
         base = sum(np.log10((plain[x] + 1) / (total + distinct + 1)) for x in w)
-        own = sum(model.word(x.encode("utf-8", "surrogatepass"), plain[x]) if x else model.end() for x in w)
-        expected.append((d, len(w), sum(plain[x] > 0 for x in w), round(base, 6), round(own, 6)))
-    assert sort_rows((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in found) == sort_rows(expected)
+        ends = (len(train) + 1) / (total + 2)
+        own = sum(np.log10(1 - ends) + model.spell.log_probability(x) / np.log(10) if x else np.log10(ends) for x in w)
+        arcs = sum(np.log10(10 ** (model.spell.log_probability(x) / np.log(10)) * model.discount * (distinct - 1) / total
+                            + max(plain[x] - model.discount, 0) / total) if x and model.spell.log_probability(x) > -600 else
+                   model.with_arc(model.spelled(x.encode("utf-8", "surrogatepass")), plain[x]) if x else np.log10(len(train) / total) for x in w)
+        expected.append((d, len(w), sum(plain[x] > 0 for x in w), round(base, 5), round(own, 5), round(arcs, 5)))
+    assert sort_rows((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 5), round(r.score, 5), round(r.word_score, 5)) for r in found) == sort_rows(expected)
     assert lattice.score(empty, model, counts).collect() == []
 
 
+def test_lattice_weights_follow_the_scores(rows, prose):
+    pieces = lattice.vocabulary(tokenizer("piece_bpe_32k.model"))
+    speller = lattice.Law(first=1.4, inner=0.6).speller(pieces)
+    assert np.isclose(sum(np.exp(w) for w in speller.first.values() if w is not None), 1)
+    inner = [w for p, w in speller.inner.items() if w is not None]
+    assert np.isclose(sum(np.exp(w) for w in inner) + np.exp(speller.byte).sum() + np.exp(speller.stop), 1)
+    for scores, weights, a in ((pieces.first, speller.first, 1.4), (pieces.inner, speller.inner, 0.6)):
+        assert np.isclose(lattice.exponent_of(scores, {p: np.exp(weights[p]) for p in scores}), a)
+        best, last = max(scores, key=scores.get), min(scores, key=scores.get)
+        assert np.isclose(weights[best] - weights[last], a * (scores[best] - scores[last]))
+    # the step makes the training words likelier, and counts each word as often as it occurs
+    counts = lattice.count_words(rows(prose))
+    law = lattice.train_law(counts, pieces)
+    before, after = lattice.Law().speller(pieces), law.speller(pieces)
+    found = [(r.word.decode(), r.n) for r in counts.collect() if r.word]
+    assert sum(n * after.log_probability(w) for w, n in found) > sum(n * before.log_probability(w) for w, n in found)
+    again = lattice.train_law(counts.withColumn("n", F.col("n") * 5), pieces)
+    assert np.isclose(again.inner, law.inner) and np.isclose(again.first, law.first)
+
+
 def test_lattice_without_training(rows, empty, prose):
     model, counts = lattice.fit(empty, tokenizer("piece_bpe_32k.model"))
     found = lattice.score(rows(prose[:5]), model, counts).collect()
