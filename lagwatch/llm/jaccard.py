@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagwatch.llm.common import held, id_and_text, staged, with_row_key
@@ -44,6 +44,7 @@ CHUNK = 1 << 16
 SHORT_LIST = 4       # lists up to here are paired at once
 LIST_ROWS = 20_000   # rows of a salted list
 BLOCK_ROWS = 2_048   # sets of a block in step 5
+GROUP_PAIRS = 64     # pairs checked beside one copy of the set they share
 SENT_ROWS = 1_000_000
 PARTS = 64           # parts of the suffix filter
 REMEMBERED = 200_000  # word hashes a worker keeps
@@ -285,18 +286,38 @@ def _suffix(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             .mapInArrow(kept, "a long, b long"))
 
 
+def _degrees(pairs: DataFrame) -> DataFrame:
+    """(cid, n) of the classes in more than GROUP_PAIRS pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    return staged(ends.groupBy("cid").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_PAIRS), "degrees")
+
+
 def _verify(docs: DataFrame, members: DataFrame, classes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that are links, by their whole sets. The sets are made anew from the texts of
-    the documents that stand for the classes; each set goes once to each pair it is the second of,
-    and once to each salted group it is the first of. Of rows with the same id and text one is read."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(8)).cast("int"))
-    uses = (salted.select(F.col("a").alias("cid"), "a", "salt", F.lit(-1).cast("long").alias("b")).distinct()
-            .unionByName(salted.select(F.col("b").alias("cid"), "a", "salt", "b")))
-    wanted = staged(uses.join(classes.select("cid", "__i", "__h", "high", "low"), "cid")
-                    .groupBy("__i", "__h", "high", "low").agg(F.collect_list(F.struct("a", "salt", "b")).alias("uses")), "uses")
-    # one row per use at most: small tables of ids go to the tasks, larger ones are joined by shuffle
-    small = wanted.agg(F.coalesce(F.sum(F.size("uses")), F.lit(0))).first()[0] <= SENT_ROWS
-    wanted = F.broadcast(wanted) if small else wanted
+    """The pairs that are links, by their whole sets. The sets are made anew, once, from the texts of
+    the documents that stand for the classes. The class of a pair that is in more pairs is its first;
+    its set goes once to each GROUP_PAIRS of them, the other's set once to each pair it is the second of.
+    Of rows with the same id and text one is read."""
+    def sent(small: DataFrame) -> DataFrame:
+        return F.broadcast(small) if small.count() <= SENT_ROWS else small
+
+    degrees = sent(_degrees(pairs))
+
+    def degree(name: str) -> DataFrame:
+        return degrees.select(F.col("cid").alias(name), F.col("n").alias(f"n_{name}"))
+
+    def groups(n: Column) -> Column:
+        return F.ceil(F.coalesce(n, F.lit(1)) / GROUP_PAIRS)
+
+    swapped = F.coalesce("n_b", F.lit(0)) > F.coalesce("n_a", F.lit(0))
+    dealt = (pairs.join(degree("a"), "a", "left").join(degree("b"), "b", "left")
+             .select(F.when(swapped, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swapped, F.col("a")).otherwise(F.col("b")).alias("y"),
+                     groups(F.greatest("n_a", "n_b")).alias("salts"))
+             .select("x", "y", F.pmod(F.xxhash64("y"), F.col("salts")).cast("int").alias("salt")))
+    dealt = staged(dealt, "dealt")
+    uses = staged(dealt.select(F.col("x").alias("cid"), "x", "salt", F.lit(-1).cast("long").alias("y")).distinct()
+                  .unionByName(dealt.select(F.col("y").alias("cid"), "x", "salt", "y")), "uses")
+    wanted = staged(uses.select("cid").distinct().join(classes.select("cid", "__i", "__h", "high", "low"), "cid"), "used")
+    wanted = sent(wanted)
     key = ["__i", "__h"]
     texts = docs.select(*key, "text")
     again = staged(members.select(*key).join(wanted.select(*key), key, "left_semi").groupBy(*key).count().where("count > 1").select(*key), "again")
@@ -305,41 +326,48 @@ def _verify(docs: DataFrame, members: DataFrame, classes: DataFrame, pairs: Data
         again = F.broadcast(again) if n_again <= SENT_ROWS else again
         one = texts.join(again, key, "left_semi").dropDuplicates(key)
         texts = texts.join(again, key, "left_anti").unionByName(one)
-    types, names = [pa.int64(), pa.int32(), pa.int64(), pa.binary()], ["a", "salt", "b", "grams"]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for text, high, low, uses_ in zip(*(batch[c].to_pylist() for c in ("text", "high", "low", "uses")), strict=True):
+            for cid, text, high, low in zip(*(batch[c].to_pylist() for c in ("cid", "text", "high", "low")), strict=True):
                 grams = np.unique(occurrences(text, rule.n))
                 if _signature(grams) != (high, low):
                     continue  # another text under the same row key
-                raw = grams.tobytes()
-                for use in uses_:
-                    out.append((use["a"], use["salt"], use["b"], raw))
-                    size += len(raw)
-                    if size > 8_000_000:
-                        yield _emit(out, types, names)
-                        out, size = [], 0
-            yield _emit(out, types, names)
+                out.append((cid, grams.tobytes()))
+                size += len(out[-1][1])
+                if size > 8_000_000:
+                    yield _emit(out, [pa.int64(), pa.binary()], ["cid", "grams"])
+                    out, size = [], 0
+            yield _emit(out, [pa.int64(), pa.binary()], ["cid", "grams"])
+
+    names = ["x", "salt", "y", "grams"]
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, first = None, None
         for batch in batches:
             out = []
-            for a, salt, b, raw in zip(*(batch[c].to_pylist() for c in names), strict=True):
-                if (a, salt) != key:
-                    key, first = (a, salt), np.frombuffer(raw, np.uint64)  # the first set sorts before the others
-                if b < 0:
+            for x, salt, y, raw in zip(*(batch[c].to_pylist() for c in names), strict=True):
+                if (x, salt) != key:
+                    key, first = (x, salt), np.frombuffer(raw, np.uint64)  # the first set sorts before the others
+                if y < 0:
                     continue
                 second = np.frombuffer(raw, np.uint64)
                 common = len(first) + len(second) - len(np.union1d(first, second))
                 if common >= rule.need(len(first), len(second)):
-                    out.append((a, b))
+                    out.append((min(x, y), max(x, y)))
             yield _emit(out, [pa.int64(), pa.int64()], ["a", "b"])
 
-    made = texts.join(wanted, key).select("text", "high", "low", "uses").mapInArrow(sets, "a long, salt int, b long, grams binary")
-    return (made.repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(checked, "a long, b long").distinct())
+    made = texts.join(wanted, key).select("cid", "text", "high", "low").mapInArrow(sets, "cid long, grams binary")
+    if uses.count() <= SENT_ROWS:
+        made = made.join(F.broadcast(uses), "cid")
+    else:  # a set in many pairs goes to several tasks, which share its uses
+        copies = F.explode(F.sequence(F.lit(0), groups(F.col("n")).cast("int") - 1))
+        made = made.join(degrees, "cid", "left").select("cid", "grams", copies.alias("copy"))
+        mine = F.pmod(F.xxhash64("x", "salt", "y"), groups(F.col("n"))).cast("int")
+        made = made.join(uses.join(degrees, "cid", "left").select("cid", "x", "salt", "y", mine.alias("copy")), ["cid", "copy"])
+    return (made.select(*names).repartition("x", "salt").sortWithinPartitions("x", "salt", "y")
+            .mapInArrow(checked, "a long, b long").distinct())
 
 
 def _across(rows: DataFrame, classes: DataFrame, linked: DataFrame, rule: Rule) -> DataFrame:

@@ -103,6 +103,17 @@ def test_jaccard_near_copies_without_an_id(rows):
     assert len({r.group for r in found}) == 2
 
 
+@pytest.mark.parametrize("sent", [-1, 1_000_000])
+def test_jaccard_classes_in_many_pairs(rows, prose, monkeypatch, sent):
+    base = [f"w{i}" for i in range(100)]
+    near = [(1000 + k, " ".join([*base[:k], f"edit{k}", *base[k + 1:]]), None) for k in range(40)]
+    data = [*prose, (999, " ".join(base), None), *near, (2000, near[7][1], None)]
+    monkeypatch.setattr(jaccard, "GROUP_PAIRS", 3)
+    monkeypatch.setattr(jaccard, "SENT_ROWS", sent)
+    rule = jaccard.Rule()
+    assert sort_rows(jaccard.with_components(rows(data), rule).collect()) == sort_rows(plain_components(data, rule))
+
+
 def test_jaccard_joined_uses(rows, prose, monkeypatch):
     monkeypatch.setattr(jaccard, "SENT_ROWS", -1)
     rule = jaccard.Rule()
