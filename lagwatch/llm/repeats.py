@@ -16,8 +16,10 @@ only anchors are compared, about one in a hundred positions:
 4. Repeated windows of a document are merged and cut out.
 
 A gram with more classes than ``GROUP_ROWS`` (a passage in very many documents, each time after
-another text) is not gathered: its windows are hashed one by one and counted with map-side
-aggregation. Positions and hashes are shuffled, and 600 bytes per class of step 3, but not
+another text) is not gathered. Its windows are parted at the middle offset: those of small offsets
+all hold the same stretch of the right text, the others of the left text, and only members equal in that
+stretch are compared, as groups of their own. What is then still above ``GROUP_ROWS`` is hashed window by
+window and counted with map-side aggregation. Positions and hashes are shuffled, and 600 bytes per class of step 3, but not
 texts, as long as the rows to bring to them pass a count; beyond it they meet by a shuffle.
 
 Defined cases: a null text has no bytes, and neither it nor a text shorter than the length loses
@@ -39,7 +41,7 @@ from lagwatch.llm.common import staged, with_row_key
 from lagwatch.llm.suffixes import deep_shallow_order, neighbour_prefixes
 
 PIECE = 1 << 20         # bytes of a text that are hashed at once
-GROUP_ROWS = 20_000     # classes of one gram that are sorted together
+GROUP_ROWS = 4_000      # classes of one gram that are sorted together
 SENT_GRAMS = 4_000_000  # 64-bit numbers sent to every task at most
 SENT_ROWS = 400_000     # rows joined by broadcast at most
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -235,6 +237,36 @@ def _sorted_groups(members: DataFrame, length: int) -> DataFrame:
     return members.repartition("gram").sortWithinPartitions("gram").mapInArrow(compared, _RUN)
 
 
+def _parted(members: DataFrame, length: int, gram: int) -> DataFrame:
+    """Each member for the offsets below the middle and for those from it on, as members of the groups
+    that hold the same stretch there."""
+    middle = (length - gram + 1) // 2
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        half, sign = 1 << 64, 1 << 63
+
+        def group(side: int, old: int, stretch: bytes) -> int:
+            value = xxhash.xxh3_64_intdigest(stretch, seed=old % half ^ side)
+            return value - half if value & sign else value
+
+        for batch in batches:
+            out: list[tuple] = []
+            for old, i, h, a, lo, hi, n, before, after in zip(*(batch[c].to_pylist() for c in _MEMBER_NAMES), strict=True):
+                if lo < middle:
+                    top = min(hi, middle - 1)
+                    out.append((group(0, old, after[:length - middle + 1]), i, h, a, lo, top, n, before[:top], after))
+                if hi >= middle:
+                    low = max(lo, middle)
+                    out.append((group(1, old, before[:middle]), i, h, a, low, hi, n, before, after[:length - low]))
+                if len(out) > 5_000:
+                    yield _emit(out, _MEMBER_TYPES, _MEMBER_NAMES)
+                    out = []
+            yield _emit(out, _MEMBER_TYPES, _MEMBER_NAMES)
+
+    return members.mapInArrow(body, _MEMBER)
+
+
 def _counted_windows(members: DataFrame, length: int) -> DataFrame:
     """The same for grams with very many classes, window by window."""
     schema = "gram long, offset int, w1 long, w2 long, __i long, __h long, at int, n long"
@@ -278,8 +310,14 @@ def repeated_runs(keyed: DataFrame, length: int = 400, gram: int = 200, group_ro
     runs = runs.unionByName(_sorted_groups(members, length))
     hot = open_.where(F.col("k") > group_rows)
     if not hot.isEmpty():
-        runs = runs.unionByName(_counted_windows(_members(hot, keyed, length), length))
-    return runs
+        parted = staged(_parted(_members(hot, keyed, length), length, gram), "parted")
+        sizes = staged(parted.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "parted-sizes")
+        runs = runs.unionByName(_sorted_groups(parted.join(sizes.where(F.col("k") <= group_rows), "gram", "left_semi"), length))
+        wide = sizes.where(F.col("k") > group_rows)
+        if not wide.isEmpty():
+            runs = runs.unionByName(_counted_windows(parted.join(wide, "gram", "left_semi"), length))
+    # rows that share an id and a text have the same runs
+    return runs.distinct()
 
 
 def _merged(runs: DataFrame, length: int) -> DataFrame:

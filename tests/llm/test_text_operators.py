@@ -390,6 +390,16 @@ def test_repeats_hot_grams_and_shuffled_texts(rows, prose, monkeypatch):
     assert sort_rows(cut_rows(repeats.remove_repeats(rows(data), 100, 50, group_rows=10))) == sort_rows(plain_repeats(data, 100))
 
 
+@pytest.mark.parametrize("group_rows", [2, 8, 25, 4_000])
+def test_repeats_parted_groups(rows, prose, group_rows):
+    passage = (prose[0][1] + " " + prose[1][1] + " the passage that many share " * 3)[:400]
+    data = [(k, f"{k} own start {k * k} " + passage[k % 7 * 9: 400 - k % 5 * 31] + f" own end {k}", None) for k in range(40)]
+    data += [(100 + k, f"{k % 3} start " + passage[:260] + f"{k % 2} end", None) for k in range(12)]  # some are whole copies
+    data += [(None, passage + " without an id", None)] * 5
+    found = repeats.remove_repeats(rows(data), 120, 60, group_rows=group_rows)
+    assert sort_rows(cut_rows(found)) == sort_rows(plain_repeats(data, 120))
+
+
 def test_repeats_odd_and_empty(rows, odd, empty):
     data = [r for r in odd if len(r[1] or "") < 10_000]
     assert sort_rows(cut_rows(repeats.remove_repeats(rows(data), 400, 200))) == sort_rows(plain_repeats(data, 400))
