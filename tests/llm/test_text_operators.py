@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagwatch.llm import jaccard, lattice, language, lines, packing, quality, repeats, toxicity
-from lagwatch.llm.queries import tokenizer
+from lagwatch.llm.queries import QUERIES, tokenizer
 from lagwatch.llm.suffixes import deep_shallow_order
 from lagwatch.llm.token_store import PerfectIndex, TokenStore
 from lagwatch.llm.tokens import WordEncoder
@@ -603,3 +603,13 @@ def test_lattice_without_training(rows, empty, prose):
     model, counts = lattice.fit(empty, tokenizer("piece_bpe_32k.model"))
     found = lattice.score(rows(prose[:5]), model, counts).collect()
     assert len(found) == 5 and all(r.score < 0 and r.n_known == 0 for r in found)
+
+
+def test_lattice_query_scores_known_words_like_the_corpus(spark, tmp_path):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    data = [(i, f"quarterly shipment report number {'alpha beta gamma delta'.split()[i % 4]} arrived") for i in range(200)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op10_lattice_scores"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in found if r.held_out) == held
+    assert all(np.isfinite(r.score) and 1.1 * r.base_score < r.score < 0 for r in found)
+    assert all(r.piece_score < r.score for r in found)
