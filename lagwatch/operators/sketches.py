@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from ..session import written
+from .joins import BROADCAST_ROWS
 
 #: Size parameter of quantile sketches, and log2 of the registers of distinct-count sketches.
 QUANTILE_K, DISTINCT_LG_K = 400, 14
@@ -49,14 +51,23 @@ def merged_quantiles(sketches: DataFrame, probs: Sequence[float], groups: Sequen
 
 def rank_errors(quantiles: DataFrame, rows: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """How far each quantile's rank among the rows themselves is from its ``prob``: one pass over the
-    rows, with one row of quantiles per group beside it. A value that many rows share holds a range of ranks."""
+    rows, with one row of quantiles per group beside it. A value that many rows share holds a range of ranks.
+
+    A group may hold any share of the rows: the quantiles of few groups go to the rows, and only counts are
+    shuffled, so no task holds a group."""
     asked = quantiles.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("prob", "quantile"))).alias("_q"))
-    probs = quantiles.select("prob").distinct().count()
+    asked = written(asked, "asked")  # read for its size, by the rows and by the counts
+    size = asked.agg(F.count("*").alias("groups"), F.max(F.size("_q")).alias("probs")).first()
+    probs = size["probs"] or 1
     x = F.col(value).cast("double")
-    joined = rows.where(x.isNotNull() & ~F.isnan(x)).join(asked, list(groups))
-    counts = joined.groupBy(*groups).agg(F.first("_q").alias("_q"), F.count("*").alias("n"), F.array(*[
-        F.struct(F.count_if(x < F.col("_q")[i]["quantile"]).alias("below"), F.count_if(x <= F.col("_q")[i]["quantile"]).alias("upto"))
-        for i in range(probs)]).alias("_c"))
+    beside = F.broadcast(asked) if size["groups"] * probs <= BROADCAST_ROWS else asked
+    # counts alone are a plain row per group; the list of quantiles comes back to them afterwards
+    joined = rows.where(x.isNotNull() & ~F.isnan(x)).join(beside, list(groups))
+    counts = joined.groupBy(*groups).agg(F.count("*").alias("n"), *[
+        F.count_if(test).alias(f"_{name}{i}") for i in range(probs) for name, test in (
+            ("below", x < F.col("_q")[i]["quantile"]), ("upto", x <= F.col("_q")[i]["quantile"]))])
+    counts = counts.join(beside, list(groups)).withColumn("_c", F.array(*[
+        F.struct(F.col(f"_below{i}").alias("below"), F.col(f"_upto{i}").alias("upto")) for i in range(probs)]))
     each = counts.select(*groups, "n", F.explode(F.arrays_zip("_q", "_c")).alias("_e")).select(
         *groups, "n", "_e._q.prob", (F.col("_e._c.below") / F.col("n")).alias("low"), (F.col("_e._c.upto") / F.col("n")).alias("high"))
     return each.select(*groups, "prob", "n", F.greatest(F.lit(0.0), F.col("low") - F.col("prob"), F.col("prob") - F.col("high")).alias("rank_error"))
