@@ -42,3 +42,17 @@ def test_no_quantiles_no_rank_errors(spark):
     rows = spark.createDataFrame([], "g string, v double, day date")
     found = sk.merged_quantiles(sk.day_quantiles(rows, F.col("day"), "v", ["g"]), [0.5], ["g"])
     assert sk.rank_errors(found, rows, "v", ["g"]).collect() == []
+
+
+def test_lines_move_once_for_orders_and_customers(spark, no_broadcast):
+    moved = [line for line in plan(V.derive_packages(spark, "/root/testdata/sf0.001")).splitlines() if "Exchange" in line]
+    # dealt by order, then by supplier and by part; never round robin and never by customer
+    assert sum("hashpartitioning(l_" in line for line in moved) == 3
+    assert not any("RoundRobin" in line for line in moved)
+
+
+def test_spread_by_a_key_keeps_the_rows(spark, tmp_path):
+    path = str(tmp_path / "few")
+    spark.range(100).selectExpr("CASE WHEN id % 7 > 0 THEN id % 5 END AS k", "id").coalesce(1).write.parquet(path)
+    dealt = spread(spark.read.parquet(path), "k")
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(100))
