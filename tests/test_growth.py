@@ -56,3 +56,7 @@ def test_spread_by_a_key_keeps_the_rows(spark, tmp_path):
     spark.range(100).selectExpr("CASE WHEN id % 7 > 0 THEN id % 5 END AS k", "id").coalesce(1).write.parquet(path)
     dealt = spread(spark.read.parquet(path), "k")
     assert sorted(r["id"] for r in dealt.collect()) == list(range(100))
+
+
+def test_the_time_of_an_operation_is_made_once_for_its_parts(spark):
+    assert plan(V.derive_itineraries(spark, "/root/testdata/sf0.001")).count("make_dt_interval") < 20
