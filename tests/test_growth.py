@@ -60,3 +60,12 @@ def test_spread_by_a_key_keeps_the_rows(spark, tmp_path):
 
 def test_the_time_of_an_operation_is_made_once_for_its_parts(spark):
     assert plan(V.derive_itineraries(spark, "/root/testdata/sf0.001")).count("make_dt_interval") < 20
+
+
+def test_entries_of_a_vector_are_those_it_states(spark):
+    rows = spark.createDataFrame([
+        (1, Vectors.sparse(50_000_000, [3, 49_999_999], [2.0, 0.5])), (2, Vectors.dense([0.0, 4.0])),
+        (3, Vectors.sparse(5, [], [])), (4, None)], ["id", "features"])
+    got = rows.select("id", F.explode(prep.vector_entries("features")).alias("e")).select("id", "e.slot", "e.value").collect()
+    assert sorted(map(tuple, got)) == [(1, 3, 2.0), (1, 49_999_999, 0.5), (2, 0, 0.0), (2, 1, 4.0)]
+    assert [r[0] for r in rows.orderBy("id").select(prep.vector_width("features")).collect()] == [50_000_000, 2, 5, None]
