@@ -120,3 +120,23 @@ def test_outcomes_join_predictions_as_both_arrive(spark):
     log = spark.read.parquet(made)
     found = sorted((r["package_id"], r["timestamp"], r["actual_outcome"]) for r in state.completed_log(log, spark.read.parquet(table)).collect())
     assert found == [("a", t(0), 1), ("a", t(6), 1), ("b", t(0), None), ("c", t(1), 1), ("d", t(5), 0), ("e", t(8), 1)]
+
+
+def test_state_of_completions_is_on_disk_in_one_store_per_partition(spark, folder):
+    """Kept on the heap, both sides of 60 times sf0.1 take more than three executors of 10 GB have."""
+    made, known, table, chk = (f"{folder}/{n}" for n in ("made", "known", "completed", "chk"))
+    n, kept = 500, spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
+    made_rows = spark.range(n).select(F.col("id").cast("string").alias("package_id"), at.alias("timestamp"), F.lit(None).cast("int").alias("actual_outcome"))
+    outcomes = spark.range(0, n, 3).select(F.col("id").cast("string").alias("package_id"), (F.col("id") % 2).cast("int").alias("outcome"), at.alias("outcome_at"))
+    made_rows.write.parquet(made)
+    outcomes.write.parquet(known)
+    query = state.run_completions(spark.readStream.schema(made_rows.schema).parquet(made),
+                                  spark.readStream.schema(outcomes.schema).parquet(known), table, chk)
+    query.awaitTermination()
+    stores = [o for p in query.recentProgress for o in p["stateOperators"]]
+    assert stores and all("rocksdbPutCount" in o["customMetrics"] for o in stores)
+    assert all(o["numStateStoreInstances"] == o["numShufflePartitions"] for o in stores)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == kept  # other streams keep their own
+    found = state.completed_log(spark.read.parquet(made), spark.read.parquet(table))
+    assert found.agg(F.count("*"), F.count("actual_outcome"), F.sum("actual_outcome")).first() == (n, 167, 83)
