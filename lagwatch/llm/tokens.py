@@ -19,8 +19,9 @@ class WordEncoder:
     """Encodes texts with a tokenizer that folds case and drops white space.
 
     The ids of a text are then those of its blank-separated pieces in a row, so each
-    distinct piece is encoded once and remembered. ``remember`` bounds the memory: when it
-    is full, the pieces not seen since the last time go. That costs time and changes no id.
+    distinct piece is encoded once and remembered. ``remember`` bounds the pieces in memory: when
+    half of them came since the last time, those not seen since then go. That costs time and
+    changes no id.
     """
 
     def __init__(self, path: str, remember: int = 600_000, longest: int = 64) -> None:
@@ -47,17 +48,18 @@ class WordEncoder:
                 yield np.array(e.ids, self.kind).tobytes()
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Remember the ids of the missing pieces; return those of pieces too long to keep."""
-        if len(self.recent) + len(missing) > self.remember:
+        """Remember the ids of the missing pieces; return those of pieces too long, or too many, to keep."""
+        most = self.remember // 2
+        if len(self.recent) + len(missing) > most:
             self.older, self.recent = self.recent, {}
         once, new = {}, []
         for piece in missing:
             if piece in self.older:
-                self.recent[piece] = self.older[piece]
+                (self.recent if len(self.recent) < most else once)[piece] = self.older[piece]
             else:
                 new.append(piece)
         for piece, ids in zip(new, self._ids(new), strict=True):
-            (self.recent if len(piece) <= self.longest else once)[piece] = ids
+            (self.recent if len(piece) <= self.longest and len(self.recent) < most else once)[piece] = ids
         return once
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:

@@ -170,6 +170,14 @@ def test_encoder_equals_whole_texts(prose, odd):
         assert ids.tolist() == use.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_in_memory_are_no_more_than_stated():
+    texts = [" ".join(f"w{k}x{i}" for k in range(20 + 20 * (i % 4))) + " often" for i in range(12)]
+    use, whole = WordEncoder(BPE, remember=50), WordEncoder(BPE)
+    for text in texts:
+        assert use.encode(text).tolist() == whole.encode(text).tolist() == whole.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(use.recent) + len(use.older) <= 50
+
+
 def plain_ids(text, end):
     from tokenizers import Tokenizer
     return Tokenizer.from_file(BPE).encode(text or "", add_special_tokens=False).ids + [end]
