@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from lagwatch.operators import joins
 from lagwatch.operators import preparation as prep
 from lagwatch.operators import sketches as sk
 from lagwatch.sources.readers import spread
@@ -69,3 +70,18 @@ def test_entries_of_a_vector_are_those_it_states(spark):
     got = rows.select("id", F.explode(prep.vector_entries("features")).alias("e")).select("id", "e.slot", "e.value").collect()
     assert sorted(map(tuple, got)) == [(1, 3, 2.0), (1, 49_999_999, 0.5), (2, 0, 0.0), (2, 1, 4.0)]
     assert [r[0] for r in rows.orderBy("id").select(prep.vector_width("features")).collect()] == [50_000_000, 2, 5, None]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.9])
+def test_a_lookup_beyond_the_bound_is_not_sent_through_the_driver(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 1000)
+    path = str(tmp_path / "table")
+    spark.range(50).selectExpr("CONCAT('k', id) AS k", "id AS n").write.parquet(path)  # far below the planner's own limit
+    table = spark.read.parquet(path)
+    facts = spark.range(300).selectExpr("CASE WHEN id % 3 > 0 THEN CONCAT('k', id % 60) END AS k", "id")
+    size = joins.table_bytes(table)
+    found = joins.lookup(facts, table, ["k"], size, share=share)
+    assert size > 1000 and "Broadcast" not in plan(found)
+    near = joins.lookup(facts, table, ["k"], 1000, share=share)
+    assert "Broadcast" in plan(near)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, near.collect()), key=str)
