@@ -52,8 +52,8 @@ def lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], size: int |
     keys that few facts share (``share`` 0). Up to ``BROADCAST_BYTES`` it is broadcast. A larger table is joined by shuffle: facts without a
     key, which match nothing, stay where they are; the others of one key are spread over as many
     tasks as the ``share`` of the hottest key asks for, by ``salt_by`` or by all their columns, and
-    the table is repeated for each. The planner knows a stored table by its compressed bytes, some
-    tenth of these, and would still send it through the driver: a measured one is held to the shuffle.
+    the table is repeated for each. The planner knows a stored table by its compressed bytes, far
+    fewer than these, and would still send it through the driver: a measured one is held to the shuffle.
     """
     extra = [name for name in table.columns if name not in keys]
     if size is None and share > 0:
