@@ -11,8 +11,10 @@ from lagwatch import constants as C
 from lagwatch import session
 from lagwatch.operators import temporal_split as ts
 from lagwatch.plans import training
+from lagwatch.streaming import state
 from workload import queries as Q
 from workload import stage
+from workload import views as V
 
 D = "/root/testdata/sf0.001"
 SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -94,3 +96,14 @@ def test_the_split_of_the_joined_rows_is_not_stored_again(spark):
     expected = ts.temporal_split(Q.joined(spark, D))
     key = ["package_id", "split"]
     assert sorted(split.select(*key).collect()) == sorted(expected.select(*key).collect())
+
+
+def test_state_that_waits_for_outcomes_is_packed_with_zstd(spark, tmp_path):
+    made, known, table, checkpoint = (str(tmp_path / n) for n in ("made", "known", "table", "checkpoint"))
+    log, came = V.prediction_log(spark, D).limit(50), V.outcomes(spark, D).limit(50)
+    log.write.parquet(made)
+    came.write.parquet(known)
+    state.run_completions(spark.readStream.schema(log.schema).parquet(made), spark.readStream.schema(came.schema).parquet(known),
+                          table, checkpoint, "20 days").awaitTermination()
+    with open(f"{checkpoint}/offsets/0") as offsets:
+        assert '"spark.sql.streaming.stateStore.compression.codec":"zstd"' in offsets.read()
